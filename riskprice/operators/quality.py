@@ -1,72 +1,79 @@
 """Row-level input rules: split a feed into accepted and quarantined rows.
 
-A rule passes only when its condition is TRUE (a null or NaN input fails it).
-The names of failed rules are joined into ``validation_errors``; the split is a
-pair of filters over the same lineage, so write both sides from one cached or
-checkpointed input when the feed is read only once.
+A rule passes only when its condition is TRUE: a null (or NaN) value fails it.
+The names of the failed rules are joined into ``validation_errors``; rows with
+an empty list are accepted. Both sides come from one narrow projection, so a
+split never shuffles.
 """
 
 from __future__ import annotations
 
-from typing import Callable, List, Sequence, Tuple
+from dataclasses import dataclass
+from typing import List, Optional, Sequence, Tuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-Rule = Tuple[str, Callable[[], Column]]
 
+@dataclass(frozen=True)
+class Rule:
+    column: str
+    lo: Optional[float] = None          # lower bound (inclusive unless lo_open)
+    hi: Optional[float] = None          # upper bound (inclusive)
+    lo_open: bool = False
+    double: bool = False                # NaN fails for double columns
 
-def _required(name: str) -> Rule:
-    return (f"{name}_required", lambda: F.col(name).isNotNull())
+    @property
+    def name(self) -> str:
+        ranged = self.lo is not None or self.hi is not None
+        return f"{self.column}_{'range' if ranged else 'required'}"
 
-
-def _number(name: str, lo=None, hi=None, lo_open=False, is_double=True) -> Rule:
-    def cond() -> Column:
-        c = F.col(name)
+    def condition(self) -> Column:
+        c = F.col(self.column)
         ok = c.isNotNull()
-        if is_double:
+        if self.double:
             ok = ok & ~F.isnan(c)
-        if lo is not None:
-            ok = ok & ((c > F.lit(lo)) if lo_open else (c >= F.lit(lo)))
-        if hi is not None:
-            ok = ok & (c <= F.lit(hi))
+        if self.lo is not None:
+            ok = ok & ((c > F.lit(self.lo)) if self.lo_open else (c >= F.lit(self.lo)))
+        if self.hi is not None:
+            ok = ok & (c <= F.lit(self.hi))
         return ok
-    return (f"{name}_range", cond)
 
 
-PRODUCT_RULES: Sequence[Rule] = (
-    _required("product_id"), _required("name"), _required("category"),
-    _number("cost", lo=0, lo_open=True),
-    _number("quantity", lo=0, lo_open=True, is_double=False),
+# FIXED VALUES: accepted domain of each input column.
+PRODUCT_RULES: Tuple[Rule, ...] = (
+    Rule("product_id"), Rule("name"), Rule("category"),
+    Rule("cost", lo=0, lo_open=True, double=True),
+    Rule("quantity", lo=0, lo_open=True),
 )
 
-FACILITY_RULES: Sequence[Rule] = (
-    _required("borrower_id"), _required("borrower_name"),
-    _number("credit_score", 300, 850, is_double=False),
-    _number("debt_to_income", 0, 2),
-    _number("loan_to_value", 0, 1.5),
-    _number("employment_years", 0, is_double=False),
-    _number("payment_history_score", 0, 100, is_double=False),
-    _required("industry"), _required("company_size"), _required("collateral_type"),
-    _required("seniority"), _required("facility_type"),
-    _number("exposure_amount", lo=0, lo_open=True),
-    _number("outstanding_amount", 0),
-    _number("undrawn_amount", 0),
-    _number("loan_term", lo=0, lo_open=True, is_double=False),
-    _required("region"),
+FACILITY_RULES: Tuple[Rule, ...] = (
+    Rule("borrower_id"), Rule("borrower_name"),
+    Rule("credit_score", lo=300, hi=850),
+    Rule("debt_to_income", lo=0, hi=2, double=True),
+    Rule("loan_to_value", lo=0, hi=1.5, double=True),
+    Rule("employment_years", lo=0),
+    Rule("payment_history_score", lo=0, hi=100),
+    Rule("industry"), Rule("company_size"), Rule("collateral_type"),
+    Rule("seniority"), Rule("facility_type"),
+    Rule("exposure_amount", lo=0, lo_open=True, double=True),
+    Rule("outstanding_amount", lo=0, double=True),
+    Rule("undrawn_amount", lo=0, double=True),
+    Rule("loan_term", lo=0, lo_open=True),
+    Rule("region"),
 )
+# end of fixed values
 
 
 def errors_column(rules: Sequence[Rule], columns: Sequence[str]) -> Column:
-    """Comma-joined names of failed rules ('' when the row is valid).
-    A rule on a column the feed does not have fails as '<col>_missing'."""
+    """Comma-joined names of failed rules ('' when the row is valid); a rule whose
+    column the feed lacks fails every row as '<column>_missing'."""
     parts: List[Column] = []
-    for name, cond in rules:
-        col = name.rsplit("_", 1)[0]
-        if col not in columns:
-            parts.append(F.lit(f"{col}_missing"))
-            continue
-        parts.append(F.when(~F.coalesce(cond(), F.lit(False)), F.lit(name)))
+    for r in rules:
+        if r.column not in columns:
+            parts.append(F.lit(f"{r.column}_missing"))
+        else:
+            parts.append(F.when(~F.coalesce(r.condition(), F.lit(False)), F.lit(r.name)))
     return F.concat_ws(",", *parts)
 
 
@@ -87,3 +94,21 @@ def split_products(df: DataFrame) -> Tuple[DataFrame, DataFrame]:
 
 def split_facilities(df: DataFrame) -> Tuple[DataFrame, DataFrame]:
     return split(df, FACILITY_RULES)
+
+
+def rule_sql(r: Rule) -> str:
+    """The same rule as a SQL predicate (for the oracle)."""
+    parts = [f"{r.column} IS NOT NULL"]
+    if r.double:
+        parts.append(f"NOT isnan({r.column})")
+    if r.lo is not None:
+        parts.append(f"{r.column} {'>' if r.lo_open else '>='} {r.lo!r}")
+    if r.hi is not None:
+        parts.append(f"{r.column} <= {r.hi!r}")
+    return " AND ".join(parts)
+
+
+def errors_sql(rules: Sequence[Rule]) -> str:
+    whens = ", ".join(f"CASE WHEN NOT coalesce({rule_sql(r)}, false) THEN '{r.name}' END"
+                      for r in rules)
+    return f"concat_ws(',', {whens})"
