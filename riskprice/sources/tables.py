@@ -7,10 +7,12 @@ derive identical rows. Join plan:
 * ``nation x region`` is a fixed-size dimension (25 rows in TPC-H at every scale):
   it is reduced to (nation key, region class) and broadcast after a bounded row
   count check; if the check fails the join stays a shuffle join.
-* ``customer`` joins that dimension map-side, then ``orders x customer`` is left to
-  Catalyst: broadcast while customer is under the broadcast threshold, otherwise
-  a sort-merge join on the customer key, with AQE splitting skewed keys.
-* ``lineitem x part`` likewise (part is broadcast only while it is small).
+* ``customer`` joins that dimension map-side. The customer side of
+  ``orders x customer`` is broadcast only while a bounded count proves it has at
+  most ``DIMENSION_BROADCAST_MAX_ROWS`` rows; beyond that the join is a sort-merge
+  join on the customer key, where AQE splits a hot key (one customer with a third
+  of all orders) into several tasks. The order side is never broadcast.
+* ``lineitem x part`` follows the same rule with part as the dimension.
 """
 
 from __future__ import annotations
@@ -20,8 +22,10 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest dimension we agree to broadcast on a row-count check.
+# Largest dimension we agree to broadcast on a row-count check: tiny lookup
+# tables, and customer/part while they stay under ~1M narrow rows (< ~64 MB).
 BROADCAST_MAX_ROWS = 100_000
+DIMENSION_BROADCAST_MAX_ROWS = 1_000_000
 
 # FIXED VALUES of the fixture derivation (same lists as the SQL oracle).
 INDUSTRY_BY_ORDER = ("technology", "healthcare", "financial_services", "manufacturing",
@@ -96,6 +100,8 @@ def facilities(spark: SparkSession, sf_dir: str, spoiled: bool = False) -> DataF
         "c_custkey", "c_name", "c_nationkey", "c_acctbal")
     geo = broadcast_if_small(region_dimension(spark, sf_dir))
     cust = customer.join(geo, F.col("c_nationkey") == F.col("n_nationkey"))
+    cust = broadcast_if_small(cust.select("c_custkey", "c_name", "c_acctbal", "region"),
+                              DIMENSION_BROADCAST_MAX_ROWS)
     j = orders.join(cust, F.col("o_custkey") == F.col("c_custkey"))
 
     ok, ck = F.col("o_orderkey"), F.col("o_custkey")
@@ -150,6 +156,7 @@ def product_lines(spark: SparkSession, sf_dir: str, spoiled: bool = False) -> Da
     """The product feed (PRODUCT_SCHEMA column order): one row per line item."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_retailprice")
+    part = broadcast_if_small(part, DIMENSION_BROADCAST_MAX_ROWS)
     j = li.join(part, F.col("l_partkey") == F.col("p_partkey"))
     t = F.col("p_type")
     category = (F.when(t.isin(*PREMIUM_TYPES), F.lit("premium"))
