@@ -17,7 +17,7 @@ derive identical rows. Join plan:
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Dict, Optional, Sequence, Tuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,10 +58,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only behind a bounded count (reads at most max_rows + 1 rows)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+_BOUND_CHECKS: Dict[Tuple, bool] = {}
+
+
+def within_rows(df: DataFrame, max_rows: int) -> bool:
+    """True if ``df`` has at most ``max_rows`` rows. The check stops after max_rows + 1
+    rows and is remembered per set of input files (a rewritten table has new files)."""
+    key = (tuple(sorted(df.inputFiles())), df.schema.simpleString(), max_rows)
+    if key not in _BOUND_CHECKS:
+        _BOUND_CHECKS[key] = df.limit(max_rows + 1).count() <= max_rows
+    return _BOUND_CHECKS[key]
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                       bound_by: Optional[DataFrame] = None) -> DataFrame:
+    """Broadcast hint only behind a bounded row count of ``bound_by`` (default ``df``
+    itself); pass the base table when ``df`` is a key-preserving join of it."""
+    return F.broadcast(df) if within_rows(bound_by if bound_by is not None else df, max_rows) else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a fact scan over all cores only when it has fewer input splits than
+    the default parallelism (tiny inputs, e.g. one row group); a large table already
+    has thousands of splits and is left alone, so no shuffle is added at scale."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
 def _pick(index: Column, values: Sequence[str]) -> Column:
@@ -94,8 +115,8 @@ def facilities(spark: SparkSession, sf_dir: str, spoiled: bool = False) -> DataF
     """The facility feed (FACILITY_SCHEMA column order).
 
     ``spoiled`` replaces a few values by out-of-domain ones, for the quarantine split."""
-    orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    orders = spread(table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"))
     customer = table(spark, sf_dir, "customer").select(
         "c_custkey", "c_name", "c_nationkey", "c_acctbal")
     geo = broadcast_if_small(region_dimension(spark, sf_dir))
@@ -154,7 +175,7 @@ def facilities_with_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def product_lines(spark: SparkSession, sf_dir: str, spoiled: bool = False) -> DataFrame:
     """The product feed (PRODUCT_SCHEMA column order): one row per line item."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    li = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_retailprice")
     part = broadcast_if_small(part, DIMENSION_BROADCAST_MAX_ROWS)
     j = li.join(part, F.col("l_partkey") == F.col("p_partkey"))
