@@ -2,39 +2,60 @@
 
 from __future__ import annotations
 
-from typing import Iterable, Mapping, Sequence, Tuple
+from typing import Callable, Iterable, Mapping, Sequence, Tuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def lookup(key: Column, card: Mapping[str, float], default: float) -> Column:
-    """Exact, case-sensitive lookup as one flat CASE; unknown or null key -> default."""
-    expr = None
-    for k, v in card.items():
-        cond = key == F.lit(k)
-        expr = F.when(cond, F.lit(float(v))) if expr is None else expr.when(cond, F.lit(float(v)))
-    return F.lit(float(default)) if expr is None else expr.otherwise(F.lit(float(default)))
+# Resolves the name of an earlier pricing column to an expression: ``F.col`` when the
+# column is already materialised, or the defining expression when steps are fused.
+Ref = Callable[[str], Column]
 
 
-def factor(key: Column, card: Mapping[str, float]) -> Column:
+def sql_literal(v: object) -> str:
+    """SQL text of a literal: strings quoted, numbers as DOUBLE (scientific notation,
+    since a plain decimal such as 0.15 would be parsed as DECIMAL)."""
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(v, bool) or v is None:
+        raise TypeError(f"unsupported literal {v!r}")
+    if isinstance(v, int):
+        return str(v)
+    s = repr(float(v))
+    return s if "e" in s else s + "e0"
+
+
+def _ident(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def lookup(key: str, card: Mapping[str, float], default: float) -> Column:
+    """Exact, case-sensitive lookup of input column ``key`` as one flat CASE;
+    an unknown or null key gives ``default``. Built as one SQL expression (a single
+    call to the JVM instead of several per branch)."""
+    if not card:
+        return F.lit(float(default))
+    k = _ident(key)
+    whens = " ".join(f"WHEN {k} = {sql_literal(a)} THEN {sql_literal(float(b))}"
+                     for a, b in card.items())
+    return F.expr(f"CASE {whens} ELSE {sql_literal(float(default))} END")
+
+
+def factor(key: str, card: Mapping[str, float]) -> Column:
     """Multiplier lookup where every other value (and null) is the neutral 1.0."""
     return lookup(key, card, 1.0)
 
 
-def first_band(value: Column, bands: Iterable[Tuple[float, object]], op: str,
+def first_band(value: str, bands: Iterable[Tuple[float, object]], op: str,
                otherwise: object) -> Column:
-    """First band whose bound satisfies ``value <op> bound`` wins (CASE order)."""
-    expr = None
-    for bound, out in bands:
-        cond = {
-            ">=": value >= F.lit(bound),
-            ">": value > F.lit(bound),
-            "<=": value <= F.lit(bound),
-        }[op]
-        lit = F.lit(out)
-        expr = F.when(cond, lit) if expr is None else expr.when(cond, lit)
-    return expr.otherwise(F.lit(otherwise))
+    """First band whose bound satisfies ``value <op> bound`` wins (CASE order);
+    ``value`` names an input column."""
+    if op not in (">=", ">", "<="):
+        raise ValueError(op)
+    v = _ident(value)
+    whens = " ".join(f"WHEN {v} {op} {sql_literal(b)} THEN {sql_literal(o)}" for b, o in bands)
+    return F.expr(f"CASE {whens} ELSE {sql_literal(otherwise)} END")
 
 
 def clip_when(x: Column, lo: float, hi: float) -> Column:

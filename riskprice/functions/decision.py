@@ -8,12 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import params as P
-from .columns import ratio_or_null
+from .columns import Ref, ratio_or_null
 
 
-def risk_rating() -> Column:
+def risk_rating(ref: Ref = F.col) -> Column:
     """Rating by PD (upper bound inclusive); null PD falls through to CCC."""
-    pd_ = F.col("pd_score")
+    pd_ = ref("pd_score")
     expr = None
     for rating, bound in P.RATING_BANDS:
         cond = pd_ <= F.lit(bound)
@@ -26,8 +26,8 @@ def recommendation_thresholds(rp: P.RiskParams):
     return [(label, rp.target_raroc * mult) for label, mult in P.RECOMMENDATION_BANDS]
 
 
-def pricing_recommendation(rp: P.RiskParams) -> Column:
-    r = F.col("raroc")
+def pricing_recommendation(rp: P.RiskParams, ref: Ref = F.col) -> Column:
+    r = ref("raroc")
     expr = None
     for label, threshold in recommendation_thresholds(rp):
         cond = r >= F.lit(float(threshold))
@@ -35,16 +35,18 @@ def pricing_recommendation(rp: P.RiskParams) -> Column:
     return expr.otherwise(F.lit(P.RECOMMENDATION_OTHERWISE))
 
 
-def competitive_rate(rp: P.RiskParams) -> Column:
-    return F.col("minimum_rate") + F.lit(float(rp.competitive_margin))
+def competitive_rate(rp: P.RiskParams, ref: Ref = F.col) -> Column:
+    return ref("minimum_rate") + F.lit(float(rp.competitive_margin))
 
 
-def stress(rp: P.RiskParams) -> Dict[str, Column]:
-    """Stressed PD and LGD (not capped at 1) and the minimum rate they imply."""
-    sel = (F.col("pd_score") * F.lit(float(rp.stress_pd_factor)) * F.col("lgd_score")
-           * F.lit(float(rp.stress_lgd_factor)) * F.col("ead_amount"))
-    smr = ratio_or_null(
-        F.col("stress_expected_loss") + F.col("funding_cost") + F.col("operational_cost")
-        + (F.col("economic_capital") * F.lit(float(rp.target_roe))),
-        F.col("ead_amount"))
-    return {"stress_expected_loss": sel, "stress_minimum_rate": smr}
+def stress_expected_loss(rp: P.RiskParams, ref: Ref = F.col) -> Column:
+    """Stressed PD x stressed LGD x EAD (the stressed factors are not capped at 1)."""
+    return (ref("pd_score") * F.lit(float(rp.stress_pd_factor)) * ref("lgd_score")
+            * F.lit(float(rp.stress_lgd_factor)) * ref("ead_amount"))
+
+
+def stress_minimum_rate(rp: P.RiskParams, ref: Ref = F.col) -> Column:
+    return ratio_or_null(
+        ref("stress_expected_loss") + ref("funding_cost") + ref("operational_cost")
+        + (ref("economic_capital") * F.lit(float(rp.target_roe))),
+        ref("ead_amount"))

@@ -8,16 +8,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import params as P
-from .columns import has, lookup
+from .columns import Ref, has, lookup
 
 
 def ccf() -> Column:
-    return lookup(F.col("facility_type"), P.CCF, P.CCF_DEFAULT)
+    return lookup("facility_type", P.CCF, P.CCF_DEFAULT)
 
 
-def ead(columns: Sequence[str], rp: P.RiskParams, ccf_col: Column = None) -> Column:
+def ead(columns: Sequence[str], rp: P.RiskParams, ref: Ref = F.col) -> Column:
     """outstanding + undrawn * CCF when both amounts exist, else exposure * CCF; times stress."""
-    c = F.col("ccf") if ccf_col is None else ccf_col
+    c = ref("ccf")
     if has(columns, "outstanding_amount", "undrawn_amount"):
         base = F.col("outstanding_amount") + (F.col("undrawn_amount") * c)
     else:
@@ -25,9 +25,9 @@ def ead(columns: Sequence[str], rp: P.RiskParams, ccf_col: Column = None) -> Col
     return base * F.lit(float(rp.stress_factor))
 
 
-def regulatory_capital(rp: P.RiskParams) -> Column:
-    return F.col("ead_amount") * F.lit(float(rp.regulatory_capital_rate))
+def regulatory_capital(rp: P.RiskParams, ref: Ref = F.col) -> Column:
+    return ref("ead_amount") * F.lit(float(rp.regulatory_capital_rate))
 
 
-def economic_capital(rp: P.RiskParams) -> Column:
-    return F.col("regulatory_capital") * F.lit(float(rp.economic_capital_multiplier))
+def economic_capital(rp: P.RiskParams, ref: Ref = F.col) -> Column:
+    return ref("regulatory_capital") * F.lit(float(rp.economic_capital_multiplier))

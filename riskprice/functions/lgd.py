@@ -8,24 +8,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import params as P
-from .columns import cap_then_floor, factor, first_band, floor_then_cap, has, lookup
+from .columns import Ref, cap_then_floor, factor, first_band, floor_then_cap, has, lookup
 
 
 def collateral_base(columns: Sequence[str] = ()) -> Column:
-    return lookup(F.col("collateral_type"), P.COLLATERAL_LGD, P.COLLATERAL_LGD_DEFAULT)
+    return lookup("collateral_type", P.COLLATERAL_LGD, P.COLLATERAL_LGD_DEFAULT)
 
 
 def ltv_adjustment(columns: Sequence[str]) -> Column:
     """LTV band (upper bound inclusive); null LTV -> top band; no column -> 1.0."""
     if not has(columns, "loan_to_value"):
         return F.lit(1.0)
-    return first_band(F.col("loan_to_value"), P.LTV_LGD_BANDS, "<=", P.LTV_LGD_OTHERWISE)
+    return first_band("loan_to_value", P.LTV_LGD_BANDS, "<=", P.LTV_LGD_OTHERWISE)
 
 
 def seniority_adjustment(columns: Sequence[str]) -> Column:
     if not has(columns, "seniority"):
         return F.lit(1.0)
-    return lookup(F.col("seniority"), P.SENIORITY_LGD, P.SENIORITY_LGD_DEFAULT)
+    return lookup("seniority", P.SENIORITY_LGD, P.SENIORITY_LGD_DEFAULT)
 
 
 def collateral_parts(columns: Sequence[str]) -> Dict[str, Column]:
@@ -37,34 +37,31 @@ def collateral_parts(columns: Sequence[str]) -> Dict[str, Column]:
     }
 
 
-def collateral_lgd(rp: P.RiskParams, base: Column = None, ltv: Column = None,
-                   seniority: Column = None) -> Column:
+def collateral_lgd(rp: P.RiskParams, ref: Ref = F.col) -> Column:
     """base * ltv * seniority * economic factor, capped at 0.95 then floored at 0.05."""
-    base = F.col("base_lgd") if base is None else base
-    ltv = F.col("ltv_adjustment") if ltv is None else ltv
-    seniority = F.col("seniority_adjustment") if seniority is None else seniority
-    raw = base * ltv * seniority * F.lit(float(rp.economic_adjustment))
+    raw = (ref("base_lgd") * ref("ltv_adjustment") * ref("seniority_adjustment")
+           * F.lit(float(rp.economic_adjustment)))
     return cap_then_floor(raw, P.LGD_FLOOR, P.LGD_CAP)
 
 
 def industry_base(columns: Sequence[str] = ()) -> Column:
-    return lookup(F.col("industry"), P.INDUSTRY_LGD, P.INDUSTRY_LGD_DEFAULT)
+    return lookup("industry", P.INDUSTRY_LGD, P.INDUSTRY_LGD_DEFAULT)
 
 
 def industry_lgd(columns: Sequence[str]) -> Column:
     """Sector LGD x size x region multipliers, floored at 0.05 then capped at 0.95."""
     x = industry_base(columns)
     if has(columns, "company_size"):
-        x = x * factor(F.col("company_size"), P.SIZE_LGD_MULTIPLIER)
+        x = x * factor("company_size", P.SIZE_LGD_MULTIPLIER)
     if has(columns, "region"):
-        x = x * factor(F.col("region"), P.REGION_LGD_MULTIPLIER)
+        x = x * factor("region", P.REGION_LGD_MULTIPLIER)
     return floor_then_cap(x, P.LGD_FLOOR, P.LGD_CAP)
 
 
 def term_uplift(columns: Sequence[str]) -> Column:
     if not has(columns, "loan_term"):
         return F.lit(1.0)
-    return first_band(F.col("loan_term"), P.TERM_LGD_UPLIFT, ">", 1.0)
+    return first_band("loan_term", P.TERM_LGD_UPLIFT, ">", 1.0)
 
 
 def hybrid_blend(collateral: Column, industry: Column) -> Column:

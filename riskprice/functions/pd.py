@@ -29,13 +29,13 @@ def logistic_pd(columns: Sequence[str], rp: P.RiskParams) -> Column:
 
 def score_bucket_pd(columns: Sequence[str] = (), rp: P.RiskParams | None = None) -> Column:
     """PD by credit-score bucket (lower bound inclusive)."""
-    return first_band(F.col("credit_score"), P.SCORE_PD_BUCKETS, ">=", P.SCORE_PD_OTHERWISE)
+    return first_band("credit_score", P.SCORE_PD_BUCKETS, ">=", P.SCORE_PD_OTHERWISE)
 
 
 def dti_uplift(columns: Sequence[str]) -> Column:
     if not has(columns, "debt_to_income"):
         return F.lit(1.0)
-    return first_band(F.col("debt_to_income"), P.DTI_PD_UPLIFT, ">", 1.0)
+    return first_band("debt_to_income", P.DTI_PD_UPLIFT, ">", 1.0)
 
 
 def score_based_pd(columns: Sequence[str], rp: P.RiskParams) -> Column:
@@ -47,7 +47,7 @@ def score_based_pd(columns: Sequence[str], rp: P.RiskParams) -> Column:
 
 
 def industry_base_pd(columns: Sequence[str] = (), rp: P.RiskParams | None = None) -> Column:
-    return lookup(F.col("industry"), P.INDUSTRY_PD, P.INDUSTRY_PD_DEFAULT)
+    return lookup("industry", P.INDUSTRY_PD, P.INDUSTRY_PD_DEFAULT)
 
 
 def industry_pd(columns: Sequence[str], rp: P.RiskParams) -> Column:
@@ -55,7 +55,7 @@ def industry_pd(columns: Sequence[str], rp: P.RiskParams) -> Column:
     base = industry_base_pd(columns, rp)
     if not has(columns, "company_size"):
         return base
-    return base * factor(F.col("company_size"), P.SIZE_PD_MULTIPLIER)
+    return base * factor("company_size", P.SIZE_PD_MULTIPLIER)
 
 
 PD_MODELS: Dict[str, Callable[[Sequence[str], P.RiskParams], Column]] = {

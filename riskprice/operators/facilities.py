@@ -1,92 +1,159 @@
 """Facility pricing: PD -> LGD -> EAD -> capital -> RAROC -> minimum price -> decision.
 
-Each step appends columns with ``withColumns``; Catalyst collapses the steps into
-one projection, so a full pricing run is a single narrow stage over the input
-(no shuffle, no Python in the executors) and works unchanged on a stream.
+Each step defines named column expressions on a ``Stage``. A later step refers to
+an earlier column through ``stage.ref(name)``, which returns the defining
+expression, so a whole pricing run becomes ONE projection over the input:
+one analysis on the driver, one fused codegen stage on the executors (shared
+sub-expressions such as EAD are computed once by subexpression elimination),
+no shuffle and no Python in the executors. The same plan runs on a stream.
+
+The public ``add_*`` functions apply a single step and materialise its columns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import Dict
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import decision, exposure, lgd, pd, returns
 
 
+class Stage:
+    """Ordered new/replaced columns of one projection over ``df``."""
+
+    def __init__(self, df: DataFrame):
+        self.df = df
+        self.columns = list(df.columns)
+        self.exprs: Dict[str, Column] = {}
+
+    def ref(self, name: str) -> Column:
+        return self.exprs[name] if name in self.exprs else F.col(name)
+
+    def has(self, name: str) -> bool:
+        return name in self.exprs or name in self.columns
+
+    def put(self, name: str, expr: Column) -> "Stage":
+        self.exprs[name] = expr
+        return self
+
+    def apply(self) -> DataFrame:
+        return self.df.withColumns(self.exprs) if self.exprs else self.df
+
+
+def _pd(st: Stage, model: str, rp: P.RiskParams) -> None:
+    st.put("pd_score", pd.pd_model(model)(st.columns, rp))
+
+
+def _lgd(st: Stage, model: str, rp: P.RiskParams) -> None:
+    lgd.check_lgd_model(model)
+    cols = st.columns
+    if model == "industry":
+        st.put("lgd_score", lgd.industry_lgd(cols))
+        return
+    for name, expr in lgd.collateral_parts(cols).items():
+        st.put(name, expr)
+    st.put("lgd_score", lgd.collateral_lgd(rp, st.ref))
+    if model == "hybrid":
+        st.put("collateral_lgd", st.ref("lgd_score"))
+        st.put("industry_lgd", lgd.industry_lgd(cols))
+        st.put("lgd_score", lgd.hybrid_lgd(cols, st.ref("collateral_lgd"), st.ref("industry_lgd")))
+
+
+def _exposure(st: Stage, rp: P.RiskParams) -> None:
+    if st.has("ead_amount"):
+        return
+    st.put("ccf", exposure.ccf())
+    st.put("ead_amount", exposure.ead(st.columns, rp, st.ref))
+
+
+def _capital(st: Stage, rp: P.RiskParams) -> None:
+    st.put("regulatory_capital", exposure.regulatory_capital(rp, st.ref))
+    st.put("economic_capital", exposure.economic_capital(rp, st.ref))
+
+
+def _returns(st: Stage, rp: P.RiskParams) -> None:
+    for name, expr in {**returns.loss_and_costs(rp, st.ref),
+                       **returns.revenue(st.columns, rp, st.ref)}.items():
+        st.put(name, expr)
+    st.put("total_revenue", returns.total_revenue(st.ref))
+    st.put("net_income", returns.net_income(st.ref))
+    st.put("raroc", returns.raroc(st.ref))
+    st.put("risk_adjusted_margin", returns.risk_adjusted_margin(st.ref))
+
+
+def _minimum_price(st: Stage, rp: P.RiskParams) -> None:
+    st.put("required_revenue", returns.required_revenue(rp, st.ref))
+    st.put("minimum_rate", returns.minimum_rate(st.ref))
+    for name, expr in returns.price_components(rp, st.ref).items():
+        st.put(name, expr)
+
+
+def _decisions(st: Stage, rp: P.RiskParams) -> None:
+    st.put("risk_rating", decision.risk_rating(st.ref))
+    st.put("pricing_recommendation", decision.pricing_recommendation(rp, st.ref))
+    st.put("competitive_rate", decision.competitive_rate(rp, st.ref))
+    st.put("stress_expected_loss", decision.stress_expected_loss(rp, st.ref))
+    st.put("stress_minimum_rate", decision.stress_minimum_rate(rp, st.ref))
+
+
+def _step(fn, df: DataFrame, *args) -> DataFrame:
+    st = Stage(df)
+    fn(st, *args)
+    return st.apply()
+
+
 def add_pd(df: DataFrame, model: str = "logistic", rp: P.RiskParams | None = None) -> DataFrame:
-    rp = rp or P.RiskParams()
-    return df.withColumns({"pd_score": pd.pd_model(model)(df.columns, rp)})
+    return _step(_pd, df, model, rp or P.RiskParams())
 
 
 def add_lgd(df: DataFrame, model: str = "hybrid", rp: P.RiskParams | None = None) -> DataFrame:
     """Collateral: base_lgd, ltv_adjustment, seniority_adjustment, lgd_score.
     Industry: lgd_score. Hybrid: collateral columns + collateral_lgd, industry_lgd,
     with lgd_score the blended value. All row-local: the row count is preserved."""
-    rp = rp or P.RiskParams()
-    lgd.check_lgd_model(model)
-    cols = df.columns
-    if model == "industry":
-        return df.withColumns({"lgd_score": lgd.industry_lgd(cols)})
-    out = df.withColumns(lgd.collateral_parts(cols))
-    out = out.withColumns({"lgd_score": lgd.collateral_lgd(rp)})
-    if model == "collateral":
-        return out
-    out = out.withColumns({"collateral_lgd": F.col("lgd_score"),
-                           "industry_lgd": lgd.industry_lgd(cols)})
-    return out.withColumns({"lgd_score": lgd.hybrid_lgd(
-        cols, F.col("collateral_lgd"), F.col("industry_lgd"))})
+    return _step(_lgd, df, model, rp or P.RiskParams())
 
 
 def add_exposure(df: DataFrame, rp: P.RiskParams | None = None) -> DataFrame:
     """ccf and ead_amount; an input that already carries ead_amount is kept as is."""
-    rp = rp or P.RiskParams()
-    if "ead_amount" in df.columns:
-        return df
-    out = df.withColumns({"ccf": exposure.ccf()})
-    return out.withColumns({"ead_amount": exposure.ead(df.columns, rp)})
+    return _step(_exposure, df, rp or P.RiskParams())
 
 
 def add_capital(df: DataFrame, rp: P.RiskParams | None = None) -> DataFrame:
-    rp = rp or P.RiskParams()
-    out = df.withColumns({"regulatory_capital": exposure.regulatory_capital(rp)})
-    return out.withColumns({"economic_capital": exposure.economic_capital(rp)})
+    return _step(_capital, df, rp or P.RiskParams())
 
 
 def add_returns(df: DataFrame, rp: P.RiskParams | None = None) -> DataFrame:
     """expected_loss .. risk_adjusted_margin (needs pd_score, lgd_score, ead, capital)."""
-    rp = rp or P.RiskParams()
-    cols = df.columns
-    out = df.withColumns({**returns.loss_and_costs(rp), **returns.revenue(cols, rp)})
-    out = out.withColumns({"total_revenue": returns.total_revenue()})
-    out = out.withColumns({"net_income": returns.net_income()})
-    return out.withColumns({"raroc": returns.raroc(),
-                            "risk_adjusted_margin": returns.risk_adjusted_margin()})
+    return _step(_returns, df, rp or P.RiskParams())
 
 
 def add_minimum_price(df: DataFrame, rp: P.RiskParams | None = None) -> DataFrame:
-    rp = rp or P.RiskParams()
-    out = df.withColumns({"required_revenue": returns.required_revenue(rp)})
-    out = out.withColumns({"minimum_rate": returns.minimum_rate()})
-    return out.withColumns(returns.price_components(rp))
+    return _step(_minimum_price, df, rp or P.RiskParams())
 
 
 def add_decisions(df: DataFrame, rp: P.RiskParams | None = None) -> DataFrame:
-    rp = rp or P.RiskParams()
-    out = df.withColumns({
-        "risk_rating": decision.risk_rating(),
-        "pricing_recommendation": decision.pricing_recommendation(rp),
-        "competitive_rate": decision.competitive_rate(rp),
-    })
-    st = decision.stress(rp)
-    out = out.withColumns({"stress_expected_loss": st["stress_expected_loss"]})
-    return out.withColumns({"stress_minimum_rate": st["stress_minimum_rate"]})
+    return _step(_decisions, df, rp or P.RiskParams())
 
 
 def add_raroc(df: DataFrame, rp: P.RiskParams | None = None) -> DataFrame:
-    """EAD (unless given) -> capital -> returns."""
+    """EAD (unless given) -> capital -> returns, in one projection."""
     rp = rp or P.RiskParams()
-    return add_returns(add_capital(add_exposure(df, rp), rp), rp)
+    st = Stage(df)
+    _exposure(st, rp)
+    _capital(st, rp)
+    _returns(st, rp)
+    return st.apply()
+
+
+def downstream(st: Stage, rp: P.RiskParams) -> Stage:
+    """Everything after PD and LGD: returns, minimum price, decisions."""
+    _returns(st, rp)
+    _minimum_price(st, rp)
+    _decisions(st, rp)
+    return st
 
 
 def price_facilities(df: DataFrame, pd_model: str = "logistic", lgd_model: str = "hybrid",
@@ -95,8 +162,9 @@ def price_facilities(df: DataFrame, pd_model: str = "logistic", lgd_model: str =
     rp = rp or P.RiskParams()
     pd.pd_model(pd_model)
     lgd.check_lgd_model(lgd_model)
-    return (df.transform(add_pd, pd_model, rp)
-              .transform(add_lgd, lgd_model, rp)
-              .transform(add_raroc, rp)
-              .transform(add_minimum_price, rp)
-              .transform(add_decisions, rp))
+    st = Stage(df)
+    _pd(st, pd_model, rp)
+    _lgd(st, lgd_model, rp)
+    _exposure(st, rp)
+    _capital(st, rp)
+    return downstream(st, rp).apply()

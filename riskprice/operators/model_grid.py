@@ -31,21 +31,25 @@ GRID_ROW_COLUMNS = ("model_key", "pd_model", "lgd_model", "borrower_id", "pd_sco
 
 
 def _model_columns(df: DataFrame, rp: P.RiskParams) -> DataFrame:
+    """The three PDs, three LGDs, EAD and capital of each facility, one projection."""
     cols = df.columns
-    out = df.withColumns({f"_pd_{name}": fn(cols, rp) for name, fn in pd.PD_MODELS.items()})
-    out = out.withColumns({"_lgd_collateral": lgd.collateral_lgd(
-        rp, lgd.collateral_base(cols), lgd.ltv_adjustment(cols), lgd.seniority_adjustment(cols)),
-        "_lgd_industry": lgd.industry_lgd(cols)})
-    return out.withColumns({"_lgd_hybrid": lgd.hybrid_lgd(
-        cols, F.col("_lgd_collateral"), F.col("_lgd_industry"))})
+    st = facilities.Stage(df)
+    for name, fn in pd.PD_MODELS.items():
+        st.put(f"_pd_{name}", fn(cols, rp))
+    parts = lgd.collateral_parts(cols)
+    st.put("_lgd_collateral", lgd.collateral_lgd(rp, lambda n: parts[n]))
+    st.put("_lgd_industry", lgd.industry_lgd(cols))
+    st.put("_lgd_hybrid", lgd.hybrid_lgd(cols, st.ref("_lgd_collateral"), st.ref("_lgd_industry")))
+    facilities._exposure(st, rp)
+    facilities._capital(st, rp)
+    return st.apply()
 
 
 def model_grid_rows(df: DataFrame, rp: P.RiskParams | None = None,
                     keep: Tuple[str, ...] = ()) -> DataFrame:
     """One priced row per (facility, model pair): N rows in, 9N rows out."""
     rp = rp or P.RiskParams()
-    base = _model_columns(df, rp).transform(facilities.add_exposure, rp) \
-                                  .transform(facilities.add_capital, rp)
+    base = _model_columns(df, rp)
     pairs = F.array(*[
         F.struct(F.lit(f"{p}_{l}").alias("model_key"), F.lit(p).alias("pd_model"),
                  F.lit(l).alias("lgd_model"), F.col(f"_pd_{p}").alias("pd_score"),
@@ -57,9 +61,7 @@ def model_grid_rows(df: DataFrame, rp: P.RiskParams | None = None,
     exploded = base.select(*carry, F.explode(pairs).alias("_pair")).select(
         "_pair.model_key", "_pair.pd_model", "_pair.lgd_model", *carry,
         "_pair.pd_score", "_pair.lgd_score")
-    priced = (exploded.transform(facilities.add_returns, rp)
-                      .transform(facilities.add_minimum_price, rp)
-                      .transform(facilities.add_decisions, rp))
+    priced = facilities.downstream(facilities.Stage(exploded), rp).apply()
     return priced.select(*GRID_ROW_COLUMNS, *keep)
 
 

@@ -22,6 +22,8 @@ from typing import Dict, Optional, Sequence, Tuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import sql_literal
+
 # Largest dimension we agree to broadcast on a row-count check: tiny lookup
 # tables, and customer/part while they stay under ~1M narrow rows (< ~64 MB).
 BROADCAST_MAX_ROWS = 100_000
@@ -85,18 +87,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
-def _pick(index: Column, values: Sequence[str]) -> Column:
-    expr = None
-    for i, v in enumerate(values[:-1]):
-        expr = F.when(index == F.lit(i), F.lit(v)) if expr is None else expr.when(index == F.lit(i), F.lit(v))
-    return expr.otherwise(F.lit(values[-1]))
+def _pick(index_sql: str, values: Sequence[str]) -> Column:
+    """CASE <index> WHEN 0 THEN values[0] ... ELSE values[-1] END (one SQL expression)."""
+    whens = " ".join(f"WHEN {i} THEN {sql_literal(v)}" for i, v in enumerate(values[:-1]))
+    return F.expr(f"CASE {index_sql} {whens} ELSE {sql_literal(values[-1])} END")
 
 
-def _match(key: Column, pairs, otherwise) -> Column:
-    expr = None
-    for k, v in pairs:
-        expr = F.when(key == F.lit(k), F.lit(v)) if expr is None else expr.when(key == F.lit(k), F.lit(v))
-    return expr.otherwise(F.lit(otherwise))
+def _match(key_sql: str, pairs, otherwise) -> Column:
+    whens = " ".join(f"WHEN {sql_literal(k)} THEN {sql_literal(v)}" for k, v in pairs)
+    return F.expr(f"CASE {key_sql} {whens} ELSE {sql_literal(otherwise)} END")
 
 
 def _ratio100(x: Column) -> Column:
@@ -108,13 +107,30 @@ def region_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     geo = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
     return geo.select("n_nationkey",
-                      _match(F.col("r_name"), REGION_CLASS, REGION_OTHER).alias("region"))
+                      _match("r_name", REGION_CLASS, REGION_OTHER).alias("region"))
+
+
+_FEEDS: Dict[Tuple, DataFrame] = {}
+
+
+def _memo(kind: str, spark: SparkSession, sf_dir: str, variant: bool, build) -> DataFrame:
+    """Derived feeds are plain lazy DataFrames over read-only tables; building one
+    lists files and checks dimension bounds, so the plan object is reused per session."""
+    key = (kind, id(spark), spark.sparkContext.applicationId, sf_dir, variant)
+    if key not in _FEEDS:
+        _FEEDS[key] = build()
+    return _FEEDS[key]
 
 
 def facilities(spark: SparkSession, sf_dir: str, spoiled: bool = False) -> DataFrame:
     """The facility feed (FACILITY_SCHEMA column order).
 
     ``spoiled`` replaces a few values by out-of-domain ones, for the quarantine split."""
+    return _memo("facilities", spark, sf_dir, spoiled,
+                 lambda: _facilities(spark, sf_dir, spoiled))
+
+
+def _facilities(spark: SparkSession, sf_dir: str, spoiled: bool) -> DataFrame:
     orders = spread(table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"))
     customer = table(spark, sf_dir, "customer").select(
@@ -133,15 +149,12 @@ def facilities(spark: SparkSession, sf_dir: str, spoiled: bool = False) -> DataF
         credit = F.when(ok % F.lit(div) == F.lit(0), F.lit(bad)).otherwise(credit)
         div, bad = SPOIL_DEBT_TO_INCOME
         dti = F.when(ok % F.lit(div) == F.lit(0), F.lit(bad)).otherwise(dti)
-    status, price = F.col("o_orderstatus"), F.col("o_totalprice")
-    out_share = _match(status, [(s, o) for s, o, _ in DRAWN_SHARE], DRAWN_OTHER[0])
-    und_share = _match(status, [(s, u) for s, _, u in DRAWN_SHARE], DRAWN_OTHER[1])
-    bal = F.col("c_acctbal")
-    size = None
-    for bound, label in SIZE_BY_BALANCE:
-        cond = bal >= F.lit(bound)
-        size = F.when(cond, F.lit(label)) if size is None else size.when(cond, F.lit(label))
-    size = size.otherwise(F.lit(SIZE_OTHER))
+    price = F.col("o_totalprice")
+    out_share = _match("o_orderstatus", [(s, float(o)) for s, o, _ in DRAWN_SHARE], float(DRAWN_OTHER[0]))
+    und_share = _match("o_orderstatus", [(s, float(u)) for s, _, u in DRAWN_SHARE], float(DRAWN_OTHER[1]))
+    size = F.expr("CASE " + " ".join(f"WHEN c_acctbal >= {b} THEN {sql_literal(l)}"
+                                     for b, l in SIZE_BY_BALANCE)
+                  + f" ELSE {sql_literal(SIZE_OTHER)} END")
     return j.select(
         ok.cast("string").alias("borrower_id"),
         F.col("c_name").alias("borrower_name"),
@@ -150,11 +163,11 @@ def facilities(spark: SparkSession, sf_dir: str, spoiled: bool = False) -> DataF
         _ratio100((ok * F.lit(17) + ck) % F.lit(151)).alias("loan_to_value"),
         (ck % F.lit(21)).cast("int").alias("employment_years"),
         ((ok * F.lit(3) + ck) % F.lit(101)).cast("int").alias("payment_history_score"),
-        _pick(ok % F.lit(12), INDUSTRY_BY_ORDER).alias("industry"),
+        _pick("o_orderkey % 12", INDUSTRY_BY_ORDER).alias("industry"),
         size.alias("company_size"),
-        _pick(ck % F.lit(8), COLLATERAL_BY_CUSTOMER).alias("collateral_type"),
-        _match(F.col("o_orderpriority"), SENIORITY_BY_PRIORITY, SENIORITY_OTHER).alias("seniority"),
-        _pick((ok + ck) % F.lit(6), FACILITY_TYPE_BY_KEYS).alias("facility_type"),
+        _pick("o_custkey % 8", COLLATERAL_BY_CUSTOMER).alias("collateral_type"),
+        _match("o_orderpriority", SENIORITY_BY_PRIORITY, SENIORITY_OTHER).alias("seniority"),
+        _pick("(o_orderkey + o_custkey) % 6", FACILITY_TYPE_BY_KEYS).alias("facility_type"),
         price.alias("exposure_amount"),
         (price * out_share).alias("outstanding_amount"),
         (price * und_share).alias("undrawn_amount"),
@@ -175,7 +188,12 @@ def facilities_with_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def product_lines(spark: SparkSession, sf_dir: str, spoiled: bool = False) -> DataFrame:
     """The product feed (PRODUCT_SCHEMA column order): one row per line item."""
-    li = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity"))
+    return _memo("product_lines", spark, sf_dir, spoiled,
+                 lambda: _product_lines(spark, sf_dir, spoiled))
+
+
+def _product_lines(spark: SparkSession, sf_dir: str, spoiled: bool) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_retailprice")
     part = broadcast_if_small(part, DIMENSION_BROADCAST_MAX_ROWS)
     j = li.join(part, F.col("l_partkey") == F.col("p_partkey"))
