@@ -6,13 +6,14 @@ derive identical rows. Join plan:
 
 * ``nation x region`` is a fixed-size dimension (25 rows in TPC-H at every scale):
   it is reduced to (nation key, region class) and broadcast after a bounded row
-  count check; if the check fails the join stays a shuffle join.
-* ``customer`` joins that dimension map-side. The customer side of
-  ``orders x customer`` is broadcast only while a bounded count proves it has at
-  most ``DIMENSION_BROADCAST_MAX_ROWS`` rows; beyond that the join is a sort-merge
-  join on the customer key, where AQE splits a hot key (one customer with a third
-  of all orders) into several tasks. The order side is never broadcast.
-* ``lineitem x part`` follows the same rule with part as the dimension.
+  count check; if the check fails it stays a shuffle join.
+* ``orders x customer`` and ``lineitem x part`` are joined first, fact on the left,
+  and the strategy is left to Catalyst's size-based rule: the dimension is
+  broadcast while its files are under ``spark.sql.autoBroadcastJoinThreshold``,
+  otherwise the join is a sort-merge join on the key, where AQE splits a hot key
+  (one customer holding a third of all orders) over several tasks. Joining the
+  region dimension last keeps the customer side a plain scan, so its size
+  estimate is the file size rather than an inflated join estimate.
 """
 
 from __future__ import annotations
@@ -24,10 +25,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import sql_literal
 
-# Largest dimension we agree to broadcast on a row-count check: tiny lookup
-# tables, and customer/part while they stay under ~1M narrow rows (< ~64 MB).
+# Largest lookup table we hint as broadcast after a bounded row-count check.
 BROADCAST_MAX_ROWS = 100_000
-DIMENSION_BROADCAST_MAX_ROWS = 1_000_000
 
 # FIXED VALUES of the fixture derivation (same lists as the SQL oracle).
 INDUSTRY_BY_ORDER = ("technology", "healthcare", "financial_services", "manufacturing",
@@ -136,10 +135,8 @@ def _facilities(spark: SparkSession, sf_dir: str, spoiled: bool) -> DataFrame:
     customer = table(spark, sf_dir, "customer").select(
         "c_custkey", "c_name", "c_nationkey", "c_acctbal")
     geo = broadcast_if_small(region_dimension(spark, sf_dir))
-    cust = customer.join(geo, F.col("c_nationkey") == F.col("n_nationkey"))
-    cust = broadcast_if_small(cust.select("c_custkey", "c_name", "c_acctbal", "region"),
-                              DIMENSION_BROADCAST_MAX_ROWS)
-    j = orders.join(cust, F.col("o_custkey") == F.col("c_custkey"))
+    j = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    j = j.join(geo, F.col("c_nationkey") == F.col("n_nationkey"))
 
     ok, ck = F.col("o_orderkey"), F.col("o_custkey")
     credit = (F.lit(300) + (ok * F.lit(7919) + ck * F.lit(104729)) % F.lit(551)).cast("int")
@@ -195,7 +192,6 @@ def product_lines(spark: SparkSession, sf_dir: str, spoiled: bool = False) -> Da
 def _product_lines(spark: SparkSession, sf_dir: str, spoiled: bool) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_retailprice")
-    part = broadcast_if_small(part, DIMENSION_BROADCAST_MAX_ROWS)
     j = li.join(part, F.col("l_partkey") == F.col("p_partkey"))
     t = F.col("p_type")
     category = (F.when(t.isin(*PREMIUM_TYPES), F.lit("premium"))

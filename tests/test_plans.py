@@ -72,11 +72,10 @@ def test_every_query_is_native(spark):
 
 
 def test_large_dimension_falls_back_to_shuffle_join(spark, monkeypatch):
-    """Beyond the row bound nothing is hinted: with automatic broadcast off (as for
-    tables far above the threshold) the facility join is a sort-merge join, and the
-    priced rows are identical."""
+    """Customer is never hinted: with automatic broadcast off (as for tables far above
+    the threshold) orders x customer is a sort-merge join, and the priced rows are
+    identical."""
     small = rp.price_facilities(tables.facilities(spark, SF)).collect()
-    monkeypatch.setattr(tables, "DIMENSION_BROADCAST_MAX_ROWS", 10)
     monkeypatch.setattr(tables, "_FEEDS", {})
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
