@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..params import RiskParams
 from .facilities import price_facilities
 from .portfolio import distribution
+from .quality import Rule, with_errors
 
 
 def price_and_write(facilities: DataFrame, out_dir: str, pd_model: str = "logistic",
@@ -54,3 +55,19 @@ def written_distributions(spark: SparkSession, out_dir: str, fmt: str = "parquet
                  F.col("pricing_recommendation").alias("value")))
     exploded = rows.select(F.explode(dims).alias("d")).select("d.dimension", "d.value")
     return distribution(exploded, "value", "dimension")
+
+
+def split_and_write(feed: DataFrame, rules, out_dir: str, fmt: str = "parquet") -> None:
+    """Quarantine split in one pass: every row is checked once and written under
+    ``accepted=true`` or ``accepted=false`` (rejected rows keep ``validation_errors``),
+    instead of two filters that would each scan the feed."""
+    checked = with_errors(feed, rules).withColumn(
+        "accepted", F.col("validation_errors") == F.lit(""))
+    checked.write.mode("overwrite").format(fmt).partitionBy("accepted").save(out_dir)
+
+
+def read_split(spark: SparkSession, out_dir: str, accepted: bool, fmt: str = "parquet") -> DataFrame:
+    """One side of a written split (partition pruning reads only that side)."""
+    side = spark.read.format(fmt).load(out_dir).filter(F.col("accepted") == F.lit(accepted))
+    side = side.drop("accepted")
+    return side.drop("validation_errors") if accepted else side

@@ -82,8 +82,12 @@ def spread(df: DataFrame) -> DataFrame:
     """Round-robin a fact scan over all cores only when it has fewer input splits than
     the default parallelism (tiny inputs, e.g. one row group); a large table already
     has thousands of splits and is left alone, so no shuffle is added at scale."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:                   # no RDD API (e.g. Spark Connect): keep the splits
+        return df
+    return df.repartition(target) if splits < target else df
 
 
 def _pick(index_sql: str, values: Sequence[str]) -> Column:

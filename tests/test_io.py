@@ -91,3 +91,15 @@ def test_model_catalog(spark):
     assert kinds["lgd_model"] == ["collateral", "industry", "hybrid"]
     assert kinds["risk_type"] == ["corporate", "sme", "retail", "sovereign", "bank"]
     assert kinds["economic_condition"] == ["recession", "normal", "expansion"]
+
+
+def test_split_and_write_one_pass(spark):
+    from riskprice.operators import quality
+    raw = tables.facilities(spark, "/root/testdata/sf0.001", spoiled=True)
+    d = tempfile.mkdtemp(prefix="rp-split-") + "/split"
+    jobs.split_and_write(raw, quality.FACILITY_RULES, d)
+    ok, bad = rp.split_facilities(raw)
+    got_ok, got_bad = jobs.read_split(spark, d, True), jobs.read_split(spark, d, False)
+    assert got_ok.count() == ok.count() and got_bad.count() == bad.count()
+    assert got_ok.select(*ok.columns).exceptAll(ok).count() == 0
+    assert got_bad.select(*bad.columns).exceptAll(bad).count() == 0
