@@ -3,7 +3,8 @@
 Each job is built from the registered queries and forced in full: row outputs go
 to the ``noop`` sink (every row computed, nothing collected), summaries are
 collected (a handful of rows). Each job runs twice; the faster run counts.
-Prints one JSON line.
+Prints one JSON line. Set BENCH_EVENT_LOG_DIR to a scratch folder to keep Spark's
+event log (stage and task times) of the run.
 """
 
 from __future__ import annotations
@@ -51,7 +52,8 @@ def run(spark, name, how):
 
 def main():
     spark = local_session(cores=str(CPUS), shuffle_partitions=CPUS, app="riskprice-bench",
-                          driver_memory=os.environ.get("BENCH_DRIVER_MEMORY", "16g"))
+                          driver_memory=os.environ.get("BENCH_DRIVER_MEMORY", "16g"),
+                          event_log_dir=os.environ.get("BENCH_EVENT_LOG_DIR") or None)
     run(spark, "facilities_source", "rows")      # warm-up: JVM, file listing, codegen cache
     times = {}
     for name, how in HEADLINE:

@@ -26,12 +26,17 @@ LOCAL_DEFAULTS = {
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "riskprice",
-                  driver_memory: str = "8g") -> SparkSession:
+                  driver_memory: str = "8g", event_log_dir: str | None = None,
+                  extra: dict | None = None) -> SparkSession:
+    """Local session for tests and the benchmark. ``event_log_dir`` writes Spark's
+    event log (stage and task times) to that folder; the web UI stays off."""
     b = (SparkSession.builder.master(f"local[{cores}]").appName(app)
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.driver.memory", driver_memory))
-    for k, v in LOCAL_DEFAULTS.items():
+    for k, v in {**LOCAL_DEFAULTS, **(extra or {})}.items():
         b = b.config(k, v)
+    if event_log_dir:
+        b = b.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_log_dir)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)

@@ -103,3 +103,21 @@ def test_split_and_write_one_pass(spark):
     assert got_ok.count() == ok.count() and got_bad.count() == bad.count()
     assert got_ok.select(*ok.columns).exceptAll(ok).count() == 0
     assert got_bad.select(*bad.columns).exceptAll(bad).count() == 0
+
+
+def test_cli_jobs(spark, portfolio, products):
+    from riskprice import cli
+    src = tempfile.mkdtemp(prefix="rp-cli-")
+    files.write(portfolio, src + "/fac")
+    files.write(products, src + "/prod")
+    r = cli.run(["price-facilities", "--input", src + "/fac", "--output", src + "/priced",
+                 "--pd-model", "score_based"], spark)
+    assert r["summary"]["facility_count"] == 8
+    assert spark.read.parquet(src + "/priced/rows").count() == 8
+    assert spark.read.parquet(src + "/priced/distributions").count() > 0
+    cli.run(["model-grid", "--input", src + "/fac", "--output", src + "/grid"], spark)
+    assert spark.read.parquet(src + "/grid").count() == 9
+    r = cli.run(["price-products", "--input", src + "/prod", "--output", src + "/pp"], spark)
+    assert r["summary"]["total_products"] == 5
+    cli.run(["split-facilities", "--input", src + "/fac", "--output", src + "/split"], spark)
+    assert jobs.read_split(spark, src + "/split", True).count() == 8
