@@ -119,7 +119,11 @@ _FEEDS: Dict[Tuple, DataFrame] = {}
 def _memo(kind: str, spark: SparkSession, sf_dir: str, variant: bool, build) -> DataFrame:
     """Derived feeds are plain lazy DataFrames over read-only tables; building one
     lists files and checks dimension bounds, so the plan object is reused per session."""
-    key = (kind, id(spark), spark.sparkContext.applicationId, sf_dir, variant)
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:                   # Spark Connect has no SparkContext
+        app = None
+    key = (kind, id(spark), app, sf_dir, variant)
     if key not in _FEEDS:
         _FEEDS[key] = build()
     return _FEEDS[key]
