@@ -1,0 +1,84 @@
+"""Fact-to-dimension equi-join that splits hot keys.
+
+A single key may hold a large share of the fact rows (one customer with a third of
+all orders). A plain shuffle join sends all of them to one task. Here:
+
+1. ``hot_keys`` finds keys whose share of a seeded sample is at least ``support``
+   with ``DataFrame.stat.freqItems`` (one pass, bounded candidate list), then
+   verifies the candidates with one grouped count over the same sample; the result
+   has at most 1/support keys, each with an estimated row count.
+2. ``salted_join`` gives each fact row of a hot key a deterministic salt
+   ``pmod(xxhash64(salt_by), buckets_k)`` (the bucket count scales with the key's
+   estimated rows) and replicates only that key's dimension row ``buckets_k``
+   times; all other rows get salt 0. Joining on (key, salt) spreads a hot key
+   over ``buckets_k`` tasks. The salt is a function of the row, so a retried task
+   reproduces the same shuffle output.
+
+Without hot keys the join is a plain equi-join, and Catalyst still chooses a
+broadcast when the dimension is small.
+"""
+
+from __future__ import annotations
+
+import math
+from typing import List, Tuple
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+SAMPLE_FRACTION = 0.01
+HOT_SUPPORT = 0.001              # a key with >= 0.1% of the rows is hot
+ROWS_PER_TASK = 2_000_000
+MAX_BUCKETS = 4096
+SEED = 17
+
+
+def hot_keys(fact: DataFrame, key: str, support: float = HOT_SUPPORT,
+             fraction: float = SAMPLE_FRACTION, seed: int = SEED,
+             min_rows: int = ROWS_PER_TASK) -> List[Tuple[object, int]]:
+    """[(key value, estimated fact rows)] for keys holding >= ``support`` of the rows
+    and an estimated ``min_rows`` or more (a key smaller than one task's share of
+    work needs no splitting)."""
+    sample = fact.select(key).sample(fraction=fraction, seed=seed)
+    cands = [c for c in sample.stat.freqItems([key], support).first()[0] if c is not None]
+    if not cands:
+        return []
+    counted = (sample.groupBy(F.when(F.col(key).isin(cands), F.col(key)).alias("k"))
+                     .agg(F.count(F.lit(1)).alias("n")).collect())   # <= len(cands) + 1 rows
+    total = sum(r.n for r in counted)
+    return [(r.k, int(r.n / fraction)) for r in counted
+            if r.k is not None and total and r.n >= support * total
+            and r.n / fraction >= min_rows]
+
+
+def buckets_for(est_rows: int, rows_per_task: int = ROWS_PER_TASK) -> int:
+    return int(min(MAX_BUCKETS, max(2, math.ceil(est_rows / rows_per_task))))
+
+
+def salted_join(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, salt_by: Column,
+                hot: List[Tuple[object, int]] | None = None,
+                rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Inner equi-join ``fact.fact_key == dim.dim_key`` with hot keys split."""
+    hot = hot_keys(fact, fact_key, min_rows=rows_per_task) if hot is None else hot
+    if not hot:
+        return fact.join(dim, F.col(fact_key) == F.col(dim_key))
+    spark = fact.sparkSession
+    key_type = fact.schema[fact_key].dataType
+    table = spark.createDataFrame(
+        [(k, buckets_for(n, rows_per_task)) for k, n in hot],
+        StructType([StructField("_hot_key", key_type, False),
+                    StructField("_buckets", IntegerType(), False)]))
+    table = F.broadcast(table)               # at most 1/support rows
+    fact_s = (fact.join(table, F.col(fact_key) == F.col("_hot_key"), "left")
+                  .withColumn("_salt", F.when(F.col("_buckets").isNull(), F.lit(0))
+                              .otherwise(F.pmod(F.xxhash64(salt_by), F.col("_buckets")).cast("int")))
+                  .drop("_hot_key", "_buckets"))
+    dim_s = (dim.join(table, F.col(dim_key) == F.col("_hot_key"), "left")
+                .withColumn("_dsalt", F.explode(
+                    F.when(F.col("_buckets").isNull(), F.array(F.lit(0)))
+                     .otherwise(F.sequence(F.lit(0), F.col("_buckets") - F.lit(1)))))
+                .drop("_hot_key", "_buckets"))
+    joined = fact_s.join(dim_s, (F.col(fact_key) == F.col(dim_key))
+                         & (F.col("_salt") == F.col("_dsalt")))
+    return joined.drop("_salt", "_dsalt")

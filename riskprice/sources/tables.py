@@ -10,10 +10,11 @@ derive identical rows. Join plan:
 * ``orders x customer`` and ``lineitem x part`` are joined first, fact on the left,
   and the strategy is left to Catalyst's size-based rule: the dimension is
   broadcast while its files are under ``spark.sql.autoBroadcastJoinThreshold``,
-  otherwise the join is a sort-merge join on the key, where AQE splits a hot key
-  (one customer holding a third of all orders) over several tasks. Joining the
-  region dimension last keeps the customer side a plain scan, so its size
-  estimate is the file size rather than an inflated join estimate.
+  otherwise the join is a sort-merge join on the key. Hot keys (one customer
+  holding a third of all orders) are found from a sample and salted
+  (``operators.joins``), so they are spread over many tasks even without AQE.
+  Joining the region dimension last keeps the customer side a plain scan, so its
+  size estimate is the file size rather than an inflated join estimate.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import sql_literal
+from ..operators.joins import salted_join
 
 # Largest lookup table we hint as broadcast after a bounded row-count check.
 BROADCAST_MAX_ROWS = 100_000
@@ -143,7 +145,7 @@ def _facilities(spark: SparkSession, sf_dir: str, spoiled: bool) -> DataFrame:
     customer = table(spark, sf_dir, "customer").select(
         "c_custkey", "c_name", "c_nationkey", "c_acctbal")
     geo = broadcast_if_small(region_dimension(spark, sf_dir))
-    j = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    j = salted_join(orders, customer, "o_custkey", "c_custkey", salt_by=F.col("o_orderkey"))
     j = j.join(geo, F.col("c_nationkey") == F.col("n_nationkey"))
 
     ok, ck = F.col("o_orderkey"), F.col("o_custkey")
@@ -200,7 +202,7 @@ def product_lines(spark: SparkSession, sf_dir: str, spoiled: bool = False) -> Da
 def _product_lines(spark: SparkSession, sf_dir: str, spoiled: bool) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_retailprice")
-    j = li.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    j = salted_join(li, part, "l_partkey", "p_partkey", salt_by=F.col("l_orderkey"))
     t = F.col("p_type")
     category = (F.when(t.isin(*PREMIUM_TYPES), F.lit("premium"))
                  .when(t.isin(*STANDARD_TYPES), F.lit("standard"))

@@ -1,0 +1,53 @@
+"""Hot-key detection and salted join on a deliberately skewed fact table."""
+
+from pyspark.sql import functions as F
+
+from riskprice.operators import joins
+from riskprice.sources import tables
+
+SF = "/root/testdata/sf0.001"
+
+
+def skewed_orders(spark):
+    o = tables.table(spark, SF, "orders")
+    # a third of all orders moved to one customer
+    return o.withColumn("o_custkey", F.when(F.col("o_orderkey") % 3 == 0, F.lit(7))
+                        .otherwise(F.col("o_custkey")))
+
+
+def test_hot_key_found(spark):
+    hot = joins.hot_keys(skewed_orders(spark), "o_custkey", fraction=0.5, min_rows=100)
+    assert [k for k, _ in hot] == [7]
+    n = skewed_orders(spark).filter("o_custkey = 7").count()
+    assert abs(hot[0][1] - n) < 0.5 * n
+
+
+def test_no_hot_key_in_uniform_data(spark):
+    orders = tables.table(spark, SF, "orders")
+    assert joins.hot_keys(orders, "o_custkey", fraction=0.5, min_rows=100) == []
+    assert joins.hot_keys(orders, "o_custkey") == []
+
+
+def test_salted_join_equals_plain_join(spark):
+    o, c = skewed_orders(spark), tables.table(spark, SF, "customer")
+    plain = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
+    hot = [(7, 500)]
+    salted = joins.salted_join(o, c, "o_custkey", "c_custkey", F.col("o_orderkey"), hot=hot,
+                               rows_per_task=100)
+    assert salted.columns == plain.columns
+    assert salted.count() == plain.count()
+    assert salted.exceptAll(plain).count() == 0 and plain.exceptAll(salted).count() == 0
+    # the hot key's rows are spread over several salt buckets
+    b = joins.buckets_for(500, 100)
+    assert b == 5
+    spread = (o.filter("o_custkey = 7")
+               .select(F.pmod(F.xxhash64("o_orderkey"), F.lit(b)).alias("s")).distinct().count())
+    assert spread == b
+
+
+def test_salted_join_detects_by_itself(spark):
+    o, c = skewed_orders(spark), tables.table(spark, SF, "customer")
+    plain = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
+    salted = joins.salted_join(o, c, "o_custkey", "c_custkey", F.col("o_orderkey"), rows_per_task=100)
+    assert salted.count() == plain.count()
+    assert salted.exceptAll(plain).count() == 0
