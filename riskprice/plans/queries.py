@@ -40,10 +40,6 @@ def register(name: str, sql: Optional[str] = None):
     return deco
 
 
-def _keyed(L: "S.Ladder", keep: Sequence[str]) -> str:
-    return L.final(keep)
-
-
 def _pick(df: DataFrame, keep: Sequence[str]) -> DataFrame:
     return report(df.select(*keep))
 

@@ -18,9 +18,10 @@ LOCAL_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # The fused pricing projection compiles to one method above the JVM's 8000-byte
-    # JIT limit; without this flag HotSpot interprets it (about 4x slower). On a
-    # cluster set the same flag in spark.executor.extraJavaOptions.
+    # A priced row plus the 40-column reporting projection of the registered queries
+    # compiles to one method above the JVM's 8000-byte JIT limit; without this flag
+    # HotSpot interprets it (2-3x slower). The library's fused pricing projection
+    # alone fits. On a cluster set the same flag in spark.executor.extraJavaOptions.
     "spark.driver.extraJavaOptions": "-XX:-DontCompileHugeMethods",
 }
 
