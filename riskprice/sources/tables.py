@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import sql_literal
-from ..operators.joins import salted_join
+from ..operators.joins import hot_keys, salted_join
 
 # Largest lookup table we hint as broadcast after a bounded row-count check.
 BROADCAST_MAX_ROWS = 100_000
@@ -140,12 +140,14 @@ def facilities(spark: SparkSession, sf_dir: str, spoiled: bool = False) -> DataF
 
 
 def _facilities(spark: SparkSession, sf_dir: str, spoiled: bool) -> DataFrame:
-    orders = spread(table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"))
+    raw_orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    orders = spread(raw_orders)
     customer = table(spark, sf_dir, "customer").select(
         "c_custkey", "c_name", "c_nationkey", "c_acctbal")
     geo = broadcast_if_small(region_dimension(spark, sf_dir))
-    j = salted_join(orders, customer, "o_custkey", "c_custkey", salt_by=F.col("o_orderkey"))
+    j = salted_join(orders, customer, "o_custkey", "c_custkey", salt_by=F.col("o_orderkey"),
+                    hot=hot_keys(raw_orders, "o_custkey"))
     j = j.join(geo, F.col("c_nationkey") == F.col("n_nationkey"))
 
     ok, ck = F.col("o_orderkey"), F.col("o_custkey")
