@@ -50,18 +50,24 @@ def run(spark, name, how):
     return time.perf_counter() - t0
 
 
+MEMORY = os.environ.get("BENCH_DRIVER_MEMORY", "16g")
+
+
 def main():
     spark = local_session(cores=str(CPUS), shuffle_partitions=CPUS, app="riskprice-bench",
-                          driver_memory=os.environ.get("BENCH_DRIVER_MEMORY", "16g"),
+                          driver_memory=MEMORY,
                           event_log_dir=os.environ.get("BENCH_EVENT_LOG_DIR") or None)
     run(spark, "facilities_source", "rows")      # warm-up: JVM, file listing, codegen cache
     times = {}
     for name, how in HEADLINE:
         times[name] = round(min(run(spark, name, how) for _ in range(3)), 3)
+    from riskprice.sources import tables
+    rows = {"facilities": tables.facilities(spark, SF_DIR).count(),
+            "product_lines": tables.product_lines(spark, SF_DIR).count()}
     sf = os.path.basename(SF_DIR.rstrip("/")).replace("sf", "")
     out = {"metric": "headline_jobs_total", "value": round(sum(times.values()), 3),
            "unit": "sec", "queries": times, "sf": float(sf) if sf else SF_DIR,
-           "cores": CPUS}
+           "cores": CPUS, "driver_memory": MEMORY, "input_rows": rows}
     print(json.dumps(out))
     spark.stop()
 
