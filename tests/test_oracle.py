@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
-from check_oracle import TABLES, digest  # noqa: E402
+from check_oracle import TABLES, digest, type_mismatches  # noqa: E402
 
 import __spark_entry__ as E  # noqa: E402
 
@@ -34,6 +34,7 @@ def test_query_matches_oracle(spark, con, name):
     s_rows, d_rows = [tuple(r) for r in df.collect()], rel.fetchall()
     assert len(s_rows) == len(d_rows)
     assert sorted(df.columns) == sorted(rel.columns)
+    assert type_mismatches(df, rel) == {}
     assert digest(df.columns, s_rows)[0] == digest(rel.columns, d_rows)[0]
 
 
