@@ -69,9 +69,12 @@ def within_rows(df: DataFrame, max_rows: int) -> bool:
     column scans partitions incrementally and stops at max_rows + 1 rows (at most
     that many one-field rows reach the driver); the answer is remembered per set of
     input files (a rewritten table has new files)."""
-    key = (tuple(sorted(df.inputFiles())), df.schema.simpleString(), max_rows)
-    if key not in _BOUND_CHECKS:
+    files = tuple(sorted(df.inputFiles()))
+    key = (files, df.schema.simpleString(), max_rows)
+    if not files or key not in _BOUND_CHECKS:       # no files: nothing to key a cache on
         probe = df.select(F.lit(1).alias("one")).limit(max_rows + 1).collect()
+        if not files:
+            return len(probe) <= max_rows
         _BOUND_CHECKS[key] = len(probe) <= max_rows
     return _BOUND_CHECKS[key]
 

@@ -86,3 +86,11 @@ def test_large_dimension_falls_back_to_shuffle_join(spark, monkeypatch):
         assert sorted(map(tuple, df.collect())) == sorted(map(tuple, small))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_bound_check(spark):
+    small = spark.range(5).toDF("k")
+    big = spark.range(50).toDF("k")
+    assert tables.within_rows(small, 10) and not tables.within_rows(big, 10)
+    region = tables.table(spark, SF, "region")
+    assert tables.within_rows(region, 5) and not tables.within_rows(region, 4)
