@@ -40,7 +40,8 @@ def _add_risk_args(p: argparse.ArgumentParser) -> None:
     p.add_argument("--stress-lgd-factor", type=float, default=d.stress_lgd_factor)
     p.add_argument("--economic-condition", default=d.economic_condition)
     p.add_argument("--stress-factor", type=float, default=d.stress_factor)
-    p.add_argument("--extra", nargs="*", default=[], help="optional facility columns present")
+    p.add_argument("--extra", nargs="*", default=None,
+                   help="optional facility columns present (detected for parquet when omitted)")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -73,10 +74,18 @@ def run(argv: Optional[List[str]] = None, spark: Optional[SparkSession] = None)
         rules = P.ProductRules(**{f: getattr(a, f) for f in vars(P.ProductRules())})
         priced = products.price_products(files.read_products(spark, a.input, a.format), rules)
         files.write(priced, a.output + "/rows", a.format)
-        summary = portfolio.product_summary(spark.read.format(a.format).load(a.output + "/rows"))
-        out["summary"] = summary.first().asDict()
+        written = files.reader_options(
+            spark.read.schema(priced.schema).format(a.format), a.format).load(a.output + "/rows")
+        out["summary"] = portfolio.product_summary(written).first().asDict()
         return out
     rp = _risk_params(a)
+    if a.extra is None:
+        a.extra = (files.optional_columns_present(spark, a.input, a.format)
+                   if a.format == "parquet" and a.job != "stream-facilities" else [])
+    elif a.format == "parquet" and a.job != "stream-facilities":
+        missing = set(a.extra) - set(files.optional_columns_present(spark, a.input, a.format))
+        if missing:
+            raise ValueError(f"--extra names columns the input does not have: {sorted(missing)}")
     if a.job == "stream-facilities":
         from .streaming import start_pricing_stream
         q = start_pricing_stream(spark, a.input, a.output, checkpoint=a.checkpoint,

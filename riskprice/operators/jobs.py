@@ -16,44 +16,28 @@ from pyspark.sql import functions as F
 
 from ..params import RiskParams
 from .facilities import price_facilities
-from .portfolio import distribution
+from .portfolio import decision_dimensions, distribution, finish_summary, summary_aggregates
 from .quality import Rule, with_errors
 
 
 def price_and_write(facilities: DataFrame, out_dir: str, pd_model: str = "logistic",
                     lgd_model: str = "hybrid", rp: Optional[RiskParams] = None,
                     fmt: str = "parquet") -> Dict[str, float]:
-    """Write priced rows to ``out_dir``; return the portfolio totals of the same run."""
+    """Write priced rows to ``out_dir``; return the portfolio totals of the same run.
+
+    The metrics are observed in the write job's result stage, whose task updates
+    Spark applies once per partition even when tasks are retried."""
     priced = price_facilities(facilities, pd_model, lgd_model, rp)
     obs = Observation("portfolio")
-    observed = priced.observe(
-        obs,
-        F.sum("ead_amount").alias("total_exposure"),
-        F.sum("expected_loss").alias("total_expected_loss"),
-        F.sum("economic_capital").alias("total_economic_capital"),
-        F.sum("net_income").alias("total_net_income"),
-        F.avg("pd_score").alias("average_pd"),
-        F.avg("lgd_score").alias("average_lgd"),
-        F.avg("raroc").alias("average_individual_raroc"),
-        F.avg("minimum_rate").alias("average_minimum_rate"),
-        F.count(F.lit(1)).alias("facility_count"))
+    observed = priced.observe(obs, *summary_aggregates())
     observed.write.mode("overwrite").format(fmt).save(out_dir)
-    m = {k: (v if v is not None else 0.0) for k, v in obs.get.items()}
-    cap, inc = float(m["total_economic_capital"]), float(m["total_net_income"])
-    m["portfolio_raroc"] = inc / cap if cap > 0 else 0.0
-    ead = float(m["total_exposure"]) or 1.0
-    m["expected_loss_rate"] = float(m["total_expected_loss"]) / ead
-    return m
+    return finish_summary(obs.get)
 
 
 def written_distributions(spark: SparkSession, out_dir: str, fmt: str = "parquet") -> DataFrame:
     """(dimension, value, count) for rating and recommendation from the written rows."""
     rows = spark.read.format(fmt).load(out_dir).select("risk_rating", "pricing_recommendation")
-    dims = F.array(
-        F.struct(F.lit("risk_rating").alias("dimension"), F.col("risk_rating").alias("value")),
-        F.struct(F.lit("pricing_recommendation").alias("dimension"),
-                 F.col("pricing_recommendation").alias("value")))
-    exploded = rows.select(F.explode(dims).alias("d")).select("d.dimension", "d.value")
+    exploded = rows.select(F.explode(decision_dimensions()).alias("d")).select("d.dimension", "d.value")
     return distribution(exploded, "value", "dimension")
 
 

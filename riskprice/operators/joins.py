@@ -3,10 +3,11 @@
 A single key may hold a large share of the fact rows (one customer with a third of
 all orders). A plain shuffle join sends all of them to one task. Here:
 
-1. ``hot_keys`` finds keys whose share of a seeded sample is at least ``support``
-   with ``DataFrame.stat.freqItems`` (one pass, bounded candidate list), then
-   verifies the candidates with one grouped count over the same sample; the result
-   has at most 1/support keys, each with an estimated row count.
+1. ``hot_keys`` reads the key column once into a seeded, persisted sample, finds
+   keys whose share is at least ``support`` with ``DataFrame.stat.freqItems``
+   (bounded candidate list), then verifies the candidates with one grouped count
+   over the same sample; the result has at most 1/support keys, each with an
+   estimated row count.
 2. ``salted_join`` gives each fact row of a hot key a deterministic salt
    ``pmod(xxhash64(salt_by), buckets_k)`` (the bucket count scales with the key's
    estimated rows) and replicates only that key's dimension row ``buckets_k``
@@ -23,6 +24,7 @@ from __future__ import annotations
 import math
 from typing import List, Tuple
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -40,12 +42,18 @@ def hot_keys(fact: DataFrame, key: str, support: float = HOT_SUPPORT,
     """[(key value, estimated fact rows)] for keys holding >= ``support`` of the rows
     and an estimated ``min_rows`` or more (a key smaller than one task's share of
     work needs no splitting)."""
-    sample = fact.select(key).sample(fraction=fraction, seed=seed)
-    cands = [c for c in sample.stat.freqItems([key], support).first()[0] if c is not None]
-    if not cands:
-        return []
-    counted = (sample.groupBy(F.when(F.col(key).isin(cands), F.col(key)).alias("k"))
-                     .agg(F.count(F.lit(1)).alias("n")).collect())   # <= len(cands) + 1 rows
+    # the fact table's key column is read once; both passes run on the kept sample
+    # (lost blocks are recomputed from the seeded sample, which is deterministic)
+    sample = fact.select(key).sample(fraction=fraction, seed=seed).persist(
+        StorageLevel.MEMORY_AND_DISK)
+    try:
+        cands = [c for c in sample.stat.freqItems([key], support).first()[0] if c is not None]
+        if not cands:
+            return []
+        counted = (sample.groupBy(F.when(F.col(key).isin(cands), F.col(key)).alias("k"))
+                         .agg(F.count(F.lit(1)).alias("n")).collect())  # <= len(cands) + 1 rows
+    finally:
+        sample.unpersist()
     total = sum(r.n for r in counted)
     return [(r.k, int(r.n / fraction)) for r in counted
             if r.k is not None and total and r.n >= support * total

@@ -57,7 +57,7 @@ def model_grid_rows(df: DataFrame, rp: P.RiskParams | None = None,
         for p, l in MODEL_PAIRS])
     carry = [c for c in df.columns if c not in ("pd_score", "lgd_score")]
     carry += [c for c in ("ccf", "ead_amount", "regulatory_capital", "economic_capital")
-              if c not in carry]
+              if c not in carry and c in base.columns]
     exploded = base.select(*carry, F.explode(pairs).alias("_pair")).select(
         "_pair.model_key", "_pair.pd_model", "_pair.lgd_model", *carry,
         "_pair.pd_score", "_pair.lgd_score")
@@ -75,11 +75,7 @@ def model_grid_distribution(df: DataFrame, rp: P.RiskParams | None = None) -> Da
     """Rating and recommendation counts per pair in one aggregation:
     (model_key, dimension, value, count)."""
     rows = model_grid_rows(df, rp)
-    dims = F.array(
-        F.struct(F.lit("risk_rating").alias("dimension"), F.col("risk_rating").alias("value")),
-        F.struct(F.lit("pricing_recommendation").alias("dimension"),
-                 F.col("pricing_recommendation").alias("value")))
-    return (rows.select("model_key", F.explode(dims).alias("_d"))
+    return (rows.select("model_key", F.explode(portfolio.decision_dimensions()).alias("_d"))
                 .groupBy("model_key", F.col("_d.dimension").alias("dimension"),
                          F.col("_d.value").alias("value"))
                 .agg(F.count(F.lit(1)).alias("count")))

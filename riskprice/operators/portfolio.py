@@ -48,6 +48,27 @@ def summary_finish(keys: Sequence[str] = ()) -> List[Column]:
     return out
 
 
+def finish_summary(raw: dict) -> dict:
+    """``summary_finish`` for one already-collected row of ``summary_aggregates``
+    (same rules: null -> 0, ratio of sums, EL rate over (sum EAD or 1))."""
+    val = lambda k: float(raw.get(k) or 0.0)
+    out = {name: val("_s_" + name) for name, _ in _SUMS}
+    cap, inc = val("_s_total_economic_capital"), val("_s_total_net_income")
+    out["portfolio_raroc"] = inc / cap if cap > 0 else 0.0
+    for name, _ in _AVGS:
+        out[name] = val("_a_" + name)
+    out["expected_loss_rate"] = val("_s_total_expected_loss") / (val("_s_total_exposure") or 1.0)
+    out["facility_count"] = int(raw.get("facility_count") or 0)
+    return out
+
+
+def decision_dimensions() -> Column:
+    """array<struct<dimension, value>> of the two decision columns, for one grouped
+    count over both distributions."""
+    return F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).alias("value"))
+                     for c in ("risk_rating", "pricing_recommendation")])
+
+
 def portfolio_summary(priced: DataFrame) -> DataFrame:
     """One row: totals, unweighted averages, portfolio RAROC and EL rate."""
     return priced.agg(*summary_aggregates()).select(*summary_finish())

@@ -241,7 +241,8 @@ class RiskParams:
     @classmethod
     def from_dict(cls, d: Mapping | None) -> "RiskParams":
         d = dict(d or {})
-        kw = {k: d[k] for k in cls.__dataclass_fields__ if k in d and k != "logistic"}
-        if "coefficients" in d:
+        kw = {k: d[k] for k in cls.__dataclass_fields__
+              if k in d and k != "logistic" and d[k] is not None}
+        if d.get("coefficients") is not None:
             kw["logistic"] = LogisticModel.from_dict(d["coefficients"])
         return cls(**kw)

@@ -33,8 +33,14 @@ def grid_for(name: str, grid: Tuple[float, float]) -> float:
     return grid[0] if name in MONEY else grid[1]
 
 
+# floor(x * s) is exact only while |x * s| < 2^53; NaN, infinities and larger values
+# are reported unchanged (Spark's floor would also saturate its BIGINT result).
+GRID_LIMIT = 9.0e15
+
+
 def on_grid(c: Column, scale: float) -> Column:
-    return F.floor(c * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    return F.when(F.abs(c) * F.lit(scale) < F.lit(GRID_LIMIT),
+                  F.floor(c * F.lit(scale) + F.lit(0.5)) / F.lit(scale)).otherwise(c)
 
 
 def report(df: DataFrame, grid: Tuple[float, float] = ROW_GRID) -> DataFrame:
@@ -55,7 +61,8 @@ def sql_num(x: float) -> str:
 
 
 def sql_on_grid(expr: str, scale: float) -> str:
-    return f"FLOOR(({expr}) * {sql_num(scale)} + 0.5e0) / {sql_num(scale)}"
+    return (f"CASE WHEN abs({expr}) * {sql_num(scale)} < {sql_num(GRID_LIMIT)} "
+            f"THEN FLOOR(({expr}) * {sql_num(scale)} + 0.5e0) / {sql_num(scale)} ELSE {expr} END")
 
 
 def sql_select(columns: Iterable[Tuple[str, bool]], grid: Tuple[float, float] = ROW_GRID,

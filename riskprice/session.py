@@ -44,16 +44,29 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "ris
     return spark
 
 
+def _is_local(spark: SparkSession) -> bool:
+    try:
+        return spark.sparkContext.master.startswith("local")
+    except Exception:                   # Spark Connect: never assume a local machine
+        return False
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must be set by the cluster (a shared file system); only when it
-    is unset, as in local tests, a private scratch folder is created and used."""
+    On a cluster it must be set (a shared file system) and an unset value is an
+    error; only a local-mode session without it gets a private scratch folder."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not _is_local(spark):
+            raise ValueError("spark.checkpoint.dir is not set: name a shared folder "
+                             "(HDFS/S3) for checkpoints, or pass a checkpoint location")
         d = tempfile.mkdtemp(prefix="riskprice-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    try:
+        spark.sparkContext.setCheckpointDir(d)
+    except Exception:
+        pass
     return d
 
 

@@ -22,11 +22,28 @@ def _reader(spark: SparkSession, schema: StructType, fmt: str):
     if fmt not in FORMATS:
         raise ValueError(f"unsupported format {fmt!r}; expected one of {FORMATS}")
     r = spark.read.schema(schema).format(fmt)
+    return reader_options(r, fmt)
+
+
+def reader_options(r, fmt: str):
+    """CSV: header checked against the schema names (never mapped by position);
+    CSV and JSON: a malformed or mistyped value fails the job instead of reading as null."""
     if fmt == "csv":
-        r = r.option("header", "true").option("mode", "FAILFAST")
+        r = r.option("header", "true").option("enforceSchema", "false")
+    if fmt in ("csv", "json"):
+        r = r.option("mode", "FAILFAST")
     return r
 
 
+def optional_columns_present(spark: SparkSession, path: str, fmt: str) -> list:
+    """Optional facility columns found in a parquet feed's own schema (footer only)."""
+    from ..schemas import OPTIONAL_FACILITY_FIELDS
+    if fmt != "parquet":
+        raise ValueError("optional columns are detected for parquet only; list them explicitly")
+    present = set(spark.read.parquet(path).columns)
+    return [f.name for f in OPTIONAL_FACILITY_FIELDS if f.name in present]
+
+
 def read_products(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     return _reader(spark, PRODUCT_SCHEMA, fmt).load(path)
 

@@ -61,22 +61,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_BOUND_CHECKS: Dict[Tuple, bool] = {}
-
-
 def within_rows(df: DataFrame, max_rows: int) -> bool:
     """True if ``df`` has at most ``max_rows`` rows. A collected limit of a constant
-    column scans partitions incrementally and stops at max_rows + 1 rows (at most
-    that many one-field rows reach the driver); the answer is remembered per set of
-    input files (a rewritten table has new files)."""
-    files = tuple(sorted(df.inputFiles()))
-    key = (files, df.schema.simpleString(), max_rows)
-    if not files or key not in _BOUND_CHECKS:       # no files: nothing to key a cache on
-        probe = df.select(F.lit(1).alias("one")).limit(max_rows + 1).collect()
-        if not files:
-            return len(probe) <= max_rows
-        _BOUND_CHECKS[key] = len(probe) <= max_rows
-    return _BOUND_CHECKS[key]
+    column scans partitions incrementally and stops at max_rows + 1 rows, so at most
+    that many one-field rows reach the driver. (Feeds are memoised per session, so
+    the check runs once per feed, not once per query.)"""
+    probe = df.select(F.lit(1).alias("one")).limit(max_rows + 1).collect()
+    return len(probe) <= max_rows
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
@@ -84,16 +75,22 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     return F.broadcast(df) if within_rows(df, max_rows) else df
 
 
+# A fact scan with at most this many splits (<= ~2 GB at 128 MB per split) counts as
+# small; only then is it spread over the cores.
+SMALL_INPUT_SPLITS = 16
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a fact scan over all cores only when it has fewer input splits than
-    the default parallelism (tiny inputs, e.g. one row group); a large table already
-    has thousands of splits and is left alone, so no shuffle is added at scale."""
+    """Round-robin a small fact scan (at most SMALL_INPUT_SPLITS splits, e.g. a single
+    row group) over all cores when it has fewer splits than the default parallelism.
+    Larger inputs are left alone, whatever the cluster size, so no shuffle is added
+    in front of the join's own shuffle."""
     try:
         target = df.sparkSession.sparkContext.defaultParallelism
         splits = df.rdd.getNumPartitions()
     except Exception:                   # no RDD API (e.g. Spark Connect): keep the splits
         return df
-    return df.repartition(target) if splits < target else df
+    return df.repartition(target) if splits <= SMALL_INPUT_SPLITS and splits < target else df
 
 
 def _pick(index_sql: str, values: Sequence[str]) -> Column:

@@ -1,7 +1,8 @@
 """Structured Streaming jobs: the pricing chain is stateless and row-local, so the
 batch operators run unchanged on a stream of arriving facility files."""
 
-from .pricing import (price_stream, running_totals, start_pricing_stream,
+from .pricing import (latest_totals, price_stream, running_totals, start_pricing_stream,
                       start_totals_stream)
 
-__all__ = ["price_stream", "running_totals", "start_pricing_stream", "start_totals_stream"]
+__all__ = ["latest_totals", "price_stream", "running_totals", "start_pricing_stream",
+           "start_totals_stream"]

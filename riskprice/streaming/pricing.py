@@ -4,8 +4,9 @@
   priced with the batch operators and appended to a Parquet sink. No state.
 * ``start_totals_stream``: the portfolio summary over everything seen so far.
   The state is one row of aggregation buffers (sums, counts), independent of the
-  number of facilities; each epoch overwrites the summary table with the
-  complete result, so a replay after a failure rewrites the same answer.
+  number of facilities. Each epoch writes the complete result to its own
+  ``epoch_id`` partition (a replay rewrites only that partition), and readers take
+  the newest one with ``latest_totals``, so no reader sees a half-written table.
 
 Checkpoints go under ``spark.checkpoint.dir`` (a shared folder on a cluster)
 unless the caller names a location.
@@ -13,9 +14,11 @@ unless the caller names a location.
 
 from __future__ import annotations
 
+import hashlib
 from typing import Iterable, Optional
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.facilities import price_facilities
@@ -23,6 +26,14 @@ from ..operators.portfolio import summary_aggregates, summary_finish
 from ..params import RiskParams
 from ..schemas import facility_schema
 from ..session import checkpoint_path
+from ..sources.files import reader_options
+
+
+def default_checkpoint(spark: SparkSession, name: str, source: str, sink: str) -> str:
+    """<spark.checkpoint.dir>/streams/<name>-<hash of source and sink>: one checkpoint
+    per (query, source, sink), so two jobs never share offsets or state."""
+    tag = hashlib.sha1(f"{source}\n{sink}".encode()).hexdigest()[:12]
+    return checkpoint_path(spark, "streams", f"{name}-{tag}")
 
 
 def price_stream(spark: SparkSession, source_dir: str, fmt: str = "parquet",
@@ -30,9 +41,7 @@ def price_stream(spark: SparkSession, source_dir: str, fmt: str = "parquet",
                  rp: Optional[RiskParams] = None, extra: Iterable[str] = (),
                  max_files_per_trigger: Optional[int] = None) -> DataFrame:
     """Streaming DataFrame of priced facilities read from ``source_dir``."""
-    reader = spark.readStream.schema(facility_schema(*extra)).format(fmt)
-    if fmt == "csv":
-        reader = reader.option("header", "true")
+    reader = reader_options(spark.readStream.schema(facility_schema(*extra)).format(fmt), fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     return price_facilities(reader.load(source_dir), pd_model, lgd_model, rp)
@@ -53,7 +62,8 @@ def start_pricing_stream(spark: SparkSession, source_dir: str, sink_dir: str,
     priced = price_stream(spark, source_dir, **pricing)
     writer = (priced.writeStream.format("parquet").outputMode("append")
               .option("path", sink_dir)
-              .option("checkpointLocation", checkpoint or checkpoint_path(spark, "streams", name))
+              .option("checkpointLocation",
+                      checkpoint or default_checkpoint(spark, name, source_dir, sink_dir))
               .queryName(name))
     return _trigger(writer, available_now, interval).start()
 
@@ -70,9 +80,20 @@ def start_totals_stream(spark: SparkSession, source_dir: str, sink_dir: str,
     totals = running_totals(price_stream(spark, source_dir, **pricing))
 
     def write_epoch(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(sink_dir)
+        # each epoch goes to its own partition; a replayed epoch rewrites only itself
+        (batch.withColumn("epoch_id", F.lit(epoch_id)).write.mode("overwrite")
+              .option("partitionOverwriteMode", "dynamic").partitionBy("epoch_id")
+              .parquet(sink_dir))
 
     writer = (totals.writeStream.outputMode("complete").foreachBatch(write_epoch)
-              .option("checkpointLocation", checkpoint or checkpoint_path(spark, "streams", name))
+              .option("checkpointLocation",
+                      checkpoint or default_checkpoint(spark, name, source_dir, sink_dir))
               .queryName(name))
     return _trigger(writer, available_now, interval).start()
+
+
+def latest_totals(spark: SparkSession, sink_dir: str) -> DataFrame:
+    """The summary of the newest completed epoch (earlier epochs stay readable)."""
+    t = spark.read.parquet(sink_dir)
+    last = t.agg(F.max("epoch_id").alias("m"))
+    return t.join(last, t["epoch_id"] == last["m"]).drop("m", "epoch_id")

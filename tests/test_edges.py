@@ -198,3 +198,22 @@ def test_recommendation_thresholds_are_doubles():
     from riskprice.functions.decision import recommendation_thresholds
     t = dict(recommendation_thresholds(RiskParams()))
     assert t["HIGHLY_ATTRACTIVE"] == 0.15 * 1.5 == 0.22499999999999998
+
+
+def test_model_grid_with_given_ead(portfolio):
+    df = portfolio.withColumn("ead_amount", F.lit(1000.0))
+    rows = rp.model_grid(df).collect()
+    assert len(rows) == 9 and all(r.total_exposure == 8000.0 for r in rows)
+
+
+def test_risk_params_ignore_null_entries():
+    assert RiskParams.from_dict({"target_raroc": None, "coefficients": None}) == RiskParams()
+
+
+def test_report_grid_passes_non_finite(spark):
+    from riskprice.plans.report import report
+    df = spark.createDataFrame([(float("nan"),), (float("inf"),), (1e300,), (0.1234567890123,), (None,)],
+                               "x double")
+    got = [r.x for r in report(df).collect()]
+    assert got[0] != got[0] and got[1] == float("inf") and got[2] == 1e300
+    assert got[3] == 0.1234567890 and got[4] is None

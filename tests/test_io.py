@@ -121,3 +121,28 @@ def test_cli_jobs(spark, portfolio, products):
     assert r["summary"]["total_products"] == 5
     cli.run(["split-facilities", "--input", src + "/fac", "--output", src + "/split"], spark)
     assert jobs.read_split(spark, src + "/split", True).count() == 8
+
+
+def test_csv_header_is_checked_not_positional(spark, portfolio):
+    d = tempfile.mkdtemp(prefix="rp-csv-") + "/feed"
+    cols = portfolio.columns
+    swapped = cols[:13] + [cols[14], cols[13]] + cols[15:]
+    portfolio.select(*swapped).write.option("header", "true").csv(d)
+    with pytest.raises(Exception):
+        files.read_facilities(spark, d, "csv").collect()
+
+
+def test_json_type_drift_fails(spark):
+    d = tempfile.mkdtemp(prefix="rp-json-")
+    with open(d + "/a.json", "w") as fh:
+        fh.write('{"product_id": "x", "name": "n", "category": "basic", "cost": "abc", "quantity": 1}\n')
+    with pytest.raises(Exception):
+        files.read_products(spark, d, "json").collect()
+
+
+def test_cli_products_csv(spark, products):
+    from riskprice import cli
+    src = tempfile.mkdtemp(prefix="rp-cli-csv-")
+    files.write(products, src + "/prod", "csv")
+    r = cli.run(["price-products", "--format", "csv", "--input", src + "/prod", "--output", src + "/pp"], spark)
+    assert r["summary"]["total_products"] == 5 and r["summary"]["total_quantity"] == 750

@@ -6,7 +6,7 @@ import pytest
 
 import riskprice as rp
 from riskprice.sources import files, tables
-from riskprice.streaming import start_pricing_stream, start_totals_stream
+from riskprice.streaming import latest_totals, start_pricing_stream, start_totals_stream
 
 
 @pytest.fixture(scope="module")
@@ -37,15 +37,18 @@ def test_running_totals(spark, feed):
     q = start_totals_stream(spark, src, sink + "/t", checkpoint=ckpt, available_now=True,
                             max_files_per_trigger=1)
     q.awaitTermination(300)
-    got = spark.read.parquet(sink + "/t").first().asDict()
+    got = latest_totals(spark, sink + "/t").first().asDict()
+    assert spark.read.parquet(sink + "/t").select("epoch_id").distinct().count() > 1
     want = rp.portfolio_summary(rp.price_facilities(f)).first().asDict()
     for k, v in want.items():
         assert got[k] == pytest.approx(v, rel=1e-9), k
 
 
 def test_stream_checkpoint_defaults_to_session_dir(spark, feed):
-    from riskprice.session import checkpoint_path
-    assert checkpoint_path(spark, "streams", "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+    from riskprice.streaming.pricing import default_checkpoint
+    a = default_checkpoint(spark, "q", "/in/a", "/out/a")
+    assert a.startswith(spark.conf.get("spark.checkpoint.dir"))
+    assert a != default_checkpoint(spark, "q", "/in/b", "/out/a")
 
 
 def test_restart_from_checkpoint_is_exactly_once(spark):
