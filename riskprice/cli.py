@@ -47,13 +47,14 @@ def _add_risk_args(p: argparse.ArgumentParser) -> None:
 def parser() -> argparse.ArgumentParser:
     ap = argparse.ArgumentParser(prog="riskprice")
     sub = ap.add_subparsers(dest="job", required=True)
-    for name in ("price-facilities", "model-grid", "split-facilities", "stream-facilities"):
+    for name in ("price-facilities", "model-grid", "split-facilities", "stream-facilities",
+                 "stream-totals"):
         p = sub.add_parser(name)
         p.add_argument("--input", required=True)
         p.add_argument("--format", default="parquet", choices=files.FORMATS)
         p.add_argument("--output", required=True)
         _add_risk_args(p)
-        if name == "stream-facilities":
+        if name.startswith("stream-"):
             p.add_argument("--checkpoint")
             p.add_argument("--available-now", action="store_true")
             p.add_argument("--interval", default="1 minute")
@@ -79,19 +80,20 @@ def run(argv: Optional[List[str]] = None, spark: Optional[SparkSession] = None)
         out["summary"] = portfolio.product_summary(written).first().asDict()
         return out
     rp = _risk_params(a)
+    streaming = a.job.startswith("stream-")
     if a.extra is None:
         a.extra = (files.optional_columns_present(spark, a.input, a.format)
-                   if a.format == "parquet" and a.job != "stream-facilities" else [])
-    elif a.format == "parquet" and a.job != "stream-facilities":
+                   if a.format == "parquet" and not streaming else [])
+    elif a.format == "parquet" and not streaming:
         missing = set(a.extra) - set(files.optional_columns_present(spark, a.input, a.format))
         if missing:
             raise ValueError(f"--extra names columns the input does not have: {sorted(missing)}")
-    if a.job == "stream-facilities":
-        from .streaming import start_pricing_stream
-        q = start_pricing_stream(spark, a.input, a.output, checkpoint=a.checkpoint,
-                                 available_now=a.available_now, interval=a.interval,
-                                 fmt=a.format, pd_model=a.pd_model, lgd_model=a.lgd_model,
-                                 rp=rp, extra=a.extra)
+    if streaming:
+        from .streaming import start_pricing_stream, start_totals_stream
+        start = start_pricing_stream if a.job == "stream-facilities" else start_totals_stream
+        q = start(spark, a.input, a.output, checkpoint=a.checkpoint,
+                  available_now=a.available_now, interval=a.interval,
+                  fmt=a.format, pd_model=a.pd_model, lgd_model=a.lgd_model, rp=rp, extra=a.extra)
         q.awaitTermination()
         return out
     feed = files.read_facilities(spark, a.input, a.format, a.extra)
@@ -100,6 +102,7 @@ def run(argv: Optional[List[str]] = None, spark: Optional[SparkSession] = None)
     elif a.job == "price-facilities":
         out["summary"] = jobs.price_and_write(feed, a.output + "/rows", a.pd_model, a.lgd_model, rp)
         files.write(jobs.written_distributions(spark, a.output + "/rows"), a.output + "/distributions")
+        files.write(spark.createDataFrame([out["summary"]]).coalesce(1), a.output + "/summary", "json")
     elif a.job == "model-grid":
         files.write(model_grid.model_grid(feed, rp), a.output)
     return out

@@ -115,6 +115,7 @@ def test_cli_jobs(spark, portfolio, products):
     assert r["summary"]["facility_count"] == 8
     assert spark.read.parquet(src + "/priced/rows").count() == 8
     assert spark.read.parquet(src + "/priced/distributions").count() > 0
+    assert spark.read.json(src + "/priced/summary").first().facility_count == 8
     cli.run(["model-grid", "--input", src + "/fac", "--output", src + "/grid"], spark)
     assert spark.read.parquet(src + "/grid").count() == 9
     r = cli.run(["price-products", "--input", src + "/prod", "--output", src + "/pp"], spark)
@@ -146,3 +147,14 @@ def test_cli_products_csv(spark, products):
     files.write(products, src + "/prod", "csv")
     r = cli.run(["price-products", "--format", "csv", "--input", src + "/prod", "--output", src + "/pp"], spark)
     assert r["summary"]["total_products"] == 5 and r["summary"]["total_quantity"] == 750
+
+
+def test_cli_stream_totals(spark, portfolio):
+    from riskprice import cli
+    from riskprice.streaming import latest_totals
+    src = tempfile.mkdtemp(prefix="rp-cli-st-")
+    files.write(portfolio, src + "/fac")
+    cli.run(["stream-totals", "--input", src + "/fac", "--output", src + "/totals",
+             "--checkpoint", src + "/ckpt", "--available-now"], spark)
+    t = latest_totals(spark, src + "/totals").first()
+    assert t.facility_count == 8 and t.total_exposure == pytest.approx(30562500.0)
