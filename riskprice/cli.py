@@ -75,15 +75,16 @@ def run(argv: Optional[List[str]] = None, spark: Optional[SparkSession] = None)
         rules = P.ProductRules(**{f: getattr(a, f) for f in vars(P.ProductRules())})
         priced = products.price_products(files.read_products(spark, a.input, a.format), rules)
         files.write(priced, a.output + "/rows", a.format)
-        written = files.reader_options(
-            spark.read.schema(priced.schema).format(a.format), a.format).load(a.output + "/rows")
+        written = files.read(spark, a.output + "/rows", priced.schema, a.format)
         out["summary"] = portfolio.product_summary(written).first().asDict()
         return out
     rp = _risk_params(a)
     streaming = a.job.startswith("stream-")
+    # a column that exists is used (adaptive schema); parquet feeds are inspected,
+    # other formats list their optional columns with --extra
     if a.extra is None:
         a.extra = (files.optional_columns_present(spark, a.input, a.format)
-                   if a.format == "parquet" and not streaming else [])
+                   if a.format == "parquet" else [])
     elif a.format == "parquet" and not streaming:
         missing = set(a.extra) - set(files.optional_columns_present(spark, a.input, a.format))
         if missing:

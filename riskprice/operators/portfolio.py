@@ -48,13 +48,14 @@ def summary_finish(keys: Sequence[str] = ()) -> List[Column]:
     return out
 
 
-def finish_summary(raw: dict) -> dict:
+def finish_summary(raw: dict) -> dict:  # noqa: C901
     """``summary_finish`` for one already-collected row of ``summary_aggregates``
     (same rules: null -> 0, ratio of sums, EL rate over (sum EAD or 1))."""
     val = lambda k: float(raw.get(k) or 0.0)
     out = {name: val("_s_" + name) for name, _ in _SUMS}
     cap, inc = val("_s_total_economic_capital"), val("_s_total_net_income")
-    out["portfolio_raroc"] = inc / cap if cap > 0 else 0.0
+    # NaN orders above every number in Spark, so a NaN capital takes the ratio branch
+    out["portfolio_raroc"] = inc / cap if (cap > 0 or cap != cap) else 0.0
     for name, _ in _AVGS:
         out[name] = val("_a_" + name)
     out["expected_loss_rate"] = val("_s_total_expected_loss") / (val("_s_total_exposure") or 1.0)

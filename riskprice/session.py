@@ -64,9 +64,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="riskprice-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     try:
-        spark.sparkContext.setCheckpointDir(d)
-    except Exception:
-        pass
+        sc = spark.sparkContext
+    except Exception:                   # Spark Connect: no SparkContext to configure
+        return d
+    sc.setCheckpointDir(d)
     return d
 
 

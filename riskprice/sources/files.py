@@ -36,14 +36,23 @@ def reader_options(r, fmt: str):
 
 
 def optional_columns_present(spark: SparkSession, path: str, fmt: str) -> list:
-    """Optional facility columns found in a parquet feed's own schema (footer only)."""
+    """Optional facility columns found in a parquet feed's own schema, merged over
+    all file footers (an empty or missing input has none)."""
     from ..schemas import OPTIONAL_FACILITY_FIELDS
     if fmt != "parquet":
         raise ValueError("optional columns are detected for parquet only; list them explicitly")
-    present = set(spark.read.parquet(path).columns)
+    try:
+        present = set(spark.read.option("mergeSchema", "true").parquet(path).columns)
+    except Exception:                   # no files yet: nothing to detect
+        return []
     return [f.name for f in OPTIONAL_FACILITY_FIELDS if f.name in present]
 
 
+def read(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet") -> DataFrame:
+    """Any table written by these jobs, with its known schema."""
+    return _reader(spark, schema, fmt).load(path)
+
+
 def read_products(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     return _reader(spark, PRODUCT_SCHEMA, fmt).load(path)
 

@@ -4,9 +4,9 @@
   priced with the batch operators and appended to a Parquet sink. No state.
 * ``start_totals_stream``: the portfolio summary over everything seen so far.
   The state is one row of aggregation buffers (sums, counts), independent of the
-  number of facilities. Each epoch writes the complete result to its own
-  ``epoch_id`` partition (a replay rewrites only that partition), and readers take
-  the newest one with ``latest_totals``, so no reader sees a half-written table.
+  number of facilities. Each epoch appends the complete result as a new
+  ``version`` partition (never overwriting a file), and readers take the newest
+  with ``latest_totals``, so no reader sees a half-written table.
 
 Checkpoints go under ``spark.checkpoint.dir`` (a shared folder on a cluster)
 unless the caller names a location.
@@ -15,6 +15,7 @@ unless the caller names a location.
 from __future__ import annotations
 
 import hashlib
+import time
 from typing import Iterable, Optional
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +33,8 @@ from ..sources.files import reader_options
 def default_checkpoint(spark: SparkSession, name: str, source: str, sink: str) -> str:
     """<spark.checkpoint.dir>/streams/<name>-<hash of source and sink>: one checkpoint
     per (query, source, sink), so two jobs never share offsets or state."""
-    tag = hashlib.sha1(f"{source}\n{sink}".encode()).hexdigest()[:12]
+    norm = lambda p: p.rstrip("/")
+    tag = hashlib.sha1(f"{norm(source)}\n{norm(sink)}".encode()).hexdigest()[:12]
     return checkpoint_path(spark, "streams", f"{name}-{tag}")
 
 
@@ -41,7 +43,11 @@ def price_stream(spark: SparkSession, source_dir: str, fmt: str = "parquet",
                  rp: Optional[RiskParams] = None, extra: Iterable[str] = (),
                  max_files_per_trigger: Optional[int] = None) -> DataFrame:
     """Streaming DataFrame of priced facilities read from ``source_dir``."""
-    reader = reader_options(spark.readStream.schema(facility_schema(*extra)).format(fmt), fmt)
+    # Streams read PERMISSIVE: a mistyped value becomes null and the row fails the
+    # quarantine rules, instead of one bad file stopping the query on every restart.
+    reader = spark.readStream.schema(facility_schema(*extra)).format(fmt)
+    if fmt == "csv":
+        reader = reader.option("header", "true").option("enforceSchema", "false")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     return price_facilities(reader.load(source_dir), pd_model, lgd_model, rp)
@@ -80,10 +86,12 @@ def start_totals_stream(spark: SparkSession, source_dir: str, sink_dir: str,
     totals = running_totals(price_stream(spark, source_dir, **pricing))
 
     def write_epoch(batch: DataFrame, epoch_id: int) -> None:
-        # each epoch goes to its own partition; a replayed epoch rewrites only itself
-        (batch.withColumn("epoch_id", F.lit(epoch_id)).write.mode("overwrite")
-              .option("partitionOverwriteMode", "dynamic").partitionBy("epoch_id")
-              .parquet(sink_dir))
+        # every epoch adds a new ``version`` partition (driver clock in ms, increasing
+        # across restarts and new checkpoints); a replayed epoch adds the same answer
+        # again under a newer version, and no existing file is ever overwritten
+        version = int(time.time() * 1000)
+        (batch.withColumn("version", F.lit(version)).withColumn("epoch_id", F.lit(epoch_id))
+              .write.mode("append").partitionBy("version").parquet(sink_dir))
 
     writer = (totals.writeStream.outputMode("complete").foreachBatch(write_epoch)
               .option("checkpointLocation",
@@ -93,7 +101,8 @@ def start_totals_stream(spark: SparkSession, source_dir: str, sink_dir: str,
 
 
 def latest_totals(spark: SparkSession, sink_dir: str) -> DataFrame:
-    """The summary of the newest completed epoch (earlier epochs stay readable)."""
+    """The summary written last (earlier versions stay readable). The newest version
+    is found first, then read with a literal filter so only its partition is read."""
     t = spark.read.parquet(sink_dir)
-    last = t.agg(F.max("epoch_id").alias("m"))
-    return t.join(last, t["epoch_id"] == last["m"]).drop("m", "epoch_id")
+    newest = t.agg(F.max("version").alias("v")).first().v
+    return t.filter(F.col("version") == F.lit(newest)).drop("version", "epoch_id")

@@ -38,7 +38,7 @@ def test_running_totals(spark, feed):
                             max_files_per_trigger=1)
     q.awaitTermination(300)
     got = latest_totals(spark, sink + "/t").first().asDict()
-    assert spark.read.parquet(sink + "/t").select("epoch_id").distinct().count() > 1
+    assert spark.read.parquet(sink + "/t").select("version").distinct().count() > 1
     want = rp.portfolio_summary(rp.price_facilities(f)).first().asDict()
     for k, v in want.items():
         assert got[k] == pytest.approx(v, rel=1e-9), k
