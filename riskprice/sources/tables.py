@@ -7,14 +7,14 @@ derive identical rows. Join plan:
 * ``nation x region`` is a fixed-size dimension (25 rows in TPC-H at every scale):
   it is reduced to (nation key, region class) and broadcast after a bounded row
   count check; if the check fails it stays a shuffle join.
-* ``orders x customer`` and ``lineitem x part`` are joined first, fact on the left,
-  and the strategy is left to Catalyst's size-based rule: the dimension is
-  broadcast while its files are under ``spark.sql.autoBroadcastJoinThreshold``,
-  otherwise the join is a sort-merge join on the key. Hot keys (one customer
-  holding a third of all orders) are found from a sample and salted
-  (``operators.joins``), so they are spread over many tasks even without AQE.
-  Joining the region dimension last keeps the customer side a plain scan, so its
-  size estimate is the file size rather than an inflated join estimate.
+* ``orders x customer`` and ``lineitem x part`` are joined first, fact on the left.
+  A dimension that a bounded check proves small (at most
+  ``DIMENSION_BROADCAST_MAX_ROWS`` narrow rows, ~12 MB) is broadcast, and only then
+  is a tiny fact scan spread over the cores (a broadcast join does not shuffle
+  the fact). Otherwise the join is a sort-merge join on the key, whose own
+  exchange spreads the rows; hot keys (one customer holding a third of all
+  orders) are found from a sample and salted (``operators.joins``), so they are
+  spread over many tasks even without AQE. The fact side is never broadcast.
 """
 
 from __future__ import annotations
@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from ..functions.columns import sql_literal
 from ..operators.joins import hot_keys, salted_join
 
-# Largest lookup table we hint as broadcast after a bounded row-count check.
+# Largest lookup table we hint as broadcast after a bounded row-count check, and the
+# bound for the customer / part dimensions (~60 bytes per selected row -> ~12 MB).
 BROADCAST_MAX_ROWS = 10_000
+DIMENSION_BROADCAST_MAX_ROWS = 200_000
 
 # FIXED VALUES of the fixture derivation (same lists as the SQL oracle).
 INDUSTRY_BY_ORDER = ("technology", "healthcare", "financial_services", "manufacturing",
@@ -93,6 +95,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(target) if splits <= SMALL_INPUT_SPLITS and splits < target else df
 
 
+def _fact_join(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
+               salt_by: Column, spread_small: bool = True) -> DataFrame:
+    """Broadcast a proven-small dimension (and, if asked, spread a tiny fact scan,
+    since nothing else will); otherwise a shuffle join with hot keys salted."""
+    if within_rows(dim, DIMENSION_BROADCAST_MAX_ROWS):
+        fact = spread(fact) if spread_small else fact
+        return fact.join(F.broadcast(dim), F.col(fact_key) == F.col(dim_key))
+    return salted_join(fact, dim, fact_key, dim_key, salt_by=salt_by,
+                       hot=hot_keys(fact, fact_key))
+
+
 def _pick(index_sql: str, values: Sequence[str]) -> Column:
     """CASE <index> WHEN 0 THEN values[0] ... ELSE values[-1] END (one SQL expression)."""
     whens = " ".join(f"WHEN {i} THEN {sql_literal(v)}" for i, v in enumerate(values[:-1]))
@@ -141,14 +154,12 @@ def facilities(spark: SparkSession, sf_dir: str, spoiled: bool = False) -> DataF
 
 
 def _facilities(spark: SparkSession, sf_dir: str, spoiled: bool) -> DataFrame:
-    raw_orders = table(spark, sf_dir, "orders").select(
+    orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
-    orders = spread(raw_orders)
     customer = table(spark, sf_dir, "customer").select(
         "c_custkey", "c_name", "c_nationkey", "c_acctbal")
     geo = broadcast_if_small(region_dimension(spark, sf_dir))
-    j = salted_join(orders, customer, "o_custkey", "c_custkey", salt_by=F.col("o_orderkey"),
-                    hot=hot_keys(raw_orders, "o_custkey"))
+    j = _fact_join(orders, customer, "o_custkey", "c_custkey", F.col("o_orderkey"))
     j = j.join(geo, F.col("c_nationkey") == F.col("n_nationkey"))
 
     ok, ck = F.col("o_orderkey"), F.col("o_custkey")
@@ -205,7 +216,9 @@ def product_lines(spark: SparkSession, sf_dir: str, spoiled: bool = False) -> Da
 def _product_lines(spark: SparkSession, sf_dir: str, spoiled: bool) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_retailprice")
-    j = salted_join(li, part, "l_partkey", "p_partkey", salt_by=F.col("l_orderkey"))
+    # product pricing is a few multiplications per line: spreading a tiny scan costs
+    # more than it saves (measured), so line items keep their file splits
+    j = _fact_join(li, part, "l_partkey", "p_partkey", F.col("l_orderkey"), spread_small=False)
     t = F.col("p_type")
     category = (F.when(t.isin(*PREMIUM_TYPES), F.lit("premium"))
                  .when(t.isin(*STANDARD_TYPES), F.lit("standard"))

@@ -72,17 +72,19 @@ def test_every_query_is_native(spark):
 
 
 def test_large_dimension_falls_back_to_shuffle_join(spark, monkeypatch):
-    """Customer is never hinted: with automatic broadcast off (as for tables far above
-    the threshold) orders x customer is a sort-merge join, and the priced rows are
-    identical."""
+    """Beyond the bound the customer side is not hinted: with automatic broadcast off
+    (as for tables far above the threshold) orders x customer is a sort-merge join
+    without a second (spread) shuffle, and the priced rows are identical."""
     small = rp.price_facilities(tables.facilities(spark, SF)).collect()
     monkeypatch.setattr(tables, "_FEEDS", {})
+    monkeypatch.setattr(tables, "DIMENSION_BROADCAST_MAX_ROWS", 10)
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         df = rp.price_facilities(tables.facilities(spark, SF))
         t = tree(plan(df))
         assert "SortMergeJoin" in t or "ShuffledHashJoin" in t
+        assert "RoundRobinPartitioning" not in plan(df)
         assert sorted(map(tuple, df.collect())) == sorted(map(tuple, small))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
