@@ -154,3 +154,45 @@ def test_pricing_matches_plain_python(spark, pd_model, lgd_model, rows):
                     any(abs(want["raroc"] - 0.15 * m) < 1e-12 for _, m in P.RECOMMENDATION_BANDS):
                 continue
             assert close(got[k], v), (k, got[k], v, r)
+
+
+rules_st = st.builds(
+    lambda pm, sm, bm, mt, extra, md, bd: P.ProductRules(
+        premium_multiplier=pm, standard_multiplier=sm, basic_multiplier=bm,
+        medium_threshold=mt, bulk_threshold=mt + extra, medium_discount=md, bulk_discount=bd),
+    st.floats(0.5, 3), st.floats(0.5, 3), st.floats(0.5, 3), st.integers(1, 60),
+    st.integers(0, 60), st.floats(0, 1), st.floats(0, 1))
+
+product = st.fixed_dictionaries({
+    "category": st.sampled_from(["premium", "standard", "basic", "Premium", "other", None]),
+    "cost": st.one_of(st.floats(0.01, 1e6, allow_nan=False), st.sampled_from([0.01, 1.0])),
+    "quantity": st.one_of(st.integers(1, 200), st.none()),
+})
+
+
+def py_product(r, rules):
+    mult = {"premium": rules.premium_multiplier, "standard": rules.standard_multiplier}.get(
+        r["category"], rules.basic_multiplier)
+    base = r["cost"] * mult
+    q = r["quantity"]
+    disc = (rules.bulk_discount if q is not None and q >= rules.bulk_threshold
+            else rules.medium_discount if q is not None and q >= rules.medium_threshold else 0.0)
+    return base, disc, base * (1.0 - disc)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture,
+                                                                HealthCheck.too_slow])
+@given(rules=rules_st, rows=st.lists(product, min_size=1, max_size=60))
+def test_product_pricing_matches_plain_python(spark, rules, rows):
+    data = [(str(i), "n", r["category"], r["cost"], r["quantity"]) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(data, "product_id string, name string, category string, "
+                                     "cost double, quantity int")
+    out = {x.product_id: x for x in rp.price_products(df, rules).collect()}
+    for i, r in enumerate(rows):
+        b, d, f = py_product(r, rules)
+        got = out[str(i)]
+        assert (got.base_price, got.discount_rate, got.final_price) == (b, d, f)
+    s = rp.product_summary(rp.price_products(df, rules)).first()
+    assert s.total_products == len(rows)
+    assert s.total_quantity == sum(r["quantity"] or 0 for r in rows)
+    assert s.max_price == max(py_product(r, rules)[2] for r in rows)
