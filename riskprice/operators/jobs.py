@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..params import RiskParams
 from .facilities import price_facilities
 from .portfolio import decision_dimensions, distribution, finish_summary, summary_aggregates
-from .quality import Rule, with_errors
+from .quality import with_errors
 
 
 def price_and_write(facilities: DataFrame, out_dir: str, pd_model: str = "logistic",

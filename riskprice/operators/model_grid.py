@@ -10,7 +10,7 @@ key: partial aggregation happens before the shuffle, so at most
 
 from __future__ import annotations
 
-from typing import List, Tuple
+from typing import Tuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F

@@ -19,7 +19,7 @@ from ..operators import model_grid as grid
 from ..operators import portfolio, products, quality
 from ..sources import files, tables
 from . import sql as S
-from .report import AGG_GRID, ROW_GRID, report, sql_on_grid, sql_select
+from .report import AGG_GRID, report, sql_on_grid, sql_select
 
 Builder = Callable[[SparkSession, str], DataFrame]
 REGISTRY: Dict[str, Tuple[Builder, Optional[str]]] = {}

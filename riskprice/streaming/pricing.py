@@ -27,7 +27,6 @@ from ..operators.portfolio import summary_aggregates, summary_finish
 from ..params import RiskParams
 from ..schemas import facility_schema
 from ..session import checkpoint_path
-from ..sources.files import reader_options
 
 
 def default_checkpoint(spark: SparkSession, name: str, source: str, sink: str) -> str:
