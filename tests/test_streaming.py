@@ -72,3 +72,18 @@ def test_restart_from_checkpoint_is_exactly_once(spark):
     assert out.count() == f.count()
     assert out.select("borrower_id").distinct().count() == f.count()
     assert out.exceptAll(batch.select(*out.columns)).count() == 0
+
+
+def test_unset_checkpoint_dir_is_an_error_on_a_cluster(monkeypatch):
+    from riskprice import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class FakeSession:
+        conf = Conf()
+
+    monkeypatch.setattr(session, "_is_local", lambda spark: False)
+    with pytest.raises(ValueError):
+        session.ensure_checkpoint_dir(FakeSession())
