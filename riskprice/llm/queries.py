@@ -8,18 +8,31 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, simhash, token_files
 from .common import table
 
 TIKTOKEN_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+TOKENIZER_JSON = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.components(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
+    return found.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), TIKTOKEN_RANKS)
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), TOKENIZER_JSON, end_id=0)
+    return token_files.read_token_files(spark, manifest)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_simhash": op4_simhash,
+        "op10_token_files": op10_token_files,
         "op6_byte_bpe": op6_byte_bpe,
     }
 
