@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash, token_files
+from . import bpe, simhash, substring, token_files
 from .common import table
 
 TIKTOKEN_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -24,6 +24,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), TIKTOKEN_RANKS)
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_digests(table(spark, sf_dir, "documents"), window=13)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), TOKENIZER_JSON, end_id=0)
     return token_files.read_token_files(spark, manifest)
@@ -32,6 +36,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_simhash": op4_simhash,
+        "op9_substring": op9_substring,
         "op10_token_files": op10_token_files,
         "op6_byte_bpe": op6_byte_bpe,
     }
