@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, quality, simhash, substring, token_files
+from . import bpe, quality, simhash, substring, token_files, url_filter
 from .common import table
 
 TIKTOKEN_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -29,6 +30,16 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+URL_RULES = [url_filter.Rule("allow", "org", "/"), url_filter.Rule("block", "example.org", "/es/"),
+             url_filter.Rule("block", "example.org", "/en/1"), url_filter.Rule("allow", "com", "/fr/"),
+             url_filter.Rule("block", "com", "/de/")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), outcomes, URL_RULES)
+
+
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_digests(table(spark, sf_dir, "documents"), window=13)
 
@@ -42,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_simhash": op4_simhash,
         "op5_quality": op5_quality,
+        "op8_url_filter": op8_url_filter,
         "op9_substring": op9_substring,
         "op10_token_files": op10_token_files,
         "op6_byte_bpe": op6_byte_bpe,
@@ -49,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_url_filter": url_filter.oracle(URL_RULES)}
