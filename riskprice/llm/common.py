@@ -57,10 +57,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Ask the driver's JVM for a garbage collection: Spark removes the shuffle files of
-    finished phases once the driver no longer holds them."""
+    finished phases once the driver no longer holds them. Twice, as Python lets go of its
+    handles in the background."""
     import gc
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    import time
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def text_of(column: str = "text") -> Column:
@@ -157,3 +161,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         raise RuntimeError("connected components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")) \
             .union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def store(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the checkpoint folder and read again. Unlike after
+    checkpoint(), the planner then knows the real size, and broadcasts the table only
+    where it is under Spark's own limit."""
+    import uuid
+    spark = df.sparkSession
+    prepare(spark)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
