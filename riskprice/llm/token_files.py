@@ -22,7 +22,9 @@ from __future__ import annotations
 import os
 import re
 import uuid
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -44,32 +46,41 @@ OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
 class LibraryEncoder:
-    """The tokenizers library behind a cache of pieces (emptied when full; results do not
-    depend on it)."""
+    """The tokenizers library behind a cache of pieces. The cache has a recent and an older
+    half; a full recent half becomes the older one, so frequent pieces stay. Results do not
+    depend on it."""
 
-    def __init__(self, path: str, cache_size: int = 300_000):
+    def __init__(self, path: str, cache_size: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True       # their strings in a text are ordinary text
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.size = cache_size
-        self.cache: dict[str, bytes] = {}
+        if sys.byteorder != "little":
+            raise RuntimeError("the files are little-endian")
+        self.size = cache_size // 2
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of the file's integer type."""
         pieces = [[t] if OTHER_SPACE.search(t) else PIECE.findall(t) for t in texts]
-        new = {p for ps in pieces for p in ps if p not in self.cache}
-        if len(self.cache) + len(new) > self.size:
-            self.cache.clear()
-            new = {p for ps in pieces for p in ps}
-        order = list(new)
-        for piece, e in zip(order, self.library.encode_batch_fast(order, add_special_tokens=False)):
-            self.cache[piece] = np.array(e.ids, self.dtype).tobytes()
-        out = [b"".join(map(self.cache.__getitem__, ps)) for ps in pieces]
-        for piece in order:
+        if len(self.recent) > self.size:
+            self.recent, self.older = {}, self.recent
+        recent, older = self.recent, self.older
+        new = []
+        for p in set().union(*pieces).difference(recent):
+            if (known := older.get(p)) is None:
+                new.append(p)
+            else:
+                recent[p] = known
+        code = self.dtype.char
+        for piece, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
+            recent[piece] = array(code, e.ids).tobytes()
+        out = [b"".join(map(recent.__getitem__, ps)) for ps in pieces]
+        for piece in new:
             if len(piece) > 64:                         # long pieces hardly come back
-                del self.cache[piece]
+                del recent[piece]
         return out
 
 
