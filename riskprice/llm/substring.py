@@ -54,6 +54,7 @@ def _windows(raw: bytes, length: int, window: int, parts: np.ndarray | None, pre
     return np.unique(short[at])
 
 
+NONE = np.empty(0, np.uint64)
 ROWS = pa.schema([("h", pa.int64()), ("doc_id", pa.int64())])
 
 
@@ -65,8 +66,11 @@ def _level(docs: DataFrame, length: int, window: int, previous: int | None) -> D
                 part = b.slice(at, 128)
                 found, ids = [], []
                 for i in range(part.num_rows):
-                    parts = None if previous is None else np.sort(part.column(2)[i].values.to_numpy().view(np.uint64))
-                    got = _windows(part.column(1)[i].as_py(), length, window, parts, previous or 0)
+                    parts = None
+                    if previous is not None:
+                        own = part.column(2)[i]
+                        parts = np.sort(own.values.to_numpy().view(np.uint64)) if own.is_valid else NONE
+                    got = NONE if parts is NONE else _windows(part.column(1)[i].as_py(), length, window, parts, previous or 0)
                     found.append(got)
                     ids.append(len(got))
                 if sum(ids):
@@ -92,22 +96,28 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     document has words."""
     spark = docs.sparkSession
     common.prepare(spark)
-    texts = docs.where("doc_id IS NOT NULL").select("doc_id", common.text_of("text").alias("text"))
+    texts = docs.select("doc_id", common.text_of("text").alias("text"))
     parts, previous = None, None
     for length in levels(window):
         if parts is not None:
             if not parts.limit(1).count():              # no candidates survive
                 return parts
-            own = parts.select(F.col("doc_id").alias("_doc"), "parts")
-            rows = _level(texts.join(own, F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "parts"), length, window, previous)
+            rows = _level(_beside(texts, parts), length, window, previous)
         else:
-            rows = _level(texts, length, window, None)
+            rows = _level(texts.where("doc_id IS NOT NULL"), length, window, None)
         if length == window:
             return _repeated(rows, later_only=True)
         parts, previous = common.cut(_repeated(rows, later_only=False)), length
         common.release(spark)
 
 
+def _beside(texts: DataFrame, parts: DataFrame) -> DataFrame:
+    """(doc_id, text, parts) of every row. The same left join wherever texts meet their
+    hashes, so within a query Spark moves the texts once and reuses the exchange."""
+    return texts.join(parts.select(F.col("doc_id").alias("_doc"), "parts"), F.col("doc_id") == F.col("_doc"), "left") \
+                .select("doc_id", "text", "parts")
+
+
 def remove_repeated_windows(docs: DataFrame, window: int = 13) -> DataFrame:
     """(doc_id, n_words, kept: array of the words that stay) of every row.
 
@@ -124,9 +134,7 @@ def remove_digests(docs: DataFrame, window: int = 13) -> DataFrame:
 
 
 def _apply(docs: DataFrame, window: int, digest: bool) -> DataFrame:
-    gone = repeated_windows(docs, window).select(F.col("doc_id").alias("_doc"), "parts")
-    rows = docs.select("doc_id", common.text_of("text").alias("text")) \
-               .join(gone, F.col("doc_id") == F.col("_doc"), "left").select("doc_id", "text", "parts")
+    rows = _beside(docs.select("doc_id", common.text_of("text").alias("text")), repeated_windows(docs, window))
     if digest:
         schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
         ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string"
