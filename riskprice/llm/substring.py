@@ -34,7 +34,7 @@ def levels(window: int) -> list[int]:
     return out
 
 
-def _chosen(hashes: np.ndarray, length: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+def chosen(hashes: np.ndarray, length: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all ``length``-word windows, for each ``window``-word window the position of
     its chosen one)."""
     short = common.window_hashes(hashes, length)
@@ -47,10 +47,10 @@ def _windows(raw: bytes, length: int, window: int, parts: np.ndarray | None, pre
     h = common.word_hashes(common.split_words(raw))
     if len(h) < window:
         return np.empty(0, np.uint64)
-    short, at = _chosen(h, length, window)
+    short, at = chosen(h, length, window)
     if parts is not None:
-        before, chosen = _chosen(h, previous, window)
-        at = at[np.isin(before[chosen], parts)]
+        before, short_at = chosen(h, previous, window)
+        at = at[np.isin(before[short_at], parts)]
     return np.unique(short[at])
 
 
@@ -58,7 +58,7 @@ NONE = np.empty(0, np.uint64)
 ROWS = pa.schema([("h", pa.int64()), ("doc_id", pa.int64())])
 
 
-def _level(docs: DataFrame, length: int, window: int, previous: int | None) -> DataFrame:
+def level(docs: DataFrame, length: int, window: int, previous: int | None) -> DataFrame:
     """(h, doc_id) rows of one level; ``docs``: doc_id, text and, after level 1, parts."""
     def run(batches):
         for b in batches:
@@ -79,7 +79,7 @@ def _level(docs: DataFrame, length: int, window: int, previous: int | None) -> D
     return docs.mapInArrow(run, "h long, doc_id long")
 
 
-def _repeated(rows: DataFrame, later_only: bool) -> DataFrame:
+def repeated(rows: DataFrame, later_only: bool) -> DataFrame:
     """(doc_id, parts): hashes that another document has too; with ``later_only`` only for
     documents that are not the first to have them."""
     ends = rows.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi") \
@@ -102,16 +102,16 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
         if parts is not None:
             if not parts.limit(1).count():              # no candidates survive
                 return parts
-            rows = _level(_beside(texts, parts), length, window, previous)
+            rows = level(beside(texts, parts), length, window, previous)
         else:
-            rows = _level(texts.where("doc_id IS NOT NULL"), length, window, None)
+            rows = level(texts.where("doc_id IS NOT NULL"), length, window, None)
         if length == window:
-            return _repeated(rows, later_only=True)
-        parts, previous = common.cut(_repeated(rows, later_only=False)), length
+            return repeated(rows, later_only=True)
+        parts, previous = common.cut(repeated(rows, later_only=False)), length
         common.release(spark)
 
 
-def _beside(texts: DataFrame, parts: DataFrame) -> DataFrame:
+def beside(texts: DataFrame, parts: DataFrame) -> DataFrame:
     """(doc_id, text, parts) of every row. The same left join wherever texts meet their
     hashes, so within a query Spark moves the texts once and reuses the exchange."""
     return texts.join(parts.select(F.col("doc_id").alias("_doc"), "parts"), F.col("doc_id") == F.col("_doc"), "left") \
@@ -134,7 +134,7 @@ def remove_digests(docs: DataFrame, window: int = 13) -> DataFrame:
 
 
 def _apply(docs: DataFrame, window: int, digest: bool) -> DataFrame:
-    rows = _beside(docs.select("doc_id", common.text_of("text").alias("text")), repeated_windows(docs, window))
+    rows = beside(docs.select("doc_id", common.text_of("text").alias("text")), repeated_windows(docs, window))
     if digest:
         schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
         ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string"
