@@ -156,19 +156,19 @@ def disclosing_terms(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, generali
 
 
 def with_spans(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with ``_base`` and ``_spans``: base spans, and all spans of a row."""
-    found = common.store(disclosing_terms(docs, **options).groupBy(F.col("doc_id").alias("_doc"))
-                               .agg(F.sort_array(F.collect_list(F.struct("term", "k"))).alias("_terms")))
+    """``docs`` with ``__pii_base`` and ``__pii_spans``: base spans, and all spans of a row."""
+    found = common.store(disclosing_terms(docs, **options).groupBy(F.col("doc_id").alias("__pii_doc"))
+                               .agg(F.sort_array(F.collect_list(F.struct("term", "k"))).alias("__pii_terms")))
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def occurrences(x: Column) -> Column:
         whole = F.concat(F.lit(f"(?iu)(?<!{WORD})"), x["term"], F.lit(f"(?!{WORD})"))
         return F.transform(_matches(text, whole, 0), lambda m: F.struct(m["s"].alias("s"), x["k"].alias("k"), m["e"].alias("e"), m["v"].alias("v")))
 
-    rows = docs.join(found, docs["doc_id"] == found["_doc"], "left")
-    rows = rows.withColumn("_base", base_spans(text))
-    terms = F.when(F.col("_terms").isNotNull(), F.flatten(F.transform("_terms", occurrences))).otherwise(F.array().cast(SPANS))
-    return rows.withColumn("_spans", F.array_sort(F.concat("_base", terms))).drop("_doc", "_terms")
+    rows = docs.join(found, docs["doc_id"] == found["__pii_doc"], "left")
+    rows = rows.withColumn("__pii_base", base_spans(text))
+    terms = F.when(F.col("__pii_terms").isNotNull(), F.flatten(F.transform("__pii_terms", occurrences))).otherwise(F.array().cast(SPANS))
+    return rows.withColumn("__pii_spans", F.array_sort(F.concat("__pii_base", terms))).drop("__pii_doc", "__pii_terms")
 
 
 def _joined(spans: Column) -> Column:
@@ -180,11 +180,11 @@ def find(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms) of every row.
     Null text: empty. Repeated rows are found alike; rows with a null doc_id have their base
     spans only. Other columns are not read."""
-    rows = with_spans(docs.select("doc_id", "text"), **options).select("doc_id", "_base", "_spans")
-    count = lambda k: F.size(F.filter("_base", lambda x: x["k"] == k)).cast("long")
+    rows = with_spans(docs.select("doc_id", "text"), **options).select("doc_id", "__pii_base", "__pii_spans")
+    count = lambda k: F.size(F.filter("__pii_base", lambda x: x["k"] == k)).cast("long")
     return rows.select("doc_id", *[count(k).alias(f"n_{KINDS[k]}") for k in range(4)],
-                       F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"), _joined(F.col("_spans")).alias("spans"),
-                       (F.size("_spans") - F.size("_base")).cast("long").alias("n_terms"))
+                       F.sha2(_joined(F.col("__pii_base")), 256).alias("base_sha256"), _joined(F.col("__pii_spans")).alias("spans"),
+                       (F.size("__pii_spans") - F.size("__pii_base")).cast("long").alias("n_terms"))
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
@@ -212,6 +212,6 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
 
     text = F.col("text")
     rows = with_spans(docs, **options)
-    merged = F.aggregate("_spans", F.array().cast(SPANS), merge)
-    new = F.when(F.size("_spans") > 0, _let(merged, rewritten)).otherwise(text)
-    return rows.withColumn("_new", new).select(*[F.col("_new").alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    merged = F.aggregate("__pii_spans", F.array().cast(SPANS), merge)
+    new = F.when(F.size("__pii_spans") > 0, _let(merged, rewritten)).otherwise(text)
+    return rows.withColumn("__pii_new", new).select(*[F.col("__pii_new").alias(c) if c == "text" else F.col(c) for c in docs.columns])
