@@ -74,7 +74,7 @@ def level(docs: DataFrame, length: int, window: int, previous: int | None) -> Da
                     found.append(got)
                     ids.append(len(got))
                 if sum(ids):
-                    yield common.batch(ROWS, common.signed(np.concatenate(found)), np.repeat(part.column(0).to_numpy(), ids))
+                    yield common.batch(ROWS, common.signed(np.concatenate(found)), np.repeat(part.column(0).fill_null(0).to_numpy(), ids))
 
     return docs.mapInArrow(run, "h long, doc_id long")
 

@@ -118,7 +118,7 @@ def _train_one(xp, xu, k, prior, epochs, rate, penalty, rng):
         return row, column, z
 
     def gradient(row, column, dz):
-        g = np.bincount(column, dz[row], k + 1)
+        g = np.bincount(column, dz[row], k + 1).astype(float)      # of no columns: integers
         g[-1] = dz.sum()
         return g
 

@@ -77,12 +77,12 @@ def matching_rule(rules: list[Rule], host: Column, path: Column) -> tuple[Column
 def _strength(groups: DataFrame) -> float:
     """Prior strength of a level: from the moments of its groups' rates around their
     parents' rates. ``groups``: n, good per group, and the parent's pn, pgood."""
-    rate, up = F.col("good") / F.col("n"), F.col("pgood") / F.col("pn")
-    noise = up * (1 - up)
+    rate, up = F.try_divide("good", "n"), F.try_divide("pgood", "pn")
+    noise, others = up * (1 - up), 1 - F.try_divide("n", "pn")
     r = groups.where("n > 0").agg(
         F.sum(F.col("n") * (rate - up) * (rate - up)).alias("spread"),
-        F.sum(noise * (1 - F.col("n") / F.col("pn"))).alias("expected"),
-        F.sum(noise * (F.col("n") - 1) * (1 - F.col("n") / F.col("pn"))).alias("excess")).first()
+        F.sum(noise * others).alias("expected"),
+        F.sum(noise * (F.col("n") - 1) * others).alias("excess")).first()
     if not r["excess"]:
         return MAX_STRENGTH                  # no group that could show a difference
     rho = (r["spread"] - r["expected"]) / r["excess"]
