@@ -1,0 +1,88 @@
+"""Substring removal (13 words) and repeated passages (50 words)."""
+import hashlib
+import random
+from collections import defaultdict
+
+import pytest
+
+from riskprice.llm import substring, suffix
+
+
+def plain_removal(rows, n):
+    first = {}
+    texts = [(i, (t or "").encode().split()) for i, t in rows]
+    for i, w in sorted((x for x in texts if x[0] is not None), key=lambda x: x[0]):
+        for j in range(len(w) - n + 1):
+            first.setdefault(tuple(w[j:j + n]), i)
+    out = []
+    for i, w in texts:
+        gone = set()
+        for j in range(len(w) - n + 1):
+            if i is not None and first[tuple(w[j:j + n])] < i:
+                gone.update(range(j, j + n))
+        kept = b" ".join(x for j, x in enumerate(w) if j not in gone)
+        out.append((i, len(w), len(gone), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def related_texts(seed, n, vocabulary=6, length=60):
+    rng = random.Random(seed)
+    pool = [[f"{rng.randrange(vocabulary)}" for _ in range(rng.randrange(5, length))] for _ in range(8)]
+    out = []
+    for i in range(n):
+        w = []
+        for _ in range(rng.randrange(1, 4)):
+            w += rng.choice(pool)[rng.randrange(4):] if rng.random() < 0.7 else [f"u{rng.random()}" for _ in range(rng.randrange(20))]
+        out.append((i, " ".join(w)))
+    return out
+
+
+key = lambda r: tuple(str(x) for x in r)
+
+
+@pytest.mark.parametrize("window", [1, 2, 5, 13])
+def test_removal(make_docs, window):
+    rows = related_texts(window, 40)
+    got = [tuple(r) for r in substring.remove_digests(make_docs(rows), window).collect()]
+    assert sorted(got, key=key) == sorted(plain_removal(rows, window), key=key)
+
+
+def test_removal_edges(make_docs, edge_rows):
+    docs = make_docs(edge_rows)
+    got = [tuple(r) for r in substring.remove_digests(docs, 13).collect()]
+    assert sorted(got, key=key) == sorted(plain_removal(edge_rows, 13), key=key)
+    kept = {r.doc_id: r.kept for r in substring.remove_repeated_windows(docs, 13).where("doc_id IN (31, 32)").collect()}
+    assert kept[32] == [] and len(kept[31]) == 5
+    assert substring.remove_digests(docs.limit(0), 13).count() == 0
+
+
+def test_levels():
+    assert substring.levels(13) == [7, 13] and substring.levels(50) == [25, 50] and substring.levels(3) == [3] and substring.levels(1) == [1]
+
+
+def plain_passages(rows, n):
+    at = defaultdict(set)
+    texts = {i: (t or "").split() for i, t in rows if i is not None}
+    for i, w in texts.items():
+        for j in range(len(w) - n + 1):
+            at[tuple(w[j:j + n])].add(i)
+    return {(i, p) for i, w in texts.items() for j in range(len(w) - n + 1) if len(at[tuple(w[j:j + n])]) > 1 for p in range(j, j + n)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_passages(make_docs, seed):
+    rows = related_texts(seed, 30, vocabulary=5000, length=150)
+    got = suffix.repeated_passages(make_docs(rows, 2), 20).collect()
+    assert {(r.doc_id, p) for r in got for p in range(r.start, r.end)} == plain_passages(rows, 20)
+    assert all(r.other_doc_id != r.doc_id for r in got)
+
+
+def test_passages_edges(make_docs, edge_rows):
+    docs = make_docs(edge_rows)
+    got = suffix.repeated_passages(docs, 50).collect()
+    rows = [(i, t) for i, t in edge_rows]
+    assert {(r.doc_id, p) for r in got for p in range(r.start, r.end)} == plain_passages(rows, 50)
+    assert {r.doc_id for r in got} == {30, 31, 32, 40, 41, 42}
+    assert suffix.repeated_passages(docs.limit(0), 50).count() == 0
+    with pytest.raises(ValueError):
+        suffix.repeated_passages(docs, 8)
