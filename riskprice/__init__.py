@@ -13,7 +13,6 @@ from .operators.portfolio import (grouped_summary, portfolio_summary, product_su
                                   recommendation_distribution, risk_distribution)
 from .operators.model_grid import MODEL_PAIRS, model_grid, model_grid_distribution, model_grid_rows
 from .operators.quality import split_facilities, split_products
-from .operators.joins import hot_keys, salted_join
 from .operators.jobs import price_and_write, split_and_write, written_distributions
 
 __all__ = [
@@ -24,5 +23,5 @@ __all__ = [
     "portfolio_summary", "grouped_summary", "product_summary", "risk_distribution",
     "recommendation_distribution", "MODEL_PAIRS", "model_grid", "model_grid_rows",
     "model_grid_distribution", "split_facilities", "split_products",
-    "hot_keys", "salted_join", "price_and_write", "split_and_write", "written_distributions",
+    "price_and_write", "split_and_write", "written_distributions",
 ]

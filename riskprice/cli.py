@@ -4,8 +4,8 @@
     python -m riskprice.cli model-grid --input feed/ --output grid/
 
 The session comes from the submitting environment (``getOrCreate``); every job
-reads with an explicit schema, writes with distributed writers, and returns only
-one-row summaries to the driver.
+reads with explicit types, checks the rows, prices the valid ones, writes the others
+beside them with their errors, and returns only one-row summaries to the driver.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from typing import List, Optional
 from pyspark.sql import SparkSession
 
 from . import params as P
-from .operators import facilities, jobs, model_grid, portfolio, products, quality
+from .operators import jobs, model_grid, portfolio, quality
+from .schemas import ABSENT_OK
 from .sources import files
 
 
@@ -40,15 +41,15 @@ def _add_risk_args(p: argparse.ArgumentParser) -> None:
     p.add_argument("--stress-lgd-factor", type=float, default=d.stress_lgd_factor)
     p.add_argument("--economic-condition", default=d.economic_condition)
     p.add_argument("--stress-factor", type=float, default=d.stress_factor)
-    p.add_argument("--extra", nargs="*", default=None,
-                   help="optional facility columns present (detected for parquet when omitted)")
+    p.add_argument("--columns", nargs="*", default=None,
+                   help="columns that the feed has (looked up when omitted; required for streams)")
 
 
 def parser() -> argparse.ArgumentParser:
     ap = argparse.ArgumentParser(prog="riskprice")
     sub = ap.add_subparsers(dest="job", required=True)
     for name in ("price-facilities", "model-grid", "split-facilities", "stream-facilities",
-                 "stream-totals"):
+                 "stream-rejects", "stream-totals"):
         p = sub.add_parser(name)
         p.add_argument("--input", required=True)
         p.add_argument("--format", default="parquet", choices=files.FORMATS)
@@ -58,12 +59,17 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--checkpoint")
             p.add_argument("--available-now", action="store_true")
             p.add_argument("--interval", default="1 minute")
-    p = sub.add_parser("price-products")
-    p.add_argument("--input", required=True)
-    p.add_argument("--format", default="parquet", choices=files.FORMATS)
-    p.add_argument("--output", required=True)
-    for f, default in vars(P.ProductRules()).items():
-        p.add_argument("--" + f.replace("_", "-"), type=type(default), default=default)
+    for name in ("price-products", "split-products", "stream-products"):
+        p = sub.add_parser(name)
+        p.add_argument("--input", required=True)
+        p.add_argument("--format", default="parquet", choices=files.FORMATS)
+        p.add_argument("--output", required=True)
+        for f, default in vars(P.ProductRules()).items():
+            p.add_argument("--" + f.replace("_", "-"), type=type(default), default=default)
+        if name.startswith("stream-"):
+            p.add_argument("--checkpoint")
+            p.add_argument("--available-now", action="store_true")
+            p.add_argument("--interval", default="1 minute")
     return ap
 
 
@@ -71,41 +77,43 @@ def run(argv: Optional[List[str]] = None, spark: Optional[SparkSession] = None)
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName(f"riskprice-{a.job}").getOrCreate()
     out: dict = {"job": a.job, "output": a.output}
-    if a.job == "price-products":
+    if a.job.endswith("-products"):
         rules = P.ProductRules(**{f: getattr(a, f) for f in vars(P.ProductRules())})
-        priced = products.price_products(files.read_products(spark, a.input, a.format), rules)
-        files.write(priced, a.output + "/rows", a.format)
-        written = files.read(spark, a.output + "/rows", priced.schema, a.format)
-        out["summary"] = portfolio.product_summary(written).first().asDict()
+        if a.job == "stream-products":
+            from .streaming import start_product_stream
+            start_product_stream(spark, a.input, a.output, checkpoint=a.checkpoint, available_now=a.available_now,
+                                 interval=a.interval, fmt=a.format, rules=rules).awaitTermination()
+            return out
+        feed = files.read_products(spark, a.input, a.format, keep_unreadable=True)
+        if a.job == "split-products":
+            jobs.split_and_write(feed, quality.PRODUCT_RULES, a.output)
+            return out
+        rejected = jobs.price_products_checked(feed, a.output, rules)
+        written = spark.read.parquet(a.output + "/rows")
+        out["summary"] = {**portfolio.product_summary(written).first().asDict(), "rejected_count": rejected}
         return out
     rp = _risk_params(a)
-    streaming = a.job.startswith("stream-")
-    # a column that exists is used (adaptive schema); parquet feeds are inspected,
-    # other formats list their optional columns with --extra
-    if a.extra is None:
-        a.extra = (files.optional_columns_present(spark, a.input, a.format)
-                   if a.format == "parquet" else [])
-    elif a.format == "parquet" and not streaming:
-        missing = set(a.extra) - set(files.optional_columns_present(spark, a.input, a.format))
-        if missing:
-            raise ValueError(f"--extra names columns the input does not have: {sorted(missing)}")
-    if streaming:
-        from .streaming import start_pricing_stream, start_totals_stream
-        start = start_pricing_stream if a.job == "stream-facilities" else start_totals_stream
+    if a.job.startswith("stream-"):
+        from .streaming import start_pricing_stream, start_rejects_stream, start_totals_stream
+        if a.columns is None:
+            raise ValueError("a stream needs --columns: the columns that its files have")
+        start = {"stream-facilities": start_pricing_stream, "stream-rejects": start_rejects_stream,
+                 "stream-totals": start_totals_stream}[a.job]
         q = start(spark, a.input, a.output, checkpoint=a.checkpoint,
                   available_now=a.available_now, interval=a.interval,
-                  fmt=a.format, pd_model=a.pd_model, lgd_model=a.lgd_model, rp=rp, extra=a.extra)
+                  fmt=a.format, pd_model=a.pd_model, lgd_model=a.lgd_model, rp=rp, columns=a.columns)
         q.awaitTermination()
         return out
-    feed = files.read_facilities(spark, a.input, a.format, a.extra)
+    feed = files.read_facilities(spark, a.input, a.format, a.columns, keep_unreadable=True)
     if a.job == "split-facilities":
-        jobs.split_and_write(feed, quality.FACILITY_RULES, a.output)
+        jobs.split_and_write(feed, quality.FACILITY_RULES, a.output, absent_ok=ABSENT_OK)
     elif a.job == "price-facilities":
-        out["summary"] = jobs.price_and_write(feed, a.output + "/rows", a.pd_model, a.lgd_model, rp)
+        out["summary"] = jobs.price_checked(feed, a.output, a.pd_model, a.lgd_model, rp)
         files.write(jobs.written_distributions(spark, a.output + "/rows"), a.output + "/distributions")
         files.write(spark.createDataFrame([out["summary"]]).coalesce(1), a.output + "/summary", "json")
     elif a.job == "model-grid":
-        files.write(model_grid.model_grid(feed, rp), a.output)
+        valid, _ = quality.split_facilities(feed, ABSENT_OK)
+        files.write(model_grid.model_grid(valid, rp), a.output)
     return out
 
 

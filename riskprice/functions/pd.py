@@ -20,13 +20,21 @@ def logistic_score(columns: Sequence[str], model: P.LogisticModel) -> Column:
     return z
 
 
-def logistic_pd(columns: Sequence[str], rp: P.RiskParams) -> Column:
-    """PD = 1 / (1 + exp(-z)), capped at 0.99 and floored at 0.001."""
-    z = logistic_score(columns, rp.logistic)
-    raw = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+def logistic_link(columns: Sequence[str], rp: P.RiskParams) -> Column:
+    """1 / (1 + exp(-z))."""
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-logistic_score(columns, rp.logistic)))
+
+
+def clip_pd(raw: Column) -> Column:
+    """Capped at 0.99 and floored at 0.001."""
     return clip_when(raw, P.PD_FLOOR, P.PD_CAP)
 
 
+def logistic_pd(columns: Sequence[str], rp: P.RiskParams) -> Column:
+    """The logistic PD as one expression."""
+    return clip_pd(logistic_link(columns, rp))
+
+
 def score_bucket_pd(columns: Sequence[str] = (), rp: P.RiskParams | None = None) -> Column:
     """PD by credit-score bucket (lower bound inclusive)."""
     return first_band("credit_score", P.SCORE_PD_BUCKETS, ">=", P.SCORE_PD_OTHERWISE)
@@ -70,3 +78,8 @@ def pd_model(name: str) -> Callable[[Sequence[str], P.RiskParams], Column]:
         return PD_MODELS[name]
     except KeyError:
         raise ValueError(f"Unknown PD model: {name}") from None
+
+
+def unclipped_pd(name: str) -> Callable[[Sequence[str], P.RiskParams], Column] | None:
+    """What a model's clip is applied to; None for a model without one."""
+    return logistic_link if name == "logistic" else None

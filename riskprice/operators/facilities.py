@@ -1,11 +1,11 @@
 """Facility pricing: PD -> LGD -> EAD -> capital -> RAROC -> minimum price -> decision.
 
-Each step defines named column expressions on a ``Stage``. A later step refers to
-an earlier column through ``stage.ref(name)``, which returns the defining
-expression, so a whole pricing run becomes ONE projection over the input:
-one analysis on the driver, one fused codegen stage on the executors (shared
-sub-expressions such as EAD are computed once by subexpression elimination),
-no shuffle and no Python in the executors. The same plan runs on a stream.
+Each step defines named column expressions on a ``Stage``; ``stage.next()`` puts them
+into a projection of their own, and later steps refer to the finished columns. A
+pricing run is a few stacked projections (scores, exposure and capital, losses and
+revenue, ratios, decisions), so every formula stands in the plan once and each
+generated method stays small; they all run in one codegen stage, without a shuffle
+and without Python in the executors. The same plan runs on a stream.
 
 The public ``add_*`` functions apply a single step and materialise its columns.
 """
@@ -39,12 +39,36 @@ class Stage:
         self.exprs[name] = expr
         return self
 
+    def next(self) -> "Stage":
+        """Finish this projection; what follows sees its columns."""
+        if self.exprs:
+            self.df = self.df.withColumns(self.exprs)
+            self.columns = list(self.df.columns)
+            self.exprs = {}
+        return self
+
+    def drop(self, name: str) -> "Stage":
+        self.df = self.next().df.drop(name)
+        self.columns = list(self.df.columns)
+        return self
+
     def apply(self) -> DataFrame:
-        return self.df.withColumns(self.exprs) if self.exprs else self.df
+        return self.next().df
 
 
 def _pd(st: Stage, model: str, rp: P.RiskParams) -> None:
-    st.put("pd_score", pd.pd_model(model)(st.columns, rp))
+    put_pd(st, "pd_score", model, rp)
+
+
+def put_pd(st: Stage, name: str, model: str, rp: P.RiskParams) -> None:
+    """Column ``name`` with the PD of a model; a clip of its own where the model has one,
+    as each bound refers to the unclipped value again."""
+    raw = pd.unclipped_pd(model)
+    if raw is None:
+        st.put(name, pd.pd_model(model)(st.columns, rp))
+        return
+    st.put("_raw_pd", raw(st.columns, rp)).next()
+    st.put(name, pd.clip_pd(F.col("_raw_pd"))).drop("_raw_pd")
 
 
 def _lgd(st: Stage, model: str, rp: P.RiskParams) -> None:
@@ -55,8 +79,10 @@ def _lgd(st: Stage, model: str, rp: P.RiskParams) -> None:
         return
     for name, expr in lgd.collateral_parts(cols).items():
         st.put(name, expr)
+    st.next()
     st.put("lgd_score", lgd.collateral_lgd(rp, st.ref))
     if model == "hybrid":
+        st.next()
         st.put("collateral_lgd", st.ref("lgd_score"))
         st.put("industry_lgd", lgd.industry_lgd(cols))
         st.put("lgd_score", lgd.hybrid_lgd(cols, st.ref("collateral_lgd"), st.ref("industry_lgd")))
@@ -65,37 +91,42 @@ def _lgd(st: Stage, model: str, rp: P.RiskParams) -> None:
 def _exposure(st: Stage, rp: P.RiskParams) -> None:
     if st.has("ead_amount"):
         return
-    st.put("ccf", exposure.ccf())
+    st.put("ccf", exposure.ccf()).next()
     st.put("ead_amount", exposure.ead(st.columns, rp, st.ref))
 
 
 def _capital(st: Stage, rp: P.RiskParams) -> None:
-    st.put("regulatory_capital", exposure.regulatory_capital(rp, st.ref))
+    st.next()
+    st.put("regulatory_capital", exposure.regulatory_capital(rp, st.ref)).next()
     st.put("economic_capital", exposure.economic_capital(rp, st.ref))
 
 
 def _returns(st: Stage, rp: P.RiskParams) -> None:
+    st.next()
     for name, expr in {**returns.loss_and_costs(rp, st.ref),
                        **returns.revenue(st.columns, rp, st.ref)}.items():
         st.put(name, expr)
+    st.next()
     st.put("total_revenue", returns.total_revenue(st.ref))
-    st.put("net_income", returns.net_income(st.ref))
+    st.put("net_income", returns.net_income(st.ref)).next()
     st.put("raroc", returns.raroc(st.ref))
     st.put("risk_adjusted_margin", returns.risk_adjusted_margin(st.ref))
 
 
 def _minimum_price(st: Stage, rp: P.RiskParams) -> None:
-    st.put("required_revenue", returns.required_revenue(rp, st.ref))
+    st.next()
+    st.put("required_revenue", returns.required_revenue(rp, st.ref)).next()
     st.put("minimum_rate", returns.minimum_rate(st.ref))
     for name, expr in returns.price_components(rp, st.ref).items():
         st.put(name, expr)
 
 
 def _decisions(st: Stage, rp: P.RiskParams) -> None:
+    st.next()
     st.put("risk_rating", decision.risk_rating(st.ref))
     st.put("pricing_recommendation", decision.pricing_recommendation(rp, st.ref))
     st.put("competitive_rate", decision.competitive_rate(rp, st.ref))
-    st.put("stress_expected_loss", decision.stress_expected_loss(rp, st.ref))
+    st.put("stress_expected_loss", decision.stress_expected_loss(rp, st.ref)).next()
     st.put("stress_minimum_rate", decision.stress_minimum_rate(rp, st.ref))
 
 
@@ -139,7 +170,7 @@ def add_decisions(df: DataFrame, rp: P.RiskParams | None = None) -> DataFrame:
 
 
 def add_raroc(df: DataFrame, rp: P.RiskParams | None = None) -> DataFrame:
-    """EAD (unless given) -> capital -> returns, in one projection."""
+    """EAD (unless given) -> capital -> returns, on top of each other."""
     rp = rp or P.RiskParams()
     st = Stage(df)
     _exposure(st, rp)

@@ -34,11 +34,11 @@ def _model_columns(df: DataFrame, rp: P.RiskParams) -> DataFrame:
     """The three PDs, three LGDs, EAD and capital of each facility, one projection."""
     cols = df.columns
     st = facilities.Stage(df)
-    for name, fn in pd.PD_MODELS.items():
-        st.put(f"_pd_{name}", fn(cols, rp))
+    for name in pd.PD_MODELS:
+        facilities.put_pd(st, f"_pd_{name}", name, rp)
     parts = lgd.collateral_parts(cols)
     st.put("_lgd_collateral", lgd.collateral_lgd(rp, lambda n: parts[n]))
-    st.put("_lgd_industry", lgd.industry_lgd(cols))
+    st.put("_lgd_industry", lgd.industry_lgd(cols)).next()
     st.put("_lgd_hybrid", lgd.hybrid_lgd(cols, st.ref("_lgd_collateral"), st.ref("_lgd_industry")))
     facilities._exposure(st, rp)
     facilities._capital(st, rp)
@@ -72,10 +72,7 @@ def model_grid(df: DataFrame, rp: P.RiskParams | None = None) -> DataFrame:
 
 
 def model_grid_distribution(df: DataFrame, rp: P.RiskParams | None = None) -> DataFrame:
-    """Rating and recommendation counts per pair in one aggregation:
-    (model_key, dimension, value, count)."""
+    """Rating and recommendation counts per pair, (model_key, dimension, value, count): one
+    aggregation over the priced rows, whose few groups are then unpivoted."""
     rows = model_grid_rows(df, rp)
-    return (rows.select("model_key", F.explode(portfolio.decision_dimensions()).alias("_d"))
-                .groupBy("model_key", F.col("_d.dimension").alias("dimension"),
-                         F.col("_d.value").alias("value"))
-                .agg(F.count(F.lit(1)).alias("count")))
+    return portfolio.distributions_of(portfolio.decision_counts(rows, "model_key"), "model_key")

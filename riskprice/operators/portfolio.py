@@ -23,51 +23,123 @@ SUMMARY_COLUMNS = ("total_exposure", "total_expected_loss", "total_economic_capi
                    "facility_count")
 
 
+# Sums are exact: each value counts in units of 1e-6 (money) or 1e-12 (rates) as a wide
+# decimal, so they depend neither on the order of rows nor on the number of partitions.
+MONEY_UNIT, RATE_UNIT = 1e6, 1e12
+
+
+def exact_sum(name: str, unit: float) -> Column:
+    """Sum of a double column in units, as decimal(38, 0). NaN and infinities have no
+    units; ``odd_sum`` carries them."""
+    x = F.col(name)
+    return F.sum(F.when(_finite(x), (x * F.lit(unit)).cast("decimal(38,0)")))
+
+
+def odd_sum(name: str) -> Column:
+    """Sum of the values that are not finite (null if there are none)."""
+    return F.sum(F.when(~_finite(F.col(name)), F.col(name)))
+
+
+def _finite(x: Column) -> Column:
+    return F.abs(x) < F.lit(1e20)       # NaN orders above every number
+
+
 def summary_aggregates() -> List[Column]:
-    """Raw aggregates (sum/avg may be null on empty input)."""
-    aggs = [F.sum(src).alias("_s_" + name) for name, src in _SUMS]
-    aggs += [F.avg(src).alias("_a_" + name) for name, src in _AVGS]
+    """Raw aggregates (all null on empty input)."""
+    aggs = []
+    for name, src in _SUMS:
+        aggs += [exact_sum(src, MONEY_UNIT).alias("_s_" + name), odd_sum(src).alias("_o_" + name)]
+    for name, src in _AVGS:
+        aggs += [exact_sum(src, RATE_UNIT).alias("_s_" + name), odd_sum(src).alias("_o_" + name),
+                 F.count(src).alias("_n_" + name)]
     aggs.append(F.count(F.lit(1)).alias("facility_count"))
     return aggs
 
 
+def summary_merge() -> List[Column]:
+    """Aggregates of ``summary_aggregates`` over groups, merged."""
+    names = [c for name, _ in _SUMS for c in ("_s_" + name, "_o_" + name)]
+    names += [c for name, _ in _AVGS for c in ("_s_" + name, "_o_" + name, "_n_" + name)]
+    return [F.sum(n).alias(n) for n in (*names, "facility_count")]
+
+
+def _total(name: str, unit: float) -> Column:
+    whole = F.col("_s_" + name).cast("double") / F.lit(unit)
+    return F.when(F.col("_o_" + name).isNotNull(), F.col("_o_" + name) + F.coalesce(whole, F.lit(0.0))).otherwise(whole)
+
+
 def summary_finish(keys: Sequence[str] = ()) -> List[Column]:
     """Post-aggregation: null -> 0, ratio of sums, EL rate over (sum EAD or 1)."""
     zero = F.lit(0.0)
     out = [F.col(k) for k in keys]
-    for name, _ in _SUMS:
-        out.append(F.coalesce(F.col("_s_" + name), zero).alias(name))
-    cap, inc = F.col("_s_total_economic_capital"), F.col("_s_total_net_income")
+    total = {name: _total(name, MONEY_UNIT) for name, _ in _SUMS}
+    out += [F.coalesce(c, zero).alias(name) for name, c in total.items()]
+    cap, inc = total["total_economic_capital"], total["total_net_income"]
     out.append(F.when(F.coalesce(cap, zero) > zero, F.coalesce(inc, zero) / cap)
                .otherwise(zero).alias("portfolio_raroc"))
     for name, _ in _AVGS:
-        out.append(F.coalesce(F.col("_a_" + name), zero).alias(name))
-    denom = F.coalesce(F.nullif(F.col("_s_total_exposure"), zero), F.lit(1.0))
-    out.append((F.coalesce(F.col("_s_total_expected_loss"), zero) / denom).alias("expected_loss_rate"))
-    out.append(F.col("facility_count"))
+        out.append(F.coalesce(F.try_divide(_total(name, RATE_UNIT), F.col("_n_" + name).cast("double")), zero).alias(name))
+    denom = F.coalesce(F.nullif(total["total_exposure"], zero), F.lit(1.0))
+    out.append((F.coalesce(total["total_expected_loss"], zero) / denom).alias("expected_loss_rate"))
+    out.append(F.coalesce("facility_count", F.lit(0).cast("bigint")).alias("facility_count"))
     return out
 
 
-def finish_summary(raw: dict) -> dict:  # noqa: C901
+def finish_summary(raw: dict) -> dict:
     """``summary_finish`` for one already-collected row of ``summary_aggregates``
     (same rules: null -> 0, ratio of sums, EL rate over (sum EAD or 1))."""
-    val = lambda k: float(raw.get(k) or 0.0)
-    out = {name: val("_s_" + name) for name, _ in _SUMS}
-    cap, inc = val("_s_total_economic_capital"), val("_s_total_net_income")
+    def total(name, unit):
+        whole, odd = raw.get("_s_" + name), raw.get("_o_" + name)
+        if whole is None and odd is None:
+            return None
+        return (odd or 0.0) + float(whole or 0) / unit
+
+    sums = {name: total(name, MONEY_UNIT) for name, _ in _SUMS}
+    out = {name: 0.0 if v is None else v for name, v in sums.items()}
+    cap, inc = out["total_economic_capital"], out["total_net_income"]
     # NaN orders above every number in Spark, so a NaN capital takes the ratio branch
     out["portfolio_raroc"] = inc / cap if (cap > 0 or cap != cap) else 0.0
     for name, _ in _AVGS:
-        out[name] = val("_a_" + name)
-    out["expected_loss_rate"] = val("_s_total_expected_loss") / (val("_s_total_exposure") or 1.0)
+        v, n = total(name, RATE_UNIT), raw.get("_n_" + name)
+        out[name] = 0.0 if v is None or not n else v / n
+    out["expected_loss_rate"] = out["total_expected_loss"] / (out["total_exposure"] or 1.0)
     out["facility_count"] = int(raw.get("facility_count") or 0)
     return out
 
 
-def decision_dimensions() -> Column:
-    """array<struct<dimension, value>> of the two decision columns, for one grouped
-    count over both distributions."""
-    return F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).alias("value"))
-                     for c in ("risk_rating", "pricing_recommendation")])
+DECISIONS = ("risk_rating", "pricing_recommendation")
+
+
+def decision_counts(priced: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., rating, recommendation, count): at most 35 groups a key."""
+    return priced.groupBy(*keys, *DECISIONS).agg(F.count(F.lit(1)).alias("count"))
+
+
+def distributions_of(counts: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., dimension, value, count) from ``decision_counts``: the few groups are
+    unpivoted, not the rows."""
+    both = F.explode(F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).alias("value")) for c in DECISIONS]))
+    return counts.select(*keys, both.alias("_d"), "count") \
+                 .groupBy(*keys, F.col("_d.dimension").alias("dimension"), F.col("_d.value").alias("value")) \
+                 .agg(F.sum("count").alias("count"))
+
+
+def portfolio_report(priced: DataFrame) -> DataFrame:
+    """One row with the summary and both distributions (sorted arrays of value and count),
+    from one pass: rows are aggregated by the two decisions (at most 35 groups), and the
+    totals and distributions are taken from the groups."""
+    groups = priced.groupBy(*DECISIONS).agg(*summary_aggregates())
+    pairs = [F.collect_list(F.struct(F.col(c).alias("value"), F.col("facility_count").alias("count"))).alias("_" + c) for c in DECISIONS]
+    return groups.agg(*summary_merge(), *pairs).select(
+        *summary_finish(), *[_folded(F.col("_" + c)).alias(c.replace("risk_rating", "risk_distribution")
+                                                           .replace("pricing_recommendation", "recommendation_distribution"))
+                             for c in DECISIONS])
+
+
+def _folded(pairs: Column) -> Column:
+    values = F.array_sort(F.array_distinct(F.transform(pairs, lambda x: x["value"])))
+    return F.transform(values, lambda v: F.struct(v.alias("value"), F.aggregate(
+        F.filter(pairs, lambda x: x["value"].eqNullSafe(v)), F.lit(0).cast("bigint"), lambda n, x: n + x["count"]).alias("count")))
 
 
 def portfolio_summary(priced: DataFrame) -> DataFrame:
@@ -98,13 +170,13 @@ def product_summary(priced_products: DataFrame) -> DataFrame:
     total_revenue sums unit prices; quantity is not multiplied in."""
     zero = F.lit(0.0)
     agg = priced_products.agg(
-        F.sum("final_price").alias("_rev"), F.avg("final_price").alias("_avg"),
+        exact_sum("final_price", MONEY_UNIT).alias("_s_rev"), odd_sum("final_price").alias("_o_rev"), F.count("final_price").alias("_n"),
         F.max("final_price").alias("_max"), F.min("final_price").alias("_min"),
         F.sum(F.col("quantity").cast("bigint")).alias("_qty"),
         F.count(F.lit(1)).alias("total_products"))
     return agg.select(
-        F.coalesce("_rev", zero).alias("total_revenue"),
-        F.coalesce("_avg", zero).alias("average_price"),
+        F.coalesce(_total("rev", MONEY_UNIT), zero).alias("total_revenue"),
+        F.coalesce(F.try_divide(_total("rev", MONEY_UNIT), F.col("_n").cast("double")), zero).alias("average_price"),
         F.coalesce("_max", zero).alias("max_price"),
         F.coalesce("_min", zero).alias("min_price"),
         F.coalesce("_qty", F.lit(0).cast("bigint")).alias("total_quantity"),

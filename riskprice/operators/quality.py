@@ -14,6 +14,8 @@ from typing import List, Optional, Sequence, Tuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schemas import CORRUPT
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -65,11 +67,16 @@ FACILITY_RULES: Tuple[Rule, ...] = (
 # end of fixed values
 
 
-def errors_column(rules: Sequence[Rule], columns: Sequence[str]) -> Column:
+def errors_column(rules: Sequence[Rule], columns: Sequence[str], absent_ok: Sequence[str] = ()) -> Column:
     """Comma-joined names of failed rules ('' when the row is valid); a rule whose
-    column the feed lacks fails every row as '<column>_missing'."""
+    column the feed lacks fails every row as '<column>_missing', unless the column may be
+    absent. A row that could not be read fails as 'unreadable'."""
     parts: List[Column] = []
+    if CORRUPT in columns:
+        parts.append(F.when(F.col(CORRUPT).isNotNull(), F.lit("unreadable")))
     for r in rules:
+        if r.column not in columns and r.column in absent_ok:
+            continue
         if r.column not in columns:
             parts.append(F.lit(f"{r.column}_missing"))
         else:
@@ -77,23 +84,25 @@ def errors_column(rules: Sequence[Rule], columns: Sequence[str]) -> Column:
     return F.concat_ws(",", *parts)
 
 
-def with_errors(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    return df.withColumns({"validation_errors": errors_column(rules, df.columns)})
+def with_errors(df: DataFrame, rules: Sequence[Rule], absent_ok: Sequence[str] = ()) -> DataFrame:
+    return df.withColumns({"validation_errors": errors_column(rules, df.columns, absent_ok)})
 
 
-def split(df: DataFrame, rules: Sequence[Rule]) -> Tuple[DataFrame, DataFrame]:
+def split(df: DataFrame, rules: Sequence[Rule], absent_ok: Sequence[str] = ()) -> Tuple[DataFrame, DataFrame]:
     """(valid rows with the original columns, rejected rows + validation_errors)."""
-    checked = with_errors(df, rules)
+    checked = with_errors(df, rules, absent_ok)
     ok = F.col("validation_errors") == F.lit("")
-    return checked.filter(ok).drop("validation_errors"), checked.filter(~ok)
+    return checked.filter(ok).drop("validation_errors", CORRUPT), checked.filter(~ok)
 
 
 def split_products(df: DataFrame) -> Tuple[DataFrame, DataFrame]:
     return split(df, PRODUCT_RULES)
 
 
-def split_facilities(df: DataFrame) -> Tuple[DataFrame, DataFrame]:
-    return split(df, FACILITY_RULES)
+def split_facilities(df: DataFrame, absent_ok: Sequence[str] = ()) -> Tuple[DataFrame, DataFrame]:
+    """``absent_ok``: columns that the feed may lack altogether (``schemas.ABSENT_OK`` for a
+    feed whose formulas then use their fallbacks)."""
+    return split(df, FACILITY_RULES, absent_ok)
 
 
 def rule_sql(r: Rule) -> str:

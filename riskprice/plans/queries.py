@@ -111,9 +111,11 @@ def _product_sql(rules: P.ProductRules, upto: str) -> str:
 def _product_summary_sql(rules: P.ProductRules) -> str:
     L = _product_sql(rules, "final")
     g = lambda e, name: sql_on_grid(e, AGG_GRID[0])
+    total = f"coalesce({S.exact_sum('final_price')}, 0.0e0)"
+    average = f"coalesce({S.exact_avg('final_price', '1e6')}, 0.0e0)"
     sel = ", ".join([
-        f"{g('coalesce(sum(final_price), 0.0e0)', '')} AS total_revenue",
-        f"{g('coalesce(avg(final_price), 0.0e0)', '')} AS average_price",
+        f"{g(total, '')} AS total_revenue",
+        f"{g(average, '')} AS average_price",
         f"{g('coalesce(max(final_price), 0.0e0)', '')} AS max_price",
         f"{g('coalesce(min(final_price), 0.0e0)', '')} AS min_price",
         "CAST(coalesce(sum(quantity), 0) AS BIGINT) AS total_quantity",
@@ -150,10 +152,15 @@ def product_summary_default_rules(spark, d):
     return report(portfolio.product_summary(priced), AGG_GRID)
 
 
-@register("priced_products_json")
+def _through_json(priced: DataFrame, key: str) -> DataFrame:
+    """Rows written as JSON and parsed back with their schema."""
+    return files.as_json(priced, key).select(F.from_json("json", priced.schema).alias("r")).select("r.*")
+
+
+@register("priced_products_json", _product_sql(TIERED_RULES, "final").final())
 def priced_products_json(spark, d):
     priced = products.price_products(tables.product_lines(spark, d), TIERED_RULES)
-    return files.as_json(priced, "product_id")
+    return report(_through_json(priced, "product_id"))
 
 
 # ------------------------------------------------------------------ PD
@@ -394,9 +401,62 @@ for _p, _l in grid.MODEL_PAIRS:
     _register_pricing(_p, _l)
 
 
-@register("priced_facilities_json")
+@register("priced_facilities_json", S.priced_sql("logistic", "hybrid"))
 def priced_facilities_json(spark, d):
-    return files.as_json(_priced(spark, d), "borrower_id")
+    return report(_through_json(_priced(spark, d), "borrower_id"))
+
+
+# ------------------------------------------------------------------ checked pricing
+
+_VALID_SQL = f"SELECT * FROM ({S.SPOILED_FACILITIES_SQL}) WHERE {quality.errors_sql(quality.FACILITY_RULES)} = ''"
+
+
+@register("priced_valid_facilities", S.pricing_ladder("logistic", "hybrid", None, _VALID_SQL).final())
+def priced_valid_facilities(spark, d):
+    """The spoiled feed as the jobs treat it: checked first, valid rows priced."""
+    valid = quality.split_facilities(tables.facilities(spark, d, spoiled=True))[0]
+    return report(_priced(spark, d, source=valid))
+
+
+# ------------------------------------------------------------------ parameters and optional inputs
+
+_VARIANT_COLUMNS = ["borrower_id", "pd_score", "lgd_score", "ead_amount", "regulatory_capital", "economic_capital",
+                    "expected_loss", "net_income", "raroc", "minimum_rate", "competitive_rate", "stress_expected_loss",
+                    "stress_minimum_rate", "risk_rating", "pricing_recommendation"]
+_OWN_EAD_SQL = f"SELECT *, exposure_amount * 0.9e0 AS ead_amount FROM ({S.FACILITIES_SQL})"
+CUSTOM_LOGISTIC = P.RiskParams(logistic=P.LogisticModel(9.0, {"credit_score": -0.012, "debt_to_income": 1.5}))
+
+
+def _variant(name: str, pd_model: str = "logistic", lgd_model: str = "hybrid", rp: P.RiskParams | None = None,
+             without: Sequence[str] = (), own_ead: bool = False) -> None:
+    cols = [c for c in S.FACILITY_COLUMNS if c[0] not in without] + ([("ead_amount", True)] if own_ead else [])
+    source = _OWN_EAD_SQL if own_ead else S.FACILITIES_SQL
+    if without:
+        source = f"SELECT * EXCLUDE ({', '.join(without)}) FROM ({source})"
+
+    def build(spark, d):
+        f = tables.facilities(spark, d).drop(*without)
+        if own_ead:
+            f = f.withColumn("ead_amount", F.col("exposure_amount") * F.lit(0.9))
+        return _pick(fac.price_facilities(f, pd_model, lgd_model, rp), _VARIANT_COLUMNS)
+
+    build.__name__ = name
+    register(name, S.pricing_ladder(pd_model, lgd_model, rp, source, cols).final(_VARIANT_COLUMNS))(build)
+
+
+_variant("pricing_with_own_ead", own_ead=True)
+_variant("pricing_custom_logistic", rp=CUSTOM_LOGISTIC)
+_variant("pricing_expansion", lgd_model="collateral", rp=P.RiskParams(economic_condition="expansion"))
+_variant("pricing_unknown_economy", lgd_model="collateral", rp=P.RiskParams(economic_condition="sideways"))
+for _risk_type in ("sme", "retail", "bank", "cooperative"):
+    _variant(f"pricing_{_risk_type}", rp=P.RiskParams(risk_type=_risk_type))
+_variant("pricing_other_targets", "score_based", rp=P.RiskParams(
+    target_raroc=0.12, competitive_margin=0.035, stress_pd_factor=3.0, stress_lgd_factor=1.1))
+for _missing, _pd_name, _lgd_name in (("loan_to_value", "logistic", "collateral"), ("seniority", "score_based", "collateral"),
+                                      ("company_size", "industry", "industry"), ("region", "industry", "industry"),
+                                      ("loan_term", "score_based", "hybrid"), ("undrawn_amount", "logistic", "hybrid"),
+                                      ("debt_to_income", "score_based", "hybrid")):
+    _variant(f"pricing_without_{_missing}", _pd_name, _lgd_name, without=[_missing])
 
 
 # ------------------------------------------------------------------ aggregations
@@ -423,6 +483,33 @@ def portfolio_summary_empty(spark, d):
     return report(portfolio.portfolio_summary(_priced(spark, d, source=rejected)), AGG_GRID)
 
 
+@register("portfolio_summary_valid", _summary_sql(source=_VALID_SQL))
+def portfolio_summary_valid(spark, d):
+    """Totals of the spoiled feed's valid rows only."""
+    valid = quality.split_facilities(tables.facilities(spark, d, spoiled=True))[0]
+    return report(portfolio.portfolio_summary(_priced(spark, d, source=valid)), AGG_GRID)
+
+
+def _report_sql() -> str:
+    priced = S.raw_priced("score_based", "hybrid")
+    parts = [f"SELECT '{name}' AS dimension, {column} AS value, count(*) AS count FROM p GROUP BY {column}"
+             for name, column in (("risk_distribution", "risk_rating"), ("recommendation_distribution", "pricing_recommendation"))]
+    return (f"WITH p AS MATERIALIZED ({priced}), t AS (SELECT {S.summary_select()} FROM p), d AS ({' UNION ALL '.join(parts)}) "
+            "SELECT d.*, t.* FROM d, t")
+
+
+@register("portfolio_report", _report_sql())
+def portfolio_report(spark, d):
+    """Totals, ratios and both distributions from one pass, a row a distribution value."""
+    names = ("risk_distribution", "recommendation_distribution")
+    r = report(portfolio.portfolio_report(_priced(spark, d, "score_based", "hybrid")), AGG_GRID)
+    def named(n: str):
+        return F.transform(n, lambda x: F.struct(F.lit(n).alias("dimension"), x["value"].alias("value"), x["count"].alias("count")))
+
+    each = F.concat(*[named(n) for n in names])
+    return r.select(F.explode(each).alias("_x"), *[c for c in r.columns if c not in names]).select("_x.*", *[c for c in r.columns if c not in names])
+
+
 def _distribution_sql(column: str, pd_model="logistic", lgd_model="hybrid") -> str:
     return (f"SELECT {column}, count(*) AS count FROM "
             f"({S.raw_priced(pd_model, lgd_model)}) GROUP BY {column}")

@@ -256,22 +256,31 @@ def priced_sql(pd_model: str, lgd_model: str, rp: P.RiskParams | None = None,
 
 # ---------------------------------------------------------------- summaries
 
+def exact_sum(column: str, unit: str = "1e6") -> str:
+    """Order-free sum: whole units as wide decimals, scaled back at the end."""
+    return f"(CAST(sum(CAST({column} * {unit} AS DECIMAL(38,0))) AS DOUBLE) / {unit})"
+
+
+def exact_avg(column: str, unit: str = "1e12") -> str:
+    return f"({exact_sum(column, unit)} / CAST(NULLIF(count({column}), 0) AS DOUBLE))"
+
+
 def summary_select(grid=AGG_GRID, keys: Sequence[str] = ()) -> str:
     g = lambda e, name: sql_on_grid(e, grid[0] if name.startswith("total_") else grid[1])
     parts = list(keys)
     sums = {"total_exposure": "ead_amount", "total_expected_loss": "expected_loss",
             "total_economic_capital": "economic_capital", "total_net_income": "net_income"}
     for name, src in sums.items():
-        parts.append(f"{g(f'coalesce(sum({src}), 0.0e0)', name)} AS {name}")
-    parts.append(g("CASE WHEN coalesce(sum(economic_capital), 0.0e0) > 0 THEN "
-                   "coalesce(sum(net_income), 0.0e0) / sum(economic_capital) ELSE 0.0e0 END",
+        parts.append(f"{g(f'coalesce({exact_sum(src)}, 0.0e0)', name)} AS {name}")
+    parts.append(g(f"CASE WHEN coalesce({exact_sum('economic_capital')}, 0.0e0) > 0 THEN "
+                   f"coalesce({exact_sum('net_income')}, 0.0e0) / {exact_sum('economic_capital')} ELSE 0.0e0 END",
                    "portfolio_raroc") + " AS portfolio_raroc")
     avgs = {"average_pd": "pd_score", "average_lgd": "lgd_score",
             "average_individual_raroc": "raroc", "average_minimum_rate": "minimum_rate"}
     for name, src in avgs.items():
-        parts.append(f"{g(f'coalesce(avg({src}), 0.0e0)', name)} AS {name}")
-    parts.append(g("coalesce(sum(expected_loss), 0.0e0) / "
-                   "coalesce(NULLIF(sum(ead_amount), 0.0e0), 1.0e0)", "expected_loss_rate")
+        parts.append(f"{g(f'coalesce({exact_avg(src)}, 0.0e0)', name)} AS {name}")
+    parts.append(g(f"coalesce({exact_sum('expected_loss')}, 0.0e0) / "
+                   f"coalesce(NULLIF({exact_sum('ead_amount')}, 0.0e0), 1.0e0)", "expected_loss_rate")
                  + " AS expected_loss_rate")
     parts.append("count(*) AS facility_count")
     return ", ".join(parts)

@@ -1,4 +1,6 @@
-"""Input schemas. Money is DoubleType, counts and scores IntegerType."""
+"""Input schemas. Money is DoubleType, counts and scores IntegerType.
+
+FIXED VALUES: names, types and order of the columns are the input contract."""
 
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
@@ -38,6 +40,24 @@ OPTIONAL_FACILITY_FIELDS = (
 )
 
 
+# Columns without which no model can run; every other column of FACILITY_SCHEMA may be
+# absent, and the formulas then use their neutral factor or fallback.
+REQUIRED_FACILITY_COLUMNS = ("borrower_id", "credit_score", "industry", "collateral_type", "facility_type",
+                             "exposure_amount")
+ABSENT_OK = tuple(f.name for f in FACILITY_SCHEMA.fields if f.name not in REQUIRED_FACILITY_COLUMNS)
+CORRUPT = "_corrupt_record"
+
+
+def feed_schema(present) -> StructType:
+    """The known fields among the columns that a feed has, in the order of the contract.
+    A missing required column is an error that names it."""
+    present = set(present)
+    missing = [c for c in REQUIRED_FACILITY_COLUMNS if c not in present]
+    if missing:
+        raise ValueError(f"the feed lacks required columns: {missing}")
+    return StructType([f for f in (*FACILITY_SCHEMA.fields, *OPTIONAL_FACILITY_FIELDS) if f.name in present])
+
+
 def facility_schema(*extra: str) -> StructType:
     """FACILITY_SCHEMA plus the named optional columns, in the given order."""
     by_name = {f.name: f for f in OPTIONAL_FACILITY_FIELDS}

@@ -18,11 +18,6 @@ LOCAL_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # A priced row plus the 40-column reporting projection of the registered queries
-    # compiles to one method above the JVM's 8000-byte JIT limit; without this flag
-    # HotSpot interprets it (2-3x slower). The library's fused pricing projection
-    # alone fits. On a cluster set the same flag in spark.executor.extraJavaOptions.
-    "spark.driver.extraJavaOptions": "-XX:-DontCompileHugeMethods",
 }
 
 
@@ -31,6 +26,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "ris
                   extra: dict | None = None) -> SparkSession:
     """Local session for tests and the benchmark. ``event_log_dir`` writes Spark's
     event log (stage and task times) to that folder; the web UI stays off."""
+    if "spark.checkpoint.dir" not in (extra or {}) and not os.environ.get("SPARK_CONF_DIR"):
+        extra = {**(extra or {}), "spark.checkpoint.dir": tempfile.mkdtemp(prefix="riskprice-ckpt-")}
     b = (SparkSession.builder.master(f"local[{cores}]").appName(app)
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.driver.memory", driver_memory))
@@ -40,10 +37,13 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "ris
         b = b.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_log_dir)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    spark.sparkContext.setCheckpointDir(ensure_checkpoint_dir(spark))
     return spark
 
 
+_LOCAL_CHECKPOINTS: dict = {}
+
+
 def _is_local(spark: SparkSession) -> bool:
     try:
         return spark.sparkContext.master.startswith("local")
@@ -55,20 +55,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster it must be set (a shared file system) and an unset value is an
-    error; only a local-mode session without it gets a private scratch folder."""
+    error; only a local-mode session without it gets a private scratch folder.
+    The session's settings are read, never changed."""
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        if not _is_local(spark):
-            raise ValueError("spark.checkpoint.dir is not set: name a shared folder "
-                             "(HDFS/S3) for checkpoints, or pass a checkpoint location")
-        d = tempfile.mkdtemp(prefix="riskprice-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    try:
-        sc = spark.sparkContext
-    except Exception:                   # Spark Connect: no SparkContext to configure
+    if d:
         return d
-    sc.setCheckpointDir(d)
-    return d
+    if not _is_local(spark):
+        raise ValueError("spark.checkpoint.dir is not set: name a shared folder "
+                         "(HDFS/S3) for checkpoints, or pass a checkpoint location")
+    if "local" not in _LOCAL_CHECKPOINTS:
+        _LOCAL_CHECKPOINTS["local"] = tempfile.mkdtemp(prefix="riskprice-ckpt-")
+    return _LOCAL_CHECKPOINTS["local"]
 
 
 def checkpoint_path(spark: SparkSession, *parts: str) -> str:

@@ -1,8 +1,10 @@
 """File sources and sinks with explicit schemas (never inferred).
 
-Readers take a path or directory of parquet, JSON-lines or CSV files; the schema is
+Readers take a path or directory of parquet, JSON-lines or CSV files; the types are
 applied on read so that Parquet column pruning / filter pushdown still work and
-type drift in a feed fails loudly instead of silently widening columns.
+type drift in a feed fails loudly instead of silently widening columns. Which columns a
+facility feed has decides which formulas apply, so ``read_facilities`` reads exactly the
+known columns that the feed carries, in every format.
 """
 
 from __future__ import annotations
@@ -11,9 +13,9 @@ from typing import Iterable, Optional
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
-from ..schemas import PRODUCT_SCHEMA, facility_schema
+from ..schemas import CORRUPT, PRODUCT_SCHEMA, feed_schema
 
 FORMATS = ("parquet", "json", "csv")
 
@@ -35,17 +37,17 @@ def reader_options(r, fmt: str):
     return r
 
 
-def optional_columns_present(spark: SparkSession, path: str, fmt: str) -> list:
-    """Optional facility columns found in a parquet feed's own schema, merged over
-    all file footers (an empty or missing input has none)."""
-    from ..schemas import OPTIONAL_FACILITY_FIELDS
-    if fmt != "parquet":
-        raise ValueError("optional columns are detected for parquet only; list them explicitly")
-    try:
-        present = set(spark.read.option("mergeSchema", "true").parquet(path).columns)
-    except Exception:                   # no files yet: nothing to detect
-        return []
-    return [f.name for f in OPTIONAL_FACILITY_FIELDS if f.name in present]
+def columns_present(spark: SparkSession, path: str, fmt: str) -> list:
+    """Column names of a feed: a Parquet footer, the CSV header, or the keys of all JSON
+    rows (one pass; name the columns instead to spare it). A path that can't be read is an
+    error."""
+    if fmt not in FORMATS:
+        raise ValueError(f"unsupported format {fmt!r}; expected one of {FORMATS}")
+    if fmt == "parquet":
+        return spark.read.parquet(path).columns
+    if fmt == "csv":
+        return spark.read.option("header", "true").csv(path).columns
+    return [c for c in spark.read.option("primitivesAsString", "true").json(path).columns if c != CORRUPT]
 
 
 def read(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet") -> DataFrame:
@@ -53,14 +55,30 @@ def read(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet
     return _reader(spark, schema, fmt).load(path)
 
 
-def read_products(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return _reader(spark, PRODUCT_SCHEMA, fmt).load(path)
+def read_products(spark: SparkSession, path: str, fmt: str = "parquet", keep_unreadable: bool = False) -> DataFrame:
+    r = _reader(spark, PRODUCT_SCHEMA, fmt)
+    if keep_unreadable and fmt != "parquet":
+        schema = StructType(PRODUCT_SCHEMA.fields + [StructField(CORRUPT, StringType(), True)])
+        r = r.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    return r.load(path)
 
 
 def read_facilities(spark: SparkSession, path: str, fmt: str = "parquet",
-                    extra: Iterable[str] = ()) -> DataFrame:
-    """Facility feed; ``extra`` names optional columns (interest_rate, fee_rate, ead_amount)."""
-    return _reader(spark, facility_schema(*extra), fmt).load(path)
+                    columns: Optional[Iterable[str]] = None, keep_unreadable: bool = False) -> DataFrame:
+    """Facility feed with the known columns that it has (``columns`` names them, else they
+    are looked up), so an absent optional column is absent for the formulas too.
+
+    ``keep_unreadable``: rows of JSON and CSV feeds that can't be parsed stay as nulls with
+    their text in ``_corrupt_record``, for the quarantine, instead of failing the job."""
+    present = columns_present(spark, path, fmt) if columns is None else list(columns)
+    schema = known = feed_schema(present)
+    if fmt == "csv":                    # the header is checked, so every column of it is declared
+        schema = StructType([known[c] if c in known.fieldNames() else StructField(c, StringType(), True) for c in present])
+    r = _reader(spark, schema, fmt)
+    if keep_unreadable and fmt != "parquet":
+        schema = StructType(schema.fields + [StructField(CORRUPT, StringType(), True)])
+        r = r.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    return r.load(path).select(*known.fieldNames(), *[c for c in (CORRUPT,) if c in schema.fieldNames()])
 
 
 def write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",

@@ -2,35 +2,20 @@
 
 One order is one facility, one line item is one product line. All attributes are
 deterministic integer arithmetic on keys and columns, so Spark and any SQL engine
-derive identical rows. Join plan:
-
-* ``nation x region`` is a fixed-size dimension (25 rows in TPC-H at every scale):
-  it is reduced to (nation key, region class) and broadcast after a bounded row
-  count check; if the check fails it stays a shuffle join.
-* ``orders x customer`` and ``lineitem x part`` are joined first, fact on the left.
-  A dimension that a bounded check proves small (at most
-  ``DIMENSION_BROADCAST_MAX_ROWS`` narrow rows, ~12 MB) is broadcast, and only then
-  is a tiny fact scan spread over the cores (a broadcast join does not shuffle
-  the fact). Otherwise the join is a sort-merge join on the key, whose own
-  exchange spreads the rows; hot keys (one customer holding a third of all
-  orders) are found from a sample and salted (``operators.joins``), so they are
-  spread over many tasks even without AQE. The fact side is never broadcast.
+derive identical rows. The joins are plain equi-joins without hints, size checks or
+caches: building a feed runs no job, the planner and AQE choose the join from the
+tables' real bytes at every size, and a customer or part that holds a large share of
+the rows is split by AQE's skew join.
 """
 
 from __future__ import annotations
 
-from typing import Dict, Sequence, Tuple
+from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import sql_literal
-from ..operators.joins import hot_keys, salted_join
-
-# Largest lookup table we hint as broadcast after a bounded row-count check, and the
-# bound for the customer / part dimensions (~60 bytes per selected row -> ~12 MB).
-BROADCAST_MAX_ROWS = 10_000
-DIMENSION_BROADCAST_MAX_ROWS = 200_000
 
 # FIXED VALUES of the fixture derivation (same lists as the SQL oracle).
 INDUSTRY_BY_ORDER = ("technology", "healthcare", "financial_services", "manufacturing",
@@ -63,49 +48,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def within_rows(df: DataFrame, max_rows: int) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows. A collected limit of a constant
-    column scans partitions incrementally and stops at max_rows + 1 rows, so at most
-    that many one-field rows reach the driver. (Feeds are memoised per session, so
-    the check runs once per feed, not once per query.)"""
-    probe = df.select(F.lit(1).alias("one")).limit(max_rows + 1).collect()
-    return len(probe) <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only behind a bounded row count; otherwise Catalyst decides."""
-    return F.broadcast(df) if within_rows(df, max_rows) else df
-
-
-# A fact scan with at most this many splits (<= ~2 GB at 128 MB per split) counts as
-# small; only then is it spread over the cores.
-SMALL_INPUT_SPLITS = 16
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a small fact scan (at most SMALL_INPUT_SPLITS splits, e.g. a single
-    row group) over all cores when it has fewer splits than the default parallelism.
-    Larger inputs are left alone, whatever the cluster size, so no shuffle is added
-    in front of the join's own shuffle."""
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:                   # no RDD API (e.g. Spark Connect): keep the splits
-        return df
-    return df.repartition(target) if splits <= SMALL_INPUT_SPLITS and splits < target else df
-
-
-def _fact_join(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
-               salt_by: Column, spread_small: bool = True) -> DataFrame:
-    """Broadcast a proven-small dimension (and, if asked, spread a tiny fact scan,
-    since nothing else will); otherwise a shuffle join with hot keys salted."""
-    if within_rows(dim, DIMENSION_BROADCAST_MAX_ROWS):
-        fact = spread(fact) if spread_small else fact
-        return fact.join(F.broadcast(dim), F.col(fact_key) == F.col(dim_key))
-    return salted_join(fact, dim, fact_key, dim_key, salt_by=salt_by,
-                       hot=hot_keys(fact, fact_key))
-
-
 def _pick(index_sql: str, values: Sequence[str]) -> Column:
     """CASE <index> WHEN 0 THEN values[0] ... ELSE values[-1] END (one SQL expression)."""
     whens = " ".join(f"WHEN {i} THEN {sql_literal(v)}" for i, v in enumerate(values[:-1]))
@@ -124,43 +66,21 @@ def _ratio100(x: Column) -> Column:
 def region_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    geo = nation.join(broadcast_if_small(region), F.col("n_regionkey") == F.col("r_regionkey"))
+    geo = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     return geo.select("n_nationkey",
                       _match("r_name", REGION_CLASS, REGION_OTHER).alias("region"))
 
 
-_FEEDS: Dict[Tuple, DataFrame] = {}
-
-
-def _memo(kind: str, spark: SparkSession, sf_dir: str, variant: bool, build) -> DataFrame:
-    """Derived feeds are plain lazy DataFrames over read-only tables; building one
-    lists files and checks dimension bounds, so the plan object is reused per session."""
-    try:
-        app = spark.sparkContext.applicationId
-    except Exception:                   # Spark Connect has no SparkContext
-        app = None
-    key = (kind, id(spark), app, sf_dir, variant)
-    if key not in _FEEDS:
-        _FEEDS[key] = build()
-    return _FEEDS[key]
-
-
 def facilities(spark: SparkSession, sf_dir: str, spoiled: bool = False) -> DataFrame:
     """The facility feed (FACILITY_SCHEMA column order).
 
     ``spoiled`` replaces a few values by out-of-domain ones, for the quarantine split."""
-    return _memo("facilities", spark, sf_dir, spoiled,
-                 lambda: _facilities(spark, sf_dir, spoiled))
-
-
-def _facilities(spark: SparkSession, sf_dir: str, spoiled: bool) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
     customer = table(spark, sf_dir, "customer").select(
         "c_custkey", "c_name", "c_nationkey", "c_acctbal")
-    geo = broadcast_if_small(region_dimension(spark, sf_dir))
-    j = _fact_join(orders, customer, "o_custkey", "c_custkey", F.col("o_orderkey"))
-    j = j.join(geo, F.col("c_nationkey") == F.col("n_nationkey"))
+    j = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")) \
+              .join(region_dimension(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
 
     ok, ck = F.col("o_orderkey"), F.col("o_custkey")
     credit = (F.lit(300) + (ok * F.lit(7919) + ck * F.lit(104729)) % F.lit(551)).cast("int")
@@ -209,16 +129,9 @@ def facilities_with_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def product_lines(spark: SparkSession, sf_dir: str, spoiled: bool = False) -> DataFrame:
     """The product feed (PRODUCT_SCHEMA column order): one row per line item."""
-    return _memo("product_lines", spark, sf_dir, spoiled,
-                 lambda: _product_lines(spark, sf_dir, spoiled))
-
-
-def _product_lines(spark: SparkSession, sf_dir: str, spoiled: bool) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_retailprice")
-    # product pricing is a few multiplications per line: spreading a tiny scan costs
-    # more than it saves (measured), so line items keep their file splits
-    j = _fact_join(li, part, "l_partkey", "p_partkey", F.col("l_orderkey"), spread_small=False)
+    j = li.join(part, F.col("l_partkey") == F.col("p_partkey"))
     t = F.col("p_type")
     category = (F.when(t.isin(*PREMIUM_TYPES), F.lit("premium"))
                  .when(t.isin(*STANDARD_TYPES), F.lit("standard"))

@@ -1,8 +1,8 @@
 """Structured Streaming jobs: the pricing chain is stateless and row-local, so the
-batch operators run unchanged on a stream of arriving facility files."""
+batch operators run unchanged on a stream of arriving files."""
 
-from .pricing import (latest_totals, price_stream, running_totals, start_pricing_stream,
-                      start_totals_stream)
+from .pricing import (facility_stream, latest_totals, price_stream, running_totals, start_pricing_stream,
+                      start_product_stream, start_rejects_stream, start_totals_stream)
 
-__all__ = ["latest_totals", "price_stream", "running_totals", "start_pricing_stream",
-           "start_totals_stream"]
+__all__ = ["facility_stream", "latest_totals", "price_stream", "running_totals", "start_pricing_stream",
+           "start_product_stream", "start_rejects_stream", "start_totals_stream"]

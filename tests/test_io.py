@@ -30,13 +30,55 @@ def test_product_round_trip(spark, products, fmt):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, products.collect()))
 
 
-def test_optional_columns_read(spark, portfolio):
+@pytest.mark.parametrize("fmt", ["parquet", "json", "csv"])
+def test_own_rates_are_read(spark, portfolio, fmt):
+    d = tempfile.mkdtemp(prefix="rp-io-")
+    feed = portfolio.withColumn("interest_rate", F.lit(0.1)).withColumn("fee_rate", F.lit(0.01))
+    files.write(feed.withColumn("comment", F.lit("x")), d, fmt)
+    back = files.read_facilities(spark, d, fmt)
+    assert back.columns == FACILITY_SCHEMA.fieldNames() + ["interest_rate", "fee_rate"]
+    priced = {r.borrower_id: r for r in rp.price_facilities(back).collect()}
+    assert priced["B001"].interest_revenue == 500000.0 and priced["B001"].fee_revenue == 50000.0
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "json", "csv"])
+@pytest.mark.parametrize("gone", [("undrawn_amount", "loan_to_value"), ("company_size", "region"), ("seniority",),
+                                  ("loan_term",), ("employment_years", "debt_to_income")])
+def test_absent_columns_give_the_dataframe_result(spark, portfolio, fmt, gone):
+    d = tempfile.mkdtemp(prefix="rp-io-")
+    feed = portfolio.drop(*gone)
+    files.write(feed, d, fmt)
+    back = files.read_facilities(spark, d, fmt)
+    assert back.columns == feed.columns
+    key = lambda r: r.borrower_id
+    assert sorted(rp.price_facilities(back).collect(), key=key) == sorted(rp.price_facilities(feed).collect(), key=key)
+
+
+def test_missing_required_column_and_bad_path(spark, portfolio):
     d = tempfile.mkdtemp(prefix="rp-io-")
-    files.write(portfolio.withColumn("interest_rate", F.lit(0.07)), d)
-    back = files.read_facilities(spark, d, extra=["interest_rate"])
-    assert back.columns[-1] == "interest_rate"
-    with pytest.raises(ValueError):
-        files.read_facilities(spark, d, extra=["nonsense"])
+    files.write(portfolio.drop("credit_score"), d)
+    with pytest.raises(ValueError, match="credit_score"):
+        files.read_facilities(spark, d)
+    for fmt in files.FORMATS:
+        with pytest.raises(Exception):
+            files.read_facilities(spark, d + "/nowhere", fmt)
+
+
+def test_checked_job_quarantines(spark, portfolio):
+    """Accepted + rejected = input; mistyped, unreadable and negative rows are not priced."""
+    d = tempfile.mkdtemp(prefix="rp-check-")
+    rows = [json.loads(r) for r in portfolio.toJSON().collect()]
+    rows += [{**rows[0], "borrower_id": "X1", "loan_to_value": "bad"}, {**rows[0], "borrower_id": "X2", "credit_score": "n/a"},
+             {**rows[0], "borrower_id": "X3", "outstanding_amount": -100.0}]
+    with open(d + "/feed.json", "w") as fh:
+        fh.write("\n".join(map(json.dumps, rows)) + "\n{broken\n")
+    m = jobs.price_checked(files.read_facilities(spark, d + "/feed.json", "json", keep_unreadable=True), d + "/out")
+    assert (m["facility_count"], m["rejected_count"]) == (8, 4) and m["total_exposure"] == pytest.approx(30562500.0)
+    assert spark.read.parquet(d + "/out/rows").count() == 8
+    rejected = spark.read.parquet(d + "/out/rejected").collect()
+    assert all(r.validation_errors for r in rejected)
+    assert sum("unreadable" in r.validation_errors for r in rejected) == 3
+    assert any("outstanding_amount_range" in r.validation_errors for r in rejected)
 
 
 def test_json_sink_parses_back(portfolio):
@@ -112,7 +154,7 @@ def test_cli_jobs(spark, portfolio, products):
     files.write(products, src + "/prod")
     r = cli.run(["price-facilities", "--input", src + "/fac", "--output", src + "/priced",
                  "--pd-model", "score_based"], spark)
-    assert r["summary"]["facility_count"] == 8
+    assert r["summary"]["facility_count"] == 8 and r["summary"]["rejected_count"] == 0
     assert spark.read.parquet(src + "/priced/rows").count() == 8
     assert spark.read.parquet(src + "/priced/distributions").count() > 0
     assert spark.read.json(src + "/priced/summary").first().facility_count == 8
@@ -124,11 +166,14 @@ def test_cli_jobs(spark, portfolio, products):
     assert jobs.read_split(spark, src + "/split", True).count() == 8
 
 
-def test_csv_header_is_checked_not_positional(spark, portfolio):
+def test_csv_columns_go_by_name(spark, portfolio):
     d = tempfile.mkdtemp(prefix="rp-csv-") + "/feed"
     cols = portfolio.columns
     swapped = cols[:13] + [cols[14], cols[13]] + cols[15:]
     portfolio.select(*swapped).write.option("header", "true").csv(d)
+    assert sorted(files.read_facilities(spark, d, "csv").collect()) == sorted(portfolio.collect())
+    # a file with another header than the feed's first fails, it is never read by position
+    portfolio.write.mode("append").option("header", "true").csv(d)
     with pytest.raises(Exception):
         files.read_facilities(spark, d, "csv").collect()
 
@@ -154,7 +199,9 @@ def test_cli_stream_totals(spark, portfolio):
     from riskprice.streaming import latest_totals
     src = tempfile.mkdtemp(prefix="rp-cli-st-")
     files.write(portfolio, src + "/fac")
-    cli.run(["stream-totals", "--input", src + "/fac", "--output", src + "/totals",
-             "--checkpoint", src + "/ckpt", "--available-now"], spark)
+    stream = ["stream-totals", "--input", src + "/fac", "--output", src + "/totals", "--checkpoint", src + "/ckpt", "--available-now"]
+    with pytest.raises(ValueError, match="columns"):
+        cli.run(stream, spark)
+    cli.run(stream + ["--columns", *portfolio.columns], spark)
     t = latest_totals(spark, src + "/totals").first()
     assert t.facility_count == 8 and t.total_exposure == pytest.approx(30562500.0)
