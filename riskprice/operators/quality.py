@@ -103,21 +103,3 @@ def split_facilities(df: DataFrame, absent_ok: Sequence[str] = ()) -> Tuple[Data
     """``absent_ok``: columns that the feed may lack altogether (``schemas.ABSENT_OK`` for a
     feed whose formulas then use their fallbacks)."""
     return split(df, FACILITY_RULES, absent_ok)
-
-
-def rule_sql(r: Rule) -> str:
-    """The same rule as a SQL predicate (for the oracle)."""
-    parts = [f"{r.column} IS NOT NULL"]
-    if r.double:
-        parts.append(f"NOT isnan({r.column})")
-    if r.lo is not None:
-        parts.append(f"{r.column} {'>' if r.lo_open else '>='} {r.lo!r}")
-    if r.hi is not None:
-        parts.append(f"{r.column} <= {r.hi!r}")
-    return " AND ".join(parts)
-
-
-def errors_sql(rules: Sequence[Rule]) -> str:
-    whens = ", ".join(f"CASE WHEN NOT coalesce({rule_sql(r)}, false) THEN '{r.name}' END"
-                      for r in rules)
-    return f"concat_ws(',', {whens})"

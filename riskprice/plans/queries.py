@@ -58,8 +58,8 @@ def products_source(spark, d):
 
 # ------------------------------------------------------------------ row quality
 
-def _split_sql(source: str, columns, rules, rejected: bool) -> str:
-    checked = f"SELECT *, {quality.errors_sql(rules)} AS validation_errors FROM ({source})"
+def _split_sql(source: str, columns, checks, rejected: bool) -> str:
+    checked = f"SELECT *, {S.errors(checks)} AS validation_errors FROM ({source})"
     if rejected:
         cols = list(columns) + [("validation_errors", False)]
         return f"SELECT {sql_select(cols)} FROM ({checked}) WHERE validation_errors <> ''"
@@ -67,25 +67,25 @@ def _split_sql(source: str, columns, rules, rejected: bool) -> str:
 
 
 @register("valid_facilities", _split_sql(S.SPOILED_FACILITIES_SQL, S.FACILITY_COLUMNS,
-                                         quality.FACILITY_RULES, False))
+                                         S.FACILITY_CHECKS, False))
 def valid_facilities(spark, d):
     return report(quality.split_facilities(tables.facilities(spark, d, spoiled=True))[0])
 
 
 @register("rejected_facilities", _split_sql(S.SPOILED_FACILITIES_SQL, S.FACILITY_COLUMNS,
-                                            quality.FACILITY_RULES, True))
+                                            S.FACILITY_CHECKS, True))
 def rejected_facilities(spark, d):
     return report(quality.split_facilities(tables.facilities(spark, d, spoiled=True))[1])
 
 
 @register("valid_products", _split_sql(S.SPOILED_PRODUCT_LINES_SQL, S.PRODUCT_COLUMNS,
-                                       quality.PRODUCT_RULES, False))
+                                       S.PRODUCT_CHECKS, False))
 def valid_products(spark, d):
     return report(quality.split_products(tables.product_lines(spark, d, spoiled=True))[0])
 
 
 @register("rejected_products", _split_sql(S.SPOILED_PRODUCT_LINES_SQL, S.PRODUCT_COLUMNS,
-                                          quality.PRODUCT_RULES, True))
+                                          S.PRODUCT_CHECKS, True))
 def rejected_products(spark, d):
     return report(quality.split_products(tables.product_lines(spark, d, spoiled=True))[1])
 
@@ -188,7 +188,7 @@ def pd_logistic(spark, d):
 
 
 @register("pd_score_bucket", _facility_ladder({"bucket_pd": S.bands(
-    "credit_score", P.SCORE_PD_BUCKETS, ">=", P.SCORE_PD_OTHERWISE)}).final(
+    "credit_score", S.Card.SCORE_PD_BUCKETS, ">=", S.Card.SCORE_PD_OTHERWISE)}).final(
     ["borrower_id", "credit_score", "bucket_pd"]))
 def pd_score_bucket(spark, d):
     f = tables.facilities(spark, d)
@@ -203,7 +203,7 @@ def pd_score_based(spark, d):
 
 
 @register("pd_industry_base", _facility_ladder({"industry_base_pd": S.lookup(
-    "industry", P.INDUSTRY_PD, P.INDUSTRY_PD_DEFAULT)}).final(
+    "industry", S.Card.INDUSTRY_PD, S.Card.INDUSTRY_PD_DEFAULT)}).final(
     ["borrower_id", "industry", "industry_base_pd"]))
 def pd_industry_base(spark, d):
     f = tables.facilities(spark, d)
@@ -261,7 +261,7 @@ def lgd_collateral_recession(spark, d):
 
 
 @register("lgd_industry_base", _facility_ladder({"industry_base_lgd": S.lookup(
-    "industry", P.INDUSTRY_LGD, P.INDUSTRY_LGD_DEFAULT)}).final(
+    "industry", S.Card.INDUSTRY_LGD, S.Card.INDUSTRY_LGD_DEFAULT)}).final(
     ["borrower_id", "industry", "industry_base_lgd"]))
 def lgd_industry_base(spark, d):
     f = tables.facilities(spark, d)
@@ -277,8 +277,8 @@ def lgd_industry(spark, d):
 
 def _blend_sql() -> str:
     L = S.pricing_ladder("logistic", "hybrid", upto="lgd")
-    L.add({"hybrid_blend": (f"(collateral_lgd * {S.n(P.HYBRID_COLLATERAL_WEIGHT)}) + "
-                            f"(industry_lgd * {S.n(P.HYBRID_INDUSTRY_WEIGHT)})")})
+    L.add({"hybrid_blend": (f"(collateral_lgd * {S.n(S.Card.HYBRID_COLLATERAL_WEIGHT)}) + "
+                            f"(industry_lgd * {S.n(S.Card.HYBRID_INDUSTRY_WEIGHT)})")})
     return L.final(["borrower_id", "collateral_lgd", "industry_lgd", "hybrid_blend"])
 
 
@@ -305,7 +305,7 @@ _NO_UNDRAWN_COLS = [c for c in S.FACILITY_COLUMNS if c[0] != "undrawn_amount"]
 _NO_UNDRAWN_SQL = f"SELECT * EXCLUDE (undrawn_amount) FROM ({S.FACILITIES_SQL})"
 
 
-@register("ead_ccf", _facility_ladder({"ccf": S.lookup("facility_type", P.CCF, P.CCF_DEFAULT)}).final(
+@register("ead_ccf", _facility_ladder({"ccf": S.lookup("facility_type", S.Card.CCF, S.Card.CCF_DEFAULT)}).final(
     ["borrower_id", "facility_type", "ccf"]))
 def ead_ccf(spark, d):
     f = tables.facilities(spark, d)
@@ -408,7 +408,7 @@ def priced_facilities_json(spark, d):
 
 # ------------------------------------------------------------------ checked pricing
 
-_VALID_SQL = f"SELECT * FROM ({S.SPOILED_FACILITIES_SQL}) WHERE {quality.errors_sql(quality.FACILITY_RULES)} = ''"
+_VALID_SQL = f"SELECT * FROM ({S.SPOILED_FACILITIES_SQL}) WHERE {S.errors(S.FACILITY_CHECKS)} = ''"
 
 
 @register("priced_valid_facilities", S.pricing_ladder("logistic", "hybrid", None, _VALID_SQL).final())
@@ -472,7 +472,7 @@ def portfolio_summary(spark, d):
 
 
 _EMPTY_SOURCE = (f"SELECT * FROM ({S.FACILITIES_SQL}) WHERE "
-                 f"{quality.errors_sql(quality.FACILITY_RULES)} <> ''")
+                 f"{S.errors(S.FACILITY_CHECKS)} <> ''")
 
 
 @register("portfolio_summary_empty", _summary_sql(source=_EMPTY_SOURCE))

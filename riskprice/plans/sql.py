@@ -13,6 +13,81 @@ from .. import params as P
 from ..schemas import FACILITY_SCHEMA, PRODUCT_SCHEMA
 from .report import AGG_GRID, ROW_GRID, sql_num, sql_on_grid, sql_select
 
+# FIXED VALUES, written here a second time on purpose: the oracle does not share the
+# library's rate cards or rules, so a wrong digit on one side shows.
+class Card:
+    CCF = {"term_loan": 1.0, "revolving_credit": 0.75, "letter_of_credit": 0.5, "guarantee": 1.0, "commitment": 0.3}
+    CCF_DEFAULT = 0.75
+    COLLATERAL_LGD = {"real_estate": 0.25, "equipment": 0.45, "inventory": 0.65, "accounts_receivable": 0.55,
+        "cash_securities": 0.05, "personal_guarantee": 0.75, "unsecured": 0.85}
+    COLLATERAL_LGD_DEFAULT = 0.7
+    DTI_PD_UPLIFT = ((0.5, 1.5), (0.4, 1.2))
+    ECONOMIC_CONDITION_DEFAULT = 1.0
+    ECONOMIC_CONDITION_LGD = {"recession": 1.3, "normal": 1.0, "expansion": 0.9}
+    HYBRID_COLLATERAL_WEIGHT = 0.6
+    HYBRID_INDUSTRY_WEIGHT = 0.4
+    INDUSTRY_LGD = {"real_estate": 0.3, "manufacturing": 0.4, "energy": 0.35, "transportation": 0.45, "technology":
+        0.7, "services": 0.75, "healthcare": 0.5, "retail": 0.6, "financial_services": 0.65, "hospitality": 0.55}
+    INDUSTRY_LGD_DEFAULT = 0.6
+    INDUSTRY_PD = {"technology": 0.015, "healthcare": 0.02, "financial_services": 0.025, "manufacturing": 0.035,
+        "retail": 0.045, "energy": 0.055, "real_estate": 0.065, "hospitality": 0.08}
+    INDUSTRY_PD_DEFAULT = 0.04
+    LGD_CAP = 0.95
+    LGD_FLOOR = 0.05
+    LTV_LGD_BANDS = ((0.5, 0.8), (0.7, 0.9), (0.8, 1.0), (0.9, 1.2))
+    LTV_LGD_OTHERWISE = 1.4
+    PD_CAP = 0.99
+    PD_FLOOR = 0.001
+    RATING_BANDS = (("AAA", 0.01), ("AA", 0.02), ("A", 0.05), ("BBB", 0.1), ("BB", 0.2), ("B", 0.3))
+    RATING_OTHERWISE = "CCC"
+    RECOMMENDATION_BANDS = (("HIGHLY_ATTRACTIVE", 1.5), ("ATTRACTIVE", 1.0), ("ACCEPTABLE", 0.8), ("MARGINAL", 0.5))
+    RECOMMENDATION_OTHERWISE = "REJECT"
+    REGION_LGD_MULTIPLIER = {"developed": 0.9, "emerging": 1.2}
+    REGULATORY_CAPITAL_DEFAULT = 0.08
+    REGULATORY_CAPITAL_RATE = {"corporate": 0.08, "sme": 0.075, "retail": 0.035, "sovereign": 0.0, "bank": 0.02}
+    SCORE_PD_BUCKETS = ((800, 0.002), (750, 0.005), (700, 0.015), (650, 0.035), (600, 0.075), (550, 0.15))
+    SCORE_PD_OTHERWISE = 0.25
+    SENIORITY_LGD = {"senior_secured": 0.8, "senior_unsecured": 1.0, "subordinated": 1.3}
+    SENIORITY_LGD_DEFAULT = 1.0
+    SIZE_LGD_MULTIPLIER = {"large": 0.85, "medium": 0.95, "small": 1.1}
+    SIZE_PD_MULTIPLIER = {"large": 0.8, "medium": 0.9, "small": 1.2}
+    TERM_LGD_UPLIFT = ((5, 1.1), (3, 1.05))
+
+
+FACILITY_CHECKS = (
+    ("borrower_id_required", "borrower_id IS NOT NULL"),
+    ("borrower_name_required", "borrower_name IS NOT NULL"),
+    ("credit_score_range", "credit_score IS NOT NULL AND credit_score >= 300 AND credit_score <= 850"),
+    ("debt_to_income_range", "debt_to_income IS NOT NULL AND NOT isnan(debt_to_income) AND debt_to_income >= 0 AND debt_to_income <= 2"),
+    ("loan_to_value_range", "loan_to_value IS NOT NULL AND NOT isnan(loan_to_value) AND loan_to_value >= 0 AND loan_to_value <= 1.5"),
+    ("employment_years_range", "employment_years IS NOT NULL AND employment_years >= 0"),
+    ("payment_history_score_range", "payment_history_score IS NOT NULL AND payment_history_score >= 0 AND payment_history_score <= 100"),
+    ("industry_required", "industry IS NOT NULL"),
+    ("company_size_required", "company_size IS NOT NULL"),
+    ("collateral_type_required", "collateral_type IS NOT NULL"),
+    ("seniority_required", "seniority IS NOT NULL"),
+    ("facility_type_required", "facility_type IS NOT NULL"),
+    ("exposure_amount_range", "exposure_amount IS NOT NULL AND NOT isnan(exposure_amount) AND exposure_amount > 0"),
+    ("outstanding_amount_range", "outstanding_amount IS NOT NULL AND NOT isnan(outstanding_amount) AND outstanding_amount >= 0"),
+    ("undrawn_amount_range", "undrawn_amount IS NOT NULL AND NOT isnan(undrawn_amount) AND undrawn_amount >= 0"),
+    ("loan_term_range", "loan_term IS NOT NULL AND loan_term > 0"),
+    ("region_required", "region IS NOT NULL"),
+)
+PRODUCT_CHECKS = (
+    ("product_id_required", "product_id IS NOT NULL"),
+    ("name_required", "name IS NOT NULL"),
+    ("category_required", "category IS NOT NULL"),
+    ("cost_range", "cost IS NOT NULL AND NOT isnan(cost) AND cost > 0"),
+    ("quantity_range", "quantity IS NOT NULL AND quantity > 0"),
+)
+# end of fixed values
+
+
+def errors(checks) -> str:
+    """Comma-joined names of the checks that a row fails."""
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN NOT coalesce({c}, false) THEN '{name}' END" for name, c in checks) + ")"
+
+
 # ---------------------------------------------------------------- feeds
 
 FACILITIES_SQL = """SELECT CAST(o_orderkey AS STRING) AS borrower_id, c_name AS borrower_name,
@@ -92,51 +167,51 @@ def logistic_z(rp: P.RiskParams, columns: Sequence[str]) -> str:
 def pd_expr(model: str, rp: P.RiskParams, columns: Sequence[str]) -> str:
     if model == "logistic":
         raw = f"(1.0e0 / (1.0e0 + exp(-{logistic_z(rp, columns)})))"
-        return (f"CASE WHEN {raw} > {n(P.PD_CAP)} THEN {n(P.PD_CAP)} "
-                f"WHEN {raw} < {n(P.PD_FLOOR)} THEN {n(P.PD_FLOOR)} ELSE {raw} END")
+        return (f"CASE WHEN {raw} > {n(Card.PD_CAP)} THEN {n(Card.PD_CAP)} "
+                f"WHEN {raw} < {n(Card.PD_FLOOR)} THEN {n(Card.PD_FLOOR)} ELSE {raw} END")
     if model == "score_based":
-        b = bands("credit_score", P.SCORE_PD_BUCKETS, ">=", P.SCORE_PD_OTHERWISE)
+        b = bands("credit_score", Card.SCORE_PD_BUCKETS, ">=", Card.SCORE_PD_OTHERWISE)
         if "debt_to_income" not in columns:
             return b
-        return f"({b}) * ({bands('debt_to_income', P.DTI_PD_UPLIFT, '>', 1.0)})"
+        return f"({b}) * ({bands('debt_to_income', Card.DTI_PD_UPLIFT, '>', 1.0)})"
     if model == "industry":
-        b = lookup("industry", P.INDUSTRY_PD, P.INDUSTRY_PD_DEFAULT)
+        b = lookup("industry", Card.INDUSTRY_PD, Card.INDUSTRY_PD_DEFAULT)
         if "company_size" not in columns:
             return b
-        return f"({b}) * ({lookup('company_size', P.SIZE_PD_MULTIPLIER, 1.0)})"
+        return f"({b}) * ({lookup('company_size', Card.SIZE_PD_MULTIPLIER, 1.0)})"
     raise ValueError(model)
 
 
 def collateral_parts(columns: Sequence[str]) -> Dict[str, str]:
     return {
-        "base_lgd": lookup("collateral_type", P.COLLATERAL_LGD, P.COLLATERAL_LGD_DEFAULT),
-        "ltv_adjustment": (bands("loan_to_value", P.LTV_LGD_BANDS, "<=", P.LTV_LGD_OTHERWISE)
+        "base_lgd": lookup("collateral_type", Card.COLLATERAL_LGD, Card.COLLATERAL_LGD_DEFAULT),
+        "ltv_adjustment": (bands("loan_to_value", Card.LTV_LGD_BANDS, "<=", Card.LTV_LGD_OTHERWISE)
                            if "loan_to_value" in columns else "1.0e0"),
-        "seniority_adjustment": (lookup("seniority", P.SENIORITY_LGD, P.SENIORITY_LGD_DEFAULT)
+        "seniority_adjustment": (lookup("seniority", Card.SENIORITY_LGD, Card.SENIORITY_LGD_DEFAULT)
                                  if "seniority" in columns else "1.0e0"),
     }
 
 
 def collateral_clip(rp: P.RiskParams) -> str:
-    raw = f"base_lgd * ltv_adjustment * seniority_adjustment * {n(rp.economic_adjustment)}"
-    return f"greatest(least({raw}, {n(P.LGD_CAP)}), {n(P.LGD_FLOOR)})"
+    raw = f"base_lgd * ltv_adjustment * seniority_adjustment * {n(Card.ECONOMIC_CONDITION_LGD.get(rp.economic_condition, Card.ECONOMIC_CONDITION_DEFAULT))}"
+    return f"greatest(least({raw}, {n(Card.LGD_CAP)}), {n(Card.LGD_FLOOR)})"
 
 
 def industry_lgd_expr(columns: Sequence[str]) -> str:
-    x = lookup("industry", P.INDUSTRY_LGD, P.INDUSTRY_LGD_DEFAULT)
+    x = lookup("industry", Card.INDUSTRY_LGD, Card.INDUSTRY_LGD_DEFAULT)
     if "company_size" in columns:
-        x = f"({x}) * ({lookup('company_size', P.SIZE_LGD_MULTIPLIER, 1.0)})"
+        x = f"({x}) * ({lookup('company_size', Card.SIZE_LGD_MULTIPLIER, 1.0)})"
     if "region" in columns:
-        x = f"({x}) * ({lookup('region', P.REGION_LGD_MULTIPLIER, 1.0)})"
-    return f"least(greatest({x}, {n(P.LGD_FLOOR)}), {n(P.LGD_CAP)})"
+        x = f"({x}) * ({lookup('region', Card.REGION_LGD_MULTIPLIER, 1.0)})"
+    return f"least(greatest({x}, {n(Card.LGD_FLOOR)}), {n(Card.LGD_CAP)})"
 
 
 def hybrid_expr(columns: Sequence[str]) -> str:
-    x = (f"((collateral_lgd * {n(P.HYBRID_COLLATERAL_WEIGHT)}) + "
-         f"(industry_lgd * {n(P.HYBRID_INDUSTRY_WEIGHT)}))")
+    x = (f"((collateral_lgd * {n(Card.HYBRID_COLLATERAL_WEIGHT)}) + "
+         f"(industry_lgd * {n(Card.HYBRID_INDUSTRY_WEIGHT)}))")
     if "loan_term" in columns:
-        x = f"{x} * ({bands('loan_term', P.TERM_LGD_UPLIFT, '>', 1.0)})"
-    return f"least(greatest({x}, {n(P.LGD_FLOOR)}), {n(P.LGD_CAP)})"
+        x = f"{x} * ({bands('loan_term', Card.TERM_LGD_UPLIFT, '>', 1.0)})"
+    return f"least(greatest({x}, {n(Card.LGD_FLOOR)}), {n(Card.LGD_CAP)})"
 
 
 def ratio_or_zero(num: str, den: str) -> str:
@@ -202,13 +277,13 @@ def pricing_ladder(pd_model: str, lgd_model: str, rp: P.RiskParams | None = None
     if upto == "lgd":
         return L
     if "ead_amount" not in names:
-        L.add({"ccf": lookup("facility_type", P.CCF, P.CCF_DEFAULT)})
+        L.add({"ccf": lookup("facility_type", Card.CCF, Card.CCF_DEFAULT)})
         if "outstanding_amount" in names and "undrawn_amount" in names:
             e = "outstanding_amount + (undrawn_amount * ccf)"
         else:
             e = "exposure_amount * ccf"
         L.add({"ead_amount": f"({e}) * {n(rp.stress_factor)}"})
-    L.add({"regulatory_capital": f"ead_amount * {n(rp.regulatory_capital_rate)}"})
+    L.add({"regulatory_capital": f"ead_amount * {n(Card.REGULATORY_CAPITAL_RATE.get(rp.risk_type, Card.REGULATORY_CAPITAL_DEFAULT))}"})
     L.add({"economic_capital": f"regulatory_capital * {n(rp.economic_capital_multiplier)}"})
     if upto == "capital":
         return L
@@ -236,9 +311,9 @@ def pricing_ladder(pd_model: str, lgd_model: str, rp: P.RiskParams | None = None
                                               "ead_amount")})
     if upto == "minimum":
         return L
-    ratings = bands("pd_score", [(b, r) for r, b in P.RATING_BANDS], "<=", P.RATING_OTHERWISE)
-    recs = bands("raroc", [(rp.target_raroc * m, lab) for lab, m in P.RECOMMENDATION_BANDS],
-                 ">=", P.RECOMMENDATION_OTHERWISE)
+    ratings = bands("pd_score", [(b, r) for r, b in Card.RATING_BANDS], "<=", Card.RATING_OTHERWISE)
+    recs = bands("raroc", [(rp.target_raroc * m, lab) for lab, m in Card.RECOMMENDATION_BANDS],
+                 ">=", Card.RECOMMENDATION_OTHERWISE)
     L.add({"risk_rating": ratings, "pricing_recommendation": recs}, double=False)
     L.add({"competitive_rate": f"minimum_rate + {n(rp.competitive_margin)}",
            "stress_expected_loss": (f"pd_score * {n(rp.stress_pd_factor)} * lgd_score * "
