@@ -217,3 +217,29 @@ def test_report_grid_passes_non_finite(spark):
     got = [r.x for r in report(df).collect()]
     assert got[0] != got[0] and got[1] == float("inf") and got[2] == 1e300
     assert got[3] == 0.1234567890 and got[4] is None
+
+
+def test_totals_are_exact_at_any_size_and_partitioning(spark):
+    from decimal import Decimal
+
+    from riskprice.operators import portfolio as pf
+    names = [src for _, src in (*pf._SUMS, *pf._AVGS)]
+    rows = [tuple(float((i * 7919 + j * 104729) % 1_000_003) / 7 * (1e6 if j < 4 else 1e-6) for j in range(len(names))) for i in range(3000)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names))
+    first = pf.portfolio_summary(df.coalesce(1)).first()
+    assert first.total_exposure > 1e14
+    for n in (2, 7, 40):
+        assert pf.portfolio_summary(df.repartition(n, "ead_amount")).first() == first
+    exact = sum(Decimal(r[0]) for r in rows)
+    assert abs(Decimal(first.total_exposure) - exact) < Decimal("0.05")
+
+
+def test_report_equals_its_parts(spark, portfolio):
+    from riskprice.operators import portfolio as pf
+    priced = rp.price_facilities(portfolio, "score_based")
+    r, s = pf.portfolio_report(priced).first(), rp.portfolio_summary(priced).first()
+    assert all(r[c] == s[c] for c in s.asDict())
+    assert {(x.value, x["count"]) for x in r.risk_distribution} == {tuple(x) for x in rp.risk_distribution(priced).collect()}
+    assert {(x.value, x["count"]) for x in r.recommendation_distribution} == {tuple(x) for x in rp.recommendation_distribution(priced).collect()}
+    empty = pf.portfolio_report(priced.limit(0)).first()
+    assert empty.facility_count == 0 and empty.total_exposure == 0.0 and empty.risk_distribution == []
