@@ -86,3 +86,10 @@ def test_passages_edges(make_docs, edge_rows):
     assert suffix.repeated_passages(docs.limit(0), 50).count() == 0
     with pytest.raises(ValueError):
         suffix.repeated_passages(docs, 8)
+
+
+def test_passages_in_runs_of_repeated_words(make_docs):
+    rows = [(1, "a " * 120), (2, "u v w " + "a " * 90 + "x y"), (3, "a b " * 70), (4, "q " + "a b " * 40 + "z"), (5, "b a " * 9 + "c"),
+            (6, " ".join(f"n{i}" for i in range(90))), (7, "a b " * 70)]
+    got = suffix.repeated_passages(make_docs(rows, 2), 20).collect()
+    assert {(r.doc_id, p) for r in got for p in range(r.start, r.end)} == plain_passages(rows, 20)
