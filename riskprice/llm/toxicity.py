@@ -148,7 +148,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 6_000, max_unlabelled: int = 18_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 3_000, max_unlabelled: int = 9_000) -> Model:
     """Train on documents outside the held-out part. A doc_id with several labels is
     toxic if any of them says so; null ids and null labels teach nothing."""
     common.prepare(docs.sparkSession)
@@ -168,7 +168,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 6_000, max_unlab
     rows = docs.select("doc_id", common.text_of("text").alias("text")) \
                .join(F.broadcast(chosen), F.col("doc_id") == F.col("_doc")) \
                .select("_positive", "text").mapInArrow(run, "x binary, positive boolean").collect()
-    part = lambda p: [np.frombuffer(x, np.uint64) for x in sorted(bytes(r["x"]) for r in rows if r["positive"] == p)]
+    held = {True: [], False: []}
+    while rows:                                 # the collected rows go as they are taken over
+        r = rows.pop()
+        held[r["positive"]].append(bytes(r["x"]))
+    part = lambda p: [np.frombuffer(x, np.uint64) for x in sorted(held[p])]
     return train(part(True), part(False), counts["prior"] or 0.0)
 
 
