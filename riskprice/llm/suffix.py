@@ -37,8 +37,11 @@ def _codes(hashes: np.ndarray) -> np.ndarray:
 
 
 def _suffixes(texts: DataFrame, parts: DataFrame, min_words: int) -> DataFrame:
-    """(key, right, left, doc_id, pos) of the retained suffixes with a repeated beginning."""
-    schema = pa.schema([("key", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("doc_id", pa.int64()), ("pos", pa.int32())])
+    """(key, right, left, doc_id, places) of the retained suffixes with a repeated beginning.
+    Suffixes of one document with the same surroundings (runs of repeated words) are one
+    row with all their places, so such a run does not crowd a key."""
+    schema = pa.schema([("key", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("doc_id", pa.int64()),
+                        ("places", pa.list_(pa.int32()))])
     reach = min_words - K
 
     def one(raw: bytes, own: np.ndarray):
@@ -52,18 +55,22 @@ def _suffixes(texts: DataFrame, parts: DataFrame, min_words: int) -> DataFrame:
             p = at[a:a + 4096]
             right = view(code, min_words)[p + reach]
             left = view(code, reach)[p][:, ::-1]
-            yield short[p], right, left, p
+            both = np.ascontiguousarray(np.concatenate((right, left), axis=1))
+            _, first, same = np.unique(both.view(np.dtype((np.void, both.shape[1] * 4))).ravel(), return_index=True, return_inverse=True)
+            order = np.argsort(same, kind="stable")
+            places = np.split(p[order].astype(np.int32), np.cumsum(np.bincount(same))[:-1])
+            yield short[p[first]], right[first], left[first], places
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
                 own = b.column(2)[i]
                 if own.is_valid:
-                    for key, right, left, p in one(b.column(1)[i].as_py(), own.values.to_numpy().view(np.uint64)):
+                    for key, right, left, places in one(b.column(1)[i].as_py(), own.values.to_numpy().view(np.uint64)):
                         yield common.batch(schema, common.signed(key), [r.tobytes() for r in right], [x.tobytes() for x in left],
-                                           np.full(len(p), b.column(0)[i].as_py()), p.astype(np.int32))
+                                           np.full(len(places), b.column(0)[i].as_py()), places)
 
-    return substring.beside(texts, parts).mapInArrow(run, "key long, right binary, left binary, doc_id long, pos int")
+    return substring.beside(texts, parts).mapInArrow(run, "key long, right binary, left binary, doc_id long, places array<int>")
 
 
 def _equal_words(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -79,11 +86,14 @@ def _compare(sorted_suffixes: DataFrame, min_words: int) -> DataFrame:
 
     def table(b):
         words = lambda c, n: np.frombuffer(b"".join(c.to_pylist()), np.uint32).reshape(-1, n)
+        places = np.empty(b.num_rows, object)
+        for i, x in enumerate(b.column(4)):
+            places[i] = x.values.to_numpy()
         return [b.column(0).to_numpy(), words(b.column(1), min_words), words(b.column(2), min_words - K),
-                b.column(3).to_numpy(), b.column(4).to_numpy()]
+                b.column(3).to_numpy(), places]
 
     def found(rows, begin, end):
-        key, right, left, doc, pos = rows
+        key, right, left, doc, places = rows
         n = len(key)
         far_left, far_right = np.zeros(n, np.int64), np.zeros(n, np.int64)
         other = np.full(n, np.iinfo(np.int64).max)
@@ -99,8 +109,9 @@ def _compare(sorted_suffixes: DataFrame, min_words: int) -> DataFrame:
         hit = np.flatnonzero(far_right > 0)
         hit = hit[(hit >= begin) & (hit < end)]
         if len(hit):
-            yield common.batch(schema, doc[hit], (pos[hit] - far_left[hit]).astype(np.int32),
-                               (pos[hit] + far_right[hit]).astype(np.int32), other[hit])
+            pos, n = np.concatenate(places[hit]), [len(places[i]) for i in hit]
+            yield common.batch(schema, np.repeat(doc[hit], n), (pos - np.repeat(far_left[hit], n)).astype(np.int32),
+                               (pos + np.repeat(far_right[hit], n)).astype(np.int32), np.repeat(other[hit], n))
 
     def run(batches):
         held, told = None, 0                # the last rows; the first ``told`` of them have been answered
