@@ -141,18 +141,17 @@ def disclosing_terms(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, generali
                  .groupBy("entity", "term").agg(F.sum("n").alias("n_pair"), F.count(F.lit(1)).alias("contexts")) \
                  .where(F.col("contexts") >= min_contexts)
     pairs = common.store(pairs.join(spans.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")), "entity"))
-    # where the candidates occur, and how often
+    # how often the candidates occur; then, for the few that disclose something, where
     terms = common.store(pairs.select("term").distinct())
-    seen = common.store(rows.select("doc_id", F.explode(_words(F.col("text"))).alias("term")).join(terms, "term")
-                            .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n")))
+    words = rows.select("doc_id", F.explode(_words(F.col("text"))).alias("term"))
+    counts = words.join(terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     total = rows.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(f"{WORD}+"))), F.lit(0)).alias("n")).first()["n"]
-    counts = seen.groupBy("term").agg(F.sum("n").alias("n_term"))
     n = F.lit(float(max(total, 1)))
     told = F.log2(F.col("n_pair") * n / (F.col("n_term") * F.col("n_entity"))) / F.log2(n / F.col("n_entity"))
     acts = pairs.join(counts, "term").select("term", told.alias("told")).groupBy("term").agg(F.max("told").alias("told")) \
                 .where(F.col("told") >= generalise) \
                 .select("term", F.when(F.col("told") >= remove, KINDS.index("remove")).otherwise(KINDS.index("generalise")).alias("k"))
-    return seen.where("doc_id IS NOT NULL").join(acts, "term").select("doc_id", "term", "k")
+    return words.where("doc_id IS NOT NULL").join(common.store(acts), "term").select("doc_id", "term", "k").distinct()
 
 
 def with_spans(docs: DataFrame, **options) -> DataFrame:
