@@ -1,16 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 1. The test items are read in blocks of bounded size. The n-grams of a block's items are
    a table that every task gets (``block_words`` bounds it); one pass over the whole texts
-   finds where documents have such n-grams, and keeps the words around them as numbers of
-   the block's vocabulary.
-2. Document frequencies of those n-grams, over all documents, tell which are rare. Rare is
-   relative to the item: n-grams up to the item's median frequency. So every item keeps
-   seeds, also one that a third of all documents quote.
-3. Each seed joins its passage to its items, and a local alignment of item and passage
+   finds where documents have such n-grams.
+2. Every n-gram of an item is a seed in every document, however many documents have it:
+   how often the others quote an item says nothing about this one.
+3. Each stretch of seeds is aligned with its item, and a local alignment of item and passage
    (match 2, mismatch -1, gap -1) scores copies with changed, missing or added words. A
    document is contaminated if the score reaches ``similarity`` of a full match, or that of
-   ``passage`` equal words in a row.
+   ``passage`` equal words in a row. An upper bound of the score (``within_reach``) spares
+   the alignment where it can't reach that, so nothing is lost by it.
 
 Words are lower-cased, cut at white space, and lose marks at their ends. Items of fewer
 than ``min_item_words`` words can't be told from chance and are not looked for.
@@ -109,11 +108,81 @@ def _blocks(benchmark: DataFrame, n: int, min_item_words: int, block_words: int)
         yield build_block(sorted(held), n)
 
 
-def _hits(docs: DataFrame, block: Block, reach: int) -> DataFrame:
-    """(doc_id, grams, starts, places, words) of each document with an n-gram of the block:
-    the n-grams and where they start, and position and number of the words near them."""
-    schema = pa.schema([("doc_id", pa.int64()), ("grams", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())),
-                        ("places", pa.list_(pa.int32())), ("words", pa.list_(pa.int32()))])
+class Seeds(NamedTuple):
+    """The items (places in the block) of n-gram g are items[first[g]:first[g + 1]]; words and
+    pairs are the sorted words and word pairs (codes) of each item."""
+    first: np.ndarray
+    items: np.ndarray
+    words: list[np.ndarray]
+    pairs: list[np.ndarray]
+
+
+def _seeds(block: Block) -> Seeds:
+    own = [np.unique(g) for g in block.grams]
+    grams, items = np.concatenate(own), np.repeat(np.arange(len(own)), [len(g) for g in own])
+    order = np.argsort(grams, kind="stable")
+    first = np.searchsorted(grams[order], np.arange(len(block.levels[-1]) + 1 if block.levels else len(block.vocabulary) + 1))
+    return Seeds(first, items[order], [np.unique(w) for w in block.words],
+                 [np.unique(w[:-1] * len(block.vocabulary) + w[1:]) for w in block.words])
+
+
+def _stretches(grams: np.ndarray, seeds: Seeds, sizes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(item, first, last seed) of each stretch of an item's seeds without a gap of over
+    four times the item's length; ``grams``: the n-gram at each word of a document, or -1."""
+    starts = np.flatnonzero(grams >= 0)
+    if not len(starts):
+        return
+    g = grams[starts]
+    n = seeds.first[g + 1] - seeds.first[g]
+    at = np.repeat(starts, n)
+    item = seeds.items[np.arange(n.sum()) + np.repeat(seeds.first[g] - np.cumsum(n) + n, n)]
+    order = np.argsort(item, kind="stable")
+    item, at = item[order], at[order]
+    new = np.flatnonzero((item[1:] != item[:-1]) | (np.diff(at) > 4 * sizes[item[1:]])) + 1
+    first, last = np.concatenate(([0], new)), np.append(new, len(item)) - 1
+    yield from zip(item[first].tolist(), at[first].tolist(), at[last].tolist())
+
+
+def _in(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
+
+
+def within_reach(passage: np.ndarray, words: np.ndarray, pairs: np.ndarray, base: int, need: int) -> list[tuple[int, int]]:
+    """Parts of a passage that hold all alignments of score ``need`` or more with the item of
+    these words and pairs (codes first word * base + second).
+
+    No alignment of passage[a:b] scores more than the sum over its words of 2 for a word
+    of the item and -1 for another, less 1 for each two neighbours that are words of the
+    item but no pair of it: these two cost a gap in the item or a mismatch."""
+    known = _in(words, passage)
+    worth = np.where(known, MATCH, MISMATCH)
+    worth[1:] -= known[1:] & known[:-1] & ~_in(pairs, passage[:-1] * base + passage[1:])
+    total = np.concatenate(([0], np.cumsum(worth)))
+    # a part may begin without the cost of its first pair: at most 1
+    low = np.minimum.accumulate(total[:-1])
+    high = np.maximum.accumulate(total[:0:-1])[::-1]
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], high - low + 1 >= need, [False]))))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
+
+
+def _align_all(docs: DataFrame, block: Block, similarity: float, passage: int) -> DataFrame:
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()),
+                        ("start", pa.int32()), ("end", pa.int32())])
+    seeds, sizes = _seeds(block), np.array([len(w) for w in block.words])
+
+    def one(ids: np.ndarray):
+        for k, first, last in _stretches(find_grams(ids, block), seeds, sizes):
+            item = block.words[k]
+            need = min(similarity * len(item), passage) * MATCH
+            at = max(first - 2 * len(item), 0)
+            near = ids[at:last + 2 * len(item)]
+            best = (0, 0, 0)
+            for i, j in within_reach(near, seeds.words[k], seeds.pairs[k], len(block.vocabulary), need):
+                score, start, end = align(item, near[i:j])
+                if score > best[0]:
+                    best = score, at + i + start, at + i + end
+            if best[0] >= need:
+                yield block.items[k], best[0] / (MATCH * len(item)), best[1], best[2]
 
     def run(batches):
         get = block.vocabulary.get
@@ -121,60 +190,12 @@ def _hits(docs: DataFrame, block: Block, reach: int) -> DataFrame:
             out = []
             for doc, raw in zip(b.column(0).to_pylist(), b.column(1)):
                 ids = np.array([get(w, -1) for w in words_of(raw.as_py().decode("utf-8", "replace"))], np.int64)
-                grams = find_grams(ids, block)
-                starts = np.flatnonzero(grams >= 0)
-                if len(starts):
-                    edge = np.zeros(len(ids) + 1, np.int64)
-                    np.add.at(edge, np.maximum(starts - reach, 0), 1)
-                    np.add.at(edge, np.minimum(starts + reach, len(ids)), -1)
-                    places = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-                    out.append((doc, grams[starts], starts.astype(np.int32), places.astype(np.int32), ids[places].astype(np.int32)))
+                out += [(doc, *found) for found in one(ids)]
             if out:
                 yield common.batch(schema, *zip(*out))
 
     return docs.select("doc_id", common.text_of("text").alias("text")).mapInArrow(
-        run, "doc_id long, grams array<long>, starts array<int>, places array<int>, words array<int>")
-
-
-def _seeds(block: Block, frequency: dict[int, int]) -> dict[int, list[int]]:
-    """Items (places in the block) by rare n-gram."""
-    out: dict[int, list[int]] = {}
-    for k, grams in enumerate(block.grams):
-        own = np.unique(grams)
-        seen = np.array([frequency.get(int(g), 0) for g in own])
-        if not seen.any():
-            continue
-        for g in own[(seen > 0) & (seen <= np.median(seen[seen > 0]))].tolist():
-            out.setdefault(g, []).append(k)
-    return out
-
-
-def _align_all(hits: DataFrame, block: Block, seeds: dict[int, list[int]], similarity: float, passage: int) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()),
-                        ("start", pa.int32()), ("end", pa.int32())])
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for doc, grams, starts, places, words in zip(*(c.to_pylist() for c in b.columns)):
-                by_item: dict[int, list[int]] = {}
-                for g, s in zip(grams, starts):
-                    for k in seeds.get(g, ()):
-                        by_item.setdefault(k, []).append(s)
-                places, words = np.array(places), np.array(words)
-                for k, at in by_item.items():
-                    item = block.words[k]
-                    need = min(similarity * len(item), passage) * MATCH
-                    at = np.array(at)
-                    for part in np.split(at, np.flatnonzero(np.diff(at) > 4 * len(item)) + 1):
-                        i, j = np.searchsorted(places, (part[0] - 2 * len(item), part[-1] + 2 * len(item)))
-                        score, start, end = align(item, words[i:j])
-                        if score >= need:
-                            out.append((doc, block.items[k], score / (MATCH * len(item)), int(places[i + start]), int(places[i + end - 1]) + 1))
-            if out:
-                yield common.batch(schema, *zip(*out))
-
-    return hits.mapInArrow(run, "doc_id long, item_id long, similarity double, start int, end int")
+        run, "doc_id long, item_id long, similarity double, start int, end int")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, similarity: float = 0.6, passage: int = 24,
@@ -186,10 +207,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, similarity: float =
     common.prepare(spark)
     found = None
     for block in _blocks(benchmark, n, min_item_words, block_words):
-        reach = 2 * max(map(len, block.words)) + n
-        hits = common.cut(_hits(docs.where("doc_id IS NOT NULL"), block, reach))
-        counted = hits.select(F.explode(F.array_distinct("grams")).alias("g")).groupBy("g").count().collect()  # one row an n-gram of the block
-        part = _align_all(hits, block, _seeds(block, {r["g"]: r["count"] for r in counted}), similarity, passage)
+        part = _align_all(docs.where("doc_id IS NOT NULL"), block, similarity, passage)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], "doc_id long, item_id long, similarity double, start int, end int")

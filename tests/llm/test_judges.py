@@ -187,6 +187,24 @@ def test_finds_all_benchmark_passages(spark):
     assert found == plain
 
 
+def test_edited_copy_beside_copies_and_quotes(spark, make_docs):
+    a, b = [f"a{i}" for i in range(40)], [f"b{i}" for i in range(60)]
+    edited = [w if i % 5 else "new" for i, w in enumerate(a)]
+    rows = [(1, " ".join(a)), (2, " ".join(edited)), (3, " ".join(b))] + [(10 + i, f"x{i} " + " ".join(b[:26]) + f" y{i}") for i in range(1000)]
+    bench = spark.createDataFrame([(0, " ".join(a)), (1, " ".join(b))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(make_docs(rows), bench).collect()}
+    assert got == {(1, 0), (2, 0), (3, 1), *((10 + i, 1) for i in range(1000))}
+
+
+def test_bound_never_cuts_an_alignment():
+    rng = np.random.default_rng(1)
+    for _ in range(500):
+        item, passage = rng.integers(0, 6, rng.integers(3, 12)), rng.integers(-1, 9, rng.integers(3, 40))
+        score, start, end = decontaminate.align(item, passage)
+        parts = decontaminate.within_reach(passage, np.unique(item), np.unique(item[:-1] * 9 + item[1:]), 9, score)
+        assert score == 0 or any(i <= start and end <= j for i, j in parts)
+
+
 # URL filter
 
 def test_host_and_path_and_rules(spark):
