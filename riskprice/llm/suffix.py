@@ -6,16 +6,21 @@
    that stands in two documents has a retained suffix at the same place in both. About
    one suffix in 22 is kept for 50 words. Suffixes whose first ``K`` words are in no other
    document are dropped (a pre-aggregated count), which leaves few.
-2. **Sorting.** The rest are dealt by their first words and sorted by the words that
-   follow (then by the words before, backwards): equal beginnings become neighbours.
-3. **Extension.** Each suffix is compared with its nearest ``NEIGHBOURS`` on both sides from
-   other documents: right over the words that follow, left over the words before. Both
-   together must reach ``min_words``. Each suffix carries ``min_words`` words of its right and
-   ``min_words - K`` of its left; longer passages are the union of what their suffixes find,
-   as these are never further apart than that.
+2. **Sorting.** Beginnings of at most ``NEIGHBOURS`` + 1 documents are dealt by their first words
+   and sorted by the words that follow (then by the words before, backwards).
+3. **Extension.** Each of these suffixes is compared with its ``NEIGHBOURS`` on both sides, which
+   are all that share its beginning: right over the words that follow, left over the words
+   before. Both together must reach ``min_words``. Each suffix carries ``min_words`` words of its
+   right and ``min_words - K`` of its left; longer passages are the union of what their
+   suffixes find, as these are never further apart than that.
+4. **Crowded beginnings.** Where more suffixes share a beginning, the nearest in one order need
+   not be those that agree the most on both sides together. Of these suffixes, all runs of
+   ``min_words`` words whose minimiser they are go into a pre-aggregated count by their hash,
+   and every run that two documents have is taken, whatever their number.
 
 The comparison reads a sorted partition as a stream and holds only a few rows at a time,
-so a passage in a third of all documents needs no more memory than any other.
+and no beginning of many suffixes is sorted, so a passage in a third of all documents
+needs no more memory than any other.
 """
 
 from __future__ import annotations
@@ -36,8 +41,56 @@ def _codes(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
-def _suffixes(texts: DataFrame, parts: DataFrame, min_words: int) -> DataFrame:
-    """(key, right, left, doc_id, places) of the retained suffixes with a repeated beginning.
+def _beginnings(texts: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, parts, crowded): first words (hashes) of a document's retained suffixes that
+    another document has too; crowded are those of more than ``NEIGHBOURS`` + 1 documents."""
+    rows = substring.level(texts, K, min_words, None).withColumn("n", F.lit(1))
+    ends = rows.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum("n").alias("n")).where("lo < hi") \
+               .select(F.col("h").alias("_h"), (F.col("n") > NEIGHBOURS + 1).alias("many"))
+    return rows.join(ends, F.col("h") == F.col("_h")).groupBy("doc_id") \
+               .agg(F.collect_list(F.when(~F.col("many"), F.col("h"))).alias("parts"),
+                    F.collect_list(F.when(F.col("many"), F.col("h"))).alias("crowded"))
+
+
+def _runs(own_texts: DataFrame, min_words: int) -> DataFrame:
+    """(h, doc_id, places) of the runs of ``min_words`` words whose minimiser is a crowded
+    beginning: hash and where they start, one row for a run of a document."""
+    schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("places", pa.list_(pa.int32()))])
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                crowded = b.column(3)[i].values.to_numpy().view(np.uint64)
+                if not len(crowded):
+                    continue
+                h = common.word_hashes(common.split_words(b.column(1)[i].as_py()))
+                short, at = substring.chosen(h, K, min_words)
+                starts = np.flatnonzero(np.isin(short[at], crowded))
+                found, same = np.unique(common.window_hashes(h, min_words)[starts], return_inverse=True)
+                places = np.split(starts[np.argsort(same, kind="stable")].astype(np.int32), np.cumsum(np.bincount(same))[:-1]) if len(starts) else []
+                for a in range(0, len(found), 4096):
+                    yield common.batch(schema, common.signed(found[a:a + 4096]), np.full(len(found[a:a + 4096]), b.column(0)[i].as_py()), places[a:a + 4096])
+
+    return own_texts.mapInArrow(run, "h long, doc_id long, places array<int>")
+
+
+def _shared(runs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, start, end, other): every run that another document has, and the smallest
+    of these. For the first document of a run that is the second, for all others the first."""
+    ends = runs.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi") \
+               .select(F.col("h").alias("_h"), "lo")
+    both = common.store(runs.join(ends, F.col("h") == F.col("_h")).select("h", "doc_id", "places", "lo"))
+    later = both.where("doc_id > lo")
+    second = later.groupBy("h").agg(F.min("doc_id").alias("other"))
+    found = later.select("doc_id", "places", F.col("lo").alias("other")) \
+                 .unionByName(both.where("doc_id = lo").join(second, "h").select("doc_id", "places", "other"))
+    return found.select("doc_id", F.explode("places").alias("start"), "other") \
+                .select("doc_id", "start", (F.col("start") + min_words).alias("end"), "other")
+
+
+def _suffixes(own_texts: DataFrame, min_words: int) -> DataFrame:
+    """(key, right, left, doc_id, places) of the retained suffixes with a beginning that is
+    repeated, but not crowded.
     Suffixes of one document with the same surroundings (runs of repeated words) are one
     row with all their places, so such a run does not crowd a key."""
     schema = pa.schema([("key", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("doc_id", pa.int64()),
@@ -64,13 +117,13 @@ def _suffixes(texts: DataFrame, parts: DataFrame, min_words: int) -> DataFrame:
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                own = b.column(2)[i]
-                if own.is_valid:
-                    for key, right, left, places in one(b.column(1)[i].as_py(), own.values.to_numpy().view(np.uint64)):
+                own = b.column(2)[i].values.to_numpy().view(np.uint64)
+                if len(own):
+                    for key, right, left, places in one(b.column(1)[i].as_py(), own):
                         yield common.batch(schema, common.signed(key), [r.tobytes() for r in right], [x.tobytes() for x in left],
                                            np.full(len(places), b.column(0)[i].as_py()), places)
 
-    return substring.beside(texts, parts).mapInArrow(run, "key long, right binary, left binary, doc_id long, places array<int>")
+    return own_texts.mapInArrow(run, "key long, right binary, left binary, doc_id long, places array<int>")
 
 
 def _equal_words(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -81,7 +134,7 @@ def _equal_words(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _compare(sorted_suffixes: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, start, end, other): for each suffix what its neighbours confirm, and the
-    smallest of their documents."""
+    smallest of their documents. These are all suffixes with its beginning."""
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("other", pa.int64())])
 
     def table(b):
@@ -142,10 +195,15 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     spark = docs.sparkSession
     common.prepare(spark)
     texts = docs.select("doc_id", common.text_of("text").alias("text"))
-    parts = common.cut(substring.repeated(substring.level(texts.where("doc_id IS NOT NULL"), K, min_words, None), later_only=False))
+    parts = common.cut(_beginnings(texts.where("doc_id IS NOT NULL"), min_words))
+    common.release(spark)
+    own_texts = texts.join(parts.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc")) \
+                     .select("doc_id", "text", "parts", "crowded")
+    shared = _shared(_runs(own_texts, min_words), min_words)
     common.release(spark)
-    ordered = _suffixes(texts, parts, min_words).repartition("key").sortWithinPartitions("key", "right", "left", "doc_id")
-    found = _compare(ordered, min_words).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "other")).alias("found"))
+    ordered = _suffixes(own_texts, min_words).repartition("key").sortWithinPartitions("key", "right", "left", "doc_id")
+    found = _compare(ordered, min_words).unionByName(shared) \
+        .groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "other")).alias("found"))
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("other_doc_id", pa.int64())])
 
     def joined(batches):

@@ -93,3 +93,16 @@ def test_passages_in_runs_of_repeated_words(make_docs):
             (6, " ".join(f"n{i}" for i in range(90))), (7, "a b " * 70)]
     got = suffix.repeated_passages(make_docs(rows, 2), 20).collect()
     assert {(r.doc_id, p) for r in got for p in range(r.start, r.end)} == plain_passages(rows, 20)
+
+
+def test_passages_behind_a_frequent_beginning(make_docs):
+    notice = " ".join(f"n{i}" for i in range(40))
+    rows = [(i, f"u{i} v{i} {notice} w{i}") for i in range(300)]
+    for i in range(20):                             # two documents share the ten words before, too
+        before = " ".join(f"p{i}x{j}" for j in range(10))
+        rows += [(1000 + i, f"{before} {notice} a{i}"), (2000 + i, f"{before} {notice} b{i}")]
+    rows += [(5000 + i, " ".join(f"c{j}" for j in range(60))) for i in range(30)]
+    got = suffix.repeated_passages(make_docs(rows, 2), 50).collect()
+    assert {(r.doc_id, p) for r in got for p in range(r.start, r.end)} == plain_passages(rows, 50)
+    assert all(r.other_doc_id == (r.doc_id + 1000 if r.doc_id < 2000 else r.doc_id - 1000) for r in got if r.doc_id < 5000)
+    assert all(r.other_doc_id == 5000 + (r.doc_id == 5000) for r in got if r.doc_id >= 5000)
