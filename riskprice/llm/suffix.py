@@ -6,7 +6,7 @@
    that stands in two documents has a retained suffix at the same place in both. About
    one suffix in 22 is kept for 50 words. Suffixes whose first ``K`` words are in no other
    document are dropped (a pre-aggregated count), which leaves few.
-2. **Sorting.** Beginnings of at most ``NEIGHBOURS`` + 1 documents are dealt by their first words
+2. **Sorting.** Beginnings of at most ``NEIGHBOURS`` + 1 suffixes are dealt by their first words
    and sorted by the words that follow (then by the words before, backwards).
 3. **Extension.** Each of these suffixes is compared with its ``NEIGHBOURS`` on both sides, which
    are all that share its beginning: right over the words that follow, left over the words
@@ -41,10 +41,29 @@ def _codes(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
+def _counted(texts: DataFrame, min_words: int) -> DataFrame:
+    """(h, doc_id, n): first words (hashes) of a document's retained suffixes, and their number."""
+    schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64())])
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 128):
+                part = b.slice(at, 128)
+                found = []
+                for text in part.column(1):
+                    short, places = substring.chosen(common.word_hashes(common.split_words(text.as_py())), K, min_words)
+                    found.append(np.unique(short[np.unique(places)], return_counts=True))
+                ids = np.repeat(part.column(0).to_numpy(), [len(h) for h, _ in found])
+                if len(ids):
+                    yield common.batch(schema, common.signed(np.concatenate([h for h, _ in found])), ids, np.concatenate([n for _, n in found]))
+
+    return texts.mapInArrow(run, "h long, doc_id long, n long")
+
+
 def _beginnings(texts: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, parts, crowded): first words (hashes) of a document's retained suffixes that
-    another document has too; crowded are those of more than ``NEIGHBOURS`` + 1 documents."""
-    rows = substring.level(texts, K, min_words, None).withColumn("n", F.lit(1))
+    another document has too; crowded are those of more than ``NEIGHBOURS`` + 1 suffixes."""
+    rows = _counted(texts, min_words)
     ends = rows.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum("n").alias("n")).where("lo < hi") \
                .select(F.col("h").alias("_h"), (F.col("n") > NEIGHBOURS + 1).alias("many"))
     return rows.join(ends, F.col("h") == F.col("_h")).groupBy("doc_id") \
@@ -91,8 +110,7 @@ def _shared(runs: DataFrame, min_words: int) -> DataFrame:
 def _suffixes(own_texts: DataFrame, min_words: int) -> DataFrame:
     """(key, right, left, doc_id, places) of the retained suffixes with a beginning that is
     repeated, but not crowded.
-    Suffixes of one document with the same surroundings (runs of repeated words) are one
-    row with all their places, so such a run does not crowd a key."""
+    Suffixes of one document with the same surroundings are one row with all their places."""
     schema = pa.schema([("key", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("doc_id", pa.int64()),
                         ("places", pa.list_(pa.int32()))])
     reach = min_words - K

@@ -106,3 +106,13 @@ def test_passages_behind_a_frequent_beginning(make_docs):
     assert {(r.doc_id, p) for r in got for p in range(r.start, r.end)} == plain_passages(rows, 50)
     assert all(r.other_doc_id == (r.doc_id + 1000 if r.doc_id < 2000 else r.doc_id - 1000) for r in got if r.doc_id < 5000)
     assert all(r.other_doc_id == 5000 + (r.doc_id == 5000) for r in got if r.doc_id >= 5000)
+
+
+def test_passages_repeated_within_a_document(make_docs):
+    passage = " ".join(f"p{i}" for i in range(60))
+    many = " ".join(f"b{i} {passage} e{i}" for i in range(12))
+    rows = [(1, many), (2, f"x {passage} y"), (3, "z " + many.replace("b", "c").replace("e", "f")),
+            (4, "r " * 22_000 + "s"), (5, "t " + "r " * 25_000)]
+    got = suffix.repeated_passages(make_docs(rows, 2), 50).collect()
+    assert {(r.doc_id, p) for r in got for p in range(r.start, r.end)} == plain_passages(rows, 50)
+    assert {(r.doc_id, r.other_doc_id) for r in got} == {(1, 2), (2, 1), (3, 1), (4, 5), (5, 4)}
