@@ -16,7 +16,8 @@ about e it is
     disclosure(t, e) = log2(n(t, e) N / (n(t) n(e))) / log2(N / n(e))
 
 which is 1 if t never occurs without e. Pairs need ``MIN_CONTEXTS`` different
-surroundings, so that copies of one text prove nothing. Terms above ``REMOVE`` are removed
+surroundings, so that copies of one text prove nothing. Numbers are terms like any other
+unless they belong to a base span beside e. Terms above ``REMOVE`` are removed
 and those above ``GENERALISE`` are replaced by the class of their characters, wherever
 they occur.
 """
@@ -118,6 +119,23 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"{WORD}+"), F.lit(0))
 
 
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with spaces for its base spans, kind by kind (those of one kind never overlap)."""
+    def kind(k: int) -> Callable[[Column], Column]:
+        def blank(t: Column) -> Column:
+            def parts(own: Column) -> Column:
+                begin = F.concat(F.array(F.lit(0)), F.transform(own, lambda x: x["e"]))
+                pieces = F.zip_with(begin, own, lambda b, x: F.when(x.isNull(), F.substring(t, b + 1, F.length(t)))
+                                    .otherwise(F.concat(F.substring(t, b + 1, x["s"] - b), F.repeat(F.lit(" "), x["e"] - x["s"]))))
+                return F.when(F.size(own) > 0, F.array_join(pieces, "")).otherwise(t)
+            return _let(F.filter(spans, lambda x: x["k"] == k), parts)
+        return blank
+
+    for k in range(4):
+        text = _let(text, kind(k))
+    return text
+
+
 def disclosing_terms(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, generalise: float = GENERALISE,
                      remove: float = REMOVE) -> DataFrame:
     """(doc_id, term, k) of every document with a term that discloses an entity; k is the
@@ -126,17 +144,26 @@ def disclosing_terms(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, generali
     them only if they are."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
-    spans = rows.select("text", F.explode(base_spans(F.col("text"))).alias("x")) \
-                .select(F.col("x.v").alias("entity"),
-                        F.substring(F.col("text"), F.greatest(F.col("x.s") - REACH, F.lit(0)) + 1,
-                                    F.least(F.col("x.s"), F.lit(REACH))).alias("left"),
-                        F.substring(F.col("text"), F.col("x.e") + 1, F.lit(REACH)).alias("right"))
-    # words cut by the edge of the surroundings are dropped
-    left = F.when(F.length("left") == REACH, F.regexp_replace("left", f"^{WORD}*", "")).otherwise(F.col("left"))
-    right = F.when(F.length("right") == REACH, F.regexp_replace("right", f"{WORD}*$", "")).otherwise(F.col("right"))
-    near = F.array_distinct(_words(F.concat_ws(" ", left, right)))
+
+    def before(of: str) -> Column:
+        return F.substring(F.col(of), F.greatest(F.col("x.s") - REACH, F.lit(0)) + 1, F.least(F.col("x.s"), F.lit(REACH)))
+
+    def after(of: str) -> Column:
+        return F.substring(F.col(of), F.col("x.e") + 1, F.lit(REACH))
+
+    def around(left: str, right: str) -> Column:        # words cut by the edge of the surroundings are dropped
+        return F.concat_ws(" ", F.when(F.length(left) == REACH, F.regexp_replace(left, f"^{WORD}*", "")).otherwise(F.col(left)),
+                           F.when(F.length(right) == REACH, F.regexp_replace(right, f"{WORD}*$", "")).otherwise(F.col(right)))
+
+    spans = rows.select("text", base_spans(F.col("text")).alias("base")).where(F.size("base") > 0) \
+                .select("text", _blanked(F.col("text"), F.col("base")).alias("blanked"), F.explode("base").alias("x")) \
+                .select(F.col("x.v").alias("entity"), before("text").alias("left"), after("text").alias("right"),
+                        before("blanked").alias("bare_left"), after("blanked").alias("bare_right"))
+    # a number inside a base span is a part of that span, and no term
+    numbers = F.regexp_extract_all(around("bare_left", "bare_right"), F.lit(f"(?<!{WORD})[0-9]+(?!{WORD})"), F.lit(0))
+    near = F.array_distinct(F.concat(F.filter(_words(around("left", "right")), lambda w: w.rlike("[^0-9]")), numbers))
     spans = spans.select("entity", F.xxhash64("left", "right").alias("context"), near.alias("terms"))
-    pairs = spans.select("entity", "context", F.explode("terms").alias("term")).where("term RLIKE '[^0-9]'") \
+    pairs = spans.select("entity", "context", F.explode("terms").alias("term")) \
                  .groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n")) \
                  .groupBy("entity", "term").agg(F.sum("n").alias("n_pair"), F.count(F.lit(1)).alias("contexts")) \
                  .where(F.col("contexts") >= min_contexts)

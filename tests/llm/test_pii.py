@@ -61,6 +61,19 @@ def test_disclosing_terms(make_docs):
     assert pii.sanitise(docs).columns == docs.columns
 
 
+def test_disclosing_numbers(make_docs):
+    rows = [(i, f"filler{i} account 77889{i % 2} belongs to bob@x.org today word{i}") for i in range(6)]
+    rows += [(10 + i, f"f{i} the phone +1 (555) 867-5309 or eve@y.org today w{i}") for i in range(6)]
+    rows += [(100 + i, f"the account {i} belongs to nothing and the phone or today") for i in range(300)]
+    rows += [(500, "see 778891 alone"), (501, "room 867 is open"), (502, "7788901"), (503, "778891 again")]
+    docs = make_docs(rows)
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert "778890" not in clean[0] and "778891" not in clean[1] and clean[500] == "see [NUMBER] alone"
+    assert clean[501] == "room 867 is open" and clean[502] == "7788901" and clean[105] == rows[17][1]
+    # eve and y, but no number of the phone
+    assert {r.n_terms for r in pii.find(docs).where("doc_id BETWEEN 10 AND 15").collect()} == {2}
+
+
 def test_copies_prove_nothing(make_docs):
     docs = make_docs([(i, "unusualword next to bob@x.org here") for i in range(20)])
     assert {r.spans for r in pii.find(docs).collect()} == {"email:20:29"}
