@@ -7,7 +7,7 @@ overlap within a kind, that pass a check (parts of an address, Luhn sum, number
 digits). Patterns are written so that a failed start is not tried again inside the same
 run of characters, and repeat without recursion, so whole long texts cost linear time.
 
-Sanitisation: each base match is a protected entity e. Over the whole corpus it is
+Sanitisation: each base match is a protected entity e, whatever its spelling. Over the whole corpus it is
 counted how often a term t stands within ``REACH`` characters of e, n(t, e), how often t
 and e occur at all, n(t) and n(e), and the number of words N. The information that t gives
 about e is their pointwise mutual information, and relative to what there is to know
@@ -119,6 +119,15 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"{WORD}+"), F.lit(0))
 
 
+def _entity(k: Column, v: Column) -> Column:
+    """Whom a base span names, however it is written: kind, and address in small letters,
+    ip without leading zeros, digits of card or phone."""
+    plain = F.when(k == KINDS.index("email"), F.lower(v)) \
+             .when(k == KINDS.index("ip"), F.regexp_replace(v, "(?<![0-9])0+(?=[0-9])", "")) \
+             .otherwise(F.regexp_replace(v, "[^0-9]", ""))
+    return F.concat_ws(":", k.cast("string"), plain)
+
+
 def _blanked(text: Column, spans: Column) -> Column:
     """The text with spaces for its base spans, kind by kind (those of one kind never overlap)."""
     def kind(k: int) -> Callable[[Column], Column]:
@@ -157,7 +166,7 @@ def disclosing_terms(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, generali
 
     spans = rows.select("text", base_spans(F.col("text")).alias("base")).where(F.size("base") > 0) \
                 .select("text", _blanked(F.col("text"), F.col("base")).alias("blanked"), F.explode("base").alias("x")) \
-                .select(F.col("x.v").alias("entity"), before("text").alias("left"), after("text").alias("right"),
+                .select(_entity(F.col("x.k"), F.col("x.v")).alias("entity"), before("text").alias("left"), after("text").alias("right"),
                         before("blanked").alias("bare_left"), after("blanked").alias("bare_right"))
     # a number inside a base span is a part of that span, and no term
     numbers = F.regexp_extract_all(around("bare_left", "bare_right"), F.lit(f"(?<!{WORD})[0-9]+(?!{WORD})"), F.lit(0))

@@ -74,6 +74,15 @@ def test_disclosing_numbers(make_docs):
     assert {r.n_terms for r in pii.find(docs).where("doc_id BETWEEN 10 AND 15").collect()} == {2}
 
 
+def test_spellings_are_one_entity(make_docs):
+    mails, cards = ["Bob@x.org", "bob@x.org", "bob@X.ORG"], ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111"]
+    rows = [(i, f"a{i} zorbo says {m} b{i}") for i, m in enumerate(mails)] + [(10 + i, f"c{i} quux pays {c} d{i}") for i, c in enumerate(cards)]
+    rows += [(100 + i, f"he says and pays nothing {i}") for i in range(300)]
+    clean = {r.doc_id: r.text for r in pii.sanitise(make_docs(rows)).collect()}
+    assert [clean[i] for i in range(3)] == [f"a{i}  says [EMAIL] b{i}" for i in range(3)]
+    assert [clean[10 + i] for i in range(3)] == [f"c{i}  pays [CARD] d{i}" for i in range(3)]
+
+
 def test_copies_prove_nothing(make_docs):
     docs = make_docs([(i, "unusualword next to bob@x.org here") for i in range(20)])
     assert {r.spans for r in pii.find(docs).collect()} == {"email:20:29"}
