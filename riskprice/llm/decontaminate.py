@@ -5,8 +5,8 @@
    finds where documents have such n-grams.
 2. Every n-gram of an item is a seed in every document, however many documents have it:
    how often the others quote an item says nothing about this one.
-3. Each stretch of seeds is aligned with its item, and a local alignment of item and passage
-   (match 2, mismatch -1, gap -1) scores copies with changed, missing or added words. A
+3. Each stretch of seeds is aligned with its item, then what is left and right of a passage found,
+   and a local alignment of item and passage (match 2, mismatch -1, gap -1) scores copies with changed, missing or added words. A
    document is contaminated if the score reaches ``similarity`` of a full match, or that of
    ``passage`` equal words in a row. An upper bound of the score (``within_reach``) spares
    the alignment where it can't reach that, so nothing is lost by it.
@@ -165,6 +165,22 @@ def within_reach(passage: np.ndarray, words: np.ndarray, pairs: np.ndarray, base
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
+def _passages(item: np.ndarray, near: np.ndarray, words: np.ndarray, pairs: np.ndarray, base: int,
+              need: float) -> Iterator[tuple[int, int, int]]:
+    """(score, start, end) of the best alignment, then of the best left and right of it, and
+    so on, until none scores ``need``."""
+    open_parts = [(0, len(near))]
+    while open_parts:
+        a, b = open_parts.pop()
+        if a == b:
+            continue
+        for i, j in within_reach(near[a:b], words, pairs, base, need):
+            score, start, end = align(item, near[a + i:a + j])
+            if score >= need:
+                yield score, a + i + start, a + i + end
+                open_parts += [(a + i, a + i + start), (a + i + end, a + j)]
+
+
 def _align_all(docs: DataFrame, block: Block, similarity: float, passage: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()),
                         ("start", pa.int32()), ("end", pa.int32())])
@@ -176,13 +192,8 @@ def _align_all(docs: DataFrame, block: Block, similarity: float, passage: int) -
             need = min(similarity * len(item), passage) * MATCH
             at = max(first - 2 * len(item), 0)
             near = ids[at:last + 2 * len(item)]
-            best = (0, 0, 0)
-            for i, j in within_reach(near, seeds.words[k], seeds.pairs[k], len(block.vocabulary), need):
-                score, start, end = align(item, near[i:j])
-                if score > best[0]:
-                    best = score, at + i + start, at + i + end
-            if best[0] >= need:
-                yield block.items[k], best[0] / (MATCH * len(item)), best[1], best[2]
+            for score, start, end in _passages(item, near, seeds.words[k], seeds.pairs[k], len(block.vocabulary), need):
+                yield block.items[k], score / (MATCH * len(item)), at + start, at + end
 
     def run(batches):
         get = block.vocabulary.get

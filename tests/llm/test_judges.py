@@ -196,6 +196,14 @@ def test_edited_copy_beside_copies_and_quotes(spark, make_docs):
     assert got == {(1, 0), (2, 0), (3, 1), *((10 + i, 1) for i in range(1000))}
 
 
+def test_every_copy_of_a_stretch(spark, make_docs):
+    item = " ".join(f"a{i}" for i in range(20))
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    docs = make_docs([(1, f"x {item} y {item} {item} z"), (2, item), (3, " ".join(["u"] + [item] * 40))])
+    got = {(r.doc_id, r.start, r.end) for r in decontaminate.leaks(docs, bench).collect()}
+    assert got == {(1, 1, 21), (1, 22, 42), (1, 42, 62), (2, 0, 20), *((3, 1 + 20 * i, 21 + 20 * i) for i in range(40))}
+
+
 def test_bound_never_cuts_an_alignment():
     rng = np.random.default_rng(1)
     for _ in range(500):
