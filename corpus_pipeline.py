@@ -27,7 +27,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    return decontaminate.drop_contaminated(docs, common.table(spark, sf_dir, "benchmark"))
+    return decontaminate.drop_contaminated(docs, common.table(spark, sf_dir, "benchmark"), short_items=True)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@
    the alignment where it can't reach that, so nothing is lost by it.
 
 Words are lower-cased, cut at white space, and lose marks at their ends. Items of fewer
-than ``min_item_words`` words can't be told from chance and are not looked for.
+than ``min_item_words`` words have too little for an alignment to tell from chance: with
+``short_items`` these are looked for as exact sequences of words, else not at all.
 """
 
 from __future__ import annotations
@@ -209,8 +210,46 @@ def _align_all(docs: DataFrame, block: Block, similarity: float, passage: int) -
         run, "doc_id long, item_id long, similarity double, start int, end int")
 
 
+def _short_blocks(benchmark: DataFrame, below: int, block_words: int) -> Iterator[dict[tuple[str, ...], list[int]]]:
+    """Items of 1 to ``below - 1`` words by their words, in blocks."""
+    held, size = {}, 0
+    for r in benchmark.where("item_id IS NOT NULL").select("item_id", "text").toLocalIterator():
+        words = tuple(words_of(r["text"] or ""))
+        if not 0 < len(words) < below:
+            continue
+        if held and size + len(words) > block_words:
+            yield held
+            held, size = {}, 0
+        held.setdefault(words, []).append(r["item_id"])
+        size += len(words)
+    if held:
+        yield held
+
+
+def _exact(docs: DataFrame, items: dict[tuple[str, ...], list[int]]) -> DataFrame:
+    """Every place where a document has the words of an item, as findings of similarity 1."""
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()),
+                        ("start", pa.int32()), ("end", pa.int32())])
+    lengths: dict[str, set[int]] = {}
+    for item in items:
+        lengths.setdefault(item[0], set()).add(len(item))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for doc, raw in zip(b.column(0).to_pylist(), b.column(1)):
+                words = words_of(raw.as_py().decode("utf-8", "replace"))
+                out += [(doc, item, 1.0, i, i + m) for i, w in enumerate(words) for m in lengths.get(w, ()) if i + m <= len(words)
+                        for item in items.get(tuple(words[i:i + m]), ())]
+            if out:
+                yield common.batch(schema, *zip(*out))
+
+    return docs.select("doc_id", common.text_of("text").alias("text")).mapInArrow(
+        run, "doc_id long, item_id long, similarity double, start int, end int")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, similarity: float = 0.6, passage: int = 24,
-          min_item_words: int = 8, block_words: int = 500_000) -> DataFrame:
+          min_item_words: int = 8, block_words: int = 500_000, short_items: bool = False) -> DataFrame:
     """(doc_id, item_id, similarity, start, end) of every passage found: words start to end
     (exclusive) of the document align with the item. Null texts have no words; rows with a
     null doc_id can't be named and are left out; repeated rows give repeated results."""
@@ -220,6 +259,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, similarity: float =
     for block in _blocks(benchmark, n, min_item_words, block_words):
         part = _align_all(docs.where("doc_id IS NOT NULL"), block, similarity, passage)
         found = part if found is None else found.unionByName(part)
+    for items in _short_blocks(benchmark, max(n, min_item_words), block_words) if short_items else ():
+        part = _exact(docs.where("doc_id IS NOT NULL"), items)
+        found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], "doc_id long, item_id long, similarity double, start int, end int")
     return found

@@ -204,6 +204,14 @@ def test_every_copy_of_a_stretch(spark, make_docs):
     assert got == {(1, 1, 21), (1, 22, 42), (1, 42, 62), (2, 0, 20), *((3, 1 + 20 * i, 21 + 20 * i) for i in range(40))}
 
 
+def test_short_items(spark, make_docs):
+    bench = spark.createDataFrame([(1, "What is it?"), (2, "zebu"), (3, "what is"), (4, ""), (5, None), (6, "Zebu")], "item_id long, text string")
+    docs = make_docs([(1, "he asks: what IS it, zebus?"), (2, "a zebu! what"), (3, None), (4, "is it what")])
+    found = lambda d: {(r.doc_id, r.item_id, r.similarity, r.start, r.end) for r in d.collect()}
+    assert found(decontaminate.leaks(docs, bench, short_items=True)) == {(1, 1, 1.0, 2, 5), (1, 3, 1.0, 2, 4), (2, 2, 1.0, 1, 2), (2, 6, 1.0, 1, 2)}
+    assert found(decontaminate.leaks(docs, bench, short_items=True, block_words=3)) == found(decontaminate.leaks(docs, bench, short_items=True))
+
+
 def test_bound_never_cuts_an_alignment():
     rng = np.random.default_rng(1)
     for _ in range(500):
