@@ -4,6 +4,7 @@ import sys
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))       # helpers.py
 
 SF_SMALL = "/root/testdata/sf0.001"
 SF_ORACLE = "/root/testdata/sf0.01"
@@ -26,7 +27,3 @@ def portfolio(spark):
 def products(spark):
     from riskprice.sources.samples import sample_products
     return sample_products(spark)
-
-
-def by_id(df, key="borrower_id"):
-    return {r[key]: r.asDict() for r in df.collect()}

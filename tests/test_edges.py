@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import riskprice as rp
 from riskprice.params import LogisticModel, ProductRules, RiskParams
 from riskprice.schemas import FACILITY_SCHEMA
-from conftest import by_id
+from helpers import by_id
 
 BASE = dict(borrower_id="E", borrower_name="Edge", credit_score=700, debt_to_income=0.3,
             loan_to_value=0.6, employment_years=5, payment_history_score=80,

@@ -7,7 +7,7 @@ import riskprice as rp
 from riskprice.functions import pd as pdf
 from riskprice.operators.model_grid import MODEL_PAIRS
 from riskprice.schemas import FACILITY_SCHEMA
-from conftest import by_id
+from helpers import by_id
 
 approx = lambda x, rel=1e-9, abs=1e-9: pytest.approx(x, rel=rel, abs=abs)
 
