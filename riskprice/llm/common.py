@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -163,13 +164,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
             .union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def unique() -> str:
+    """A name that no other run uses."""
+    return uuid.uuid4().hex
+
+
 def store(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the checkpoint folder and read again. Unlike after
     checkpoint(), the planner then knows the real size, and broadcasts the table only
     where it is under Spark's own limit."""
-    import uuid
     spark = df.sparkSession
     prepare(spark)
-    path = f"{checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/stored-{unique()}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
