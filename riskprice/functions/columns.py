@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Callable, Iterable, Mapping, Sequence, Tuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,20 +26,24 @@ def sql_literal(v: object) -> str:
     return s if "e" in s else s + "e0"
 
 
-def _ident(name: str) -> str:
+def quoted(name: str) -> str:
+    """A column name in SQL text."""
     return "`" + name.replace("`", "``") + "`"
 
 
-def lookup(key: str, card: Mapping[str, float], default: float) -> Column:
-    """Exact, case-sensitive lookup of input column ``key`` as one flat CASE;
-    an unknown or null key gives ``default``. Built as one SQL expression (a single
-    call to the JVM instead of several per branch)."""
+def map_lookup(key_sql: str, card: Mapping, otherwise: object) -> Column:
+    """Value of ``card`` at a key expression; an unknown or null key gives ``otherwise``.
+    The card is one literal map in the plan: whatever its size, the generated code is the
+    same short loop, where a CASE would grow by a branch for each entry."""
     if not card:
-        return F.lit(float(default))
-    k = _ident(key)
-    whens = " ".join(f"WHEN {k} = {sql_literal(a)} THEN {sql_literal(float(b))}"
-                     for a, b in card.items())
-    return F.expr(f"CASE {whens} ELSE {sql_literal(float(default))} END")
+        return F.lit(otherwise)
+    pairs = ", ".join(f"{sql_literal(k)}{'L' if isinstance(k, int) else ''}, {sql_literal(v)}" for k, v in card.items())
+    return F.expr(f"coalesce(map({pairs})[{key_sql}], {sql_literal(otherwise)})")
+
+
+def lookup(key: str, card: Mapping[str, float], default: float) -> Column:
+    """Exact, case-sensitive lookup of input column ``key``."""
+    return map_lookup(quoted(key), {k: float(v) for k, v in card.items()}, float(default))
 
 
 def factor(key: str, card: Mapping[str, float]) -> Column:
@@ -53,7 +57,7 @@ def first_band(value: str, bands: Iterable[Tuple[float, object]], op: str,
     ``value`` names an input column."""
     if op not in (">=", ">", "<="):
         raise ValueError(op)
-    v = _ident(value)
+    v = quoted(value)
     whens = " ".join(f"WHEN {v} {op} {sql_literal(b)} THEN {sql_literal(o)}" for b, o in bands)
     return F.expr(f"CASE {whens} ELSE {sql_literal(otherwise)} END")
 
@@ -86,3 +90,16 @@ def ratio_or_null(num: Column, den: Column) -> Column:
 def has(columns: Sequence[str], *names: str) -> bool:
     """Plan-time schema check for optional inputs."""
     return all(n in columns for n in names)
+
+
+def compiled_apart(df: DataFrame, *names: str) -> DataFrame:
+    """The same rows; what is behind and what is before are compiled as separate methods.
+
+    Spark writes the code of a whole chain of projections into one method, and the JVM
+    runs methods of more than 8,000 bytes interpreted. A generator, however, takes its
+    input as arguments of a method of its own. So the columns ``names`` (which whatever
+    follows needs) pass through a generator of one element; the row count is kept, and
+    other columns that nobody asks for are still pruned."""
+    one = F.explode(F.array(F.struct(*names))).alias("_one")
+    return df.select(*[c for c in df.columns if c not in names], one) \
+             .select(*[F.col(f"_one.{c}") if c in names else c for c in df.columns])

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import decision, exposure, lgd, pd, returns
+from ..functions.columns import compiled_apart
 
 
 class Stage:
@@ -55,6 +56,10 @@ class Stage:
     def apply(self) -> DataFrame:
         return self.next().df
 
+    def compiled_apart(self, *names: str) -> "Stage":
+        self.df = compiled_apart(self.next().df, *names)
+        return self
+
 
 def _pd(st: Stage, model: str, rp: P.RiskParams) -> None:
     put_pd(st, "pd_score", model, rp)
@@ -196,6 +201,7 @@ def price_facilities(df: DataFrame, pd_model: str = "logistic", lgd_model: str =
     st = Stage(df)
     _pd(st, pd_model, rp)
     _lgd(st, lgd_model, rp)
+    st.compiled_apart("pd_score", "lgd_score")
     _exposure(st, rp)
     _capital(st, rp)
     return downstream(st, rp).apply()

@@ -23,49 +23,59 @@ SUMMARY_COLUMNS = ("total_exposure", "total_expected_loss", "total_economic_capi
                    "facility_count")
 
 
-# Sums are exact: each value counts in units of 1e-6 (money) or 1e-12 (rates) as a wide
-# decimal, so they depend neither on the order of rows nor on the number of partitions.
+# Sums are exact: each value counts in whole units of 1e-6 (money) or 1e-12 (rates), held as
+# limbs that are summed apart: value = high * 2^44 + middle * 2^22 + low, high a double that
+# holds a whole number, the others longs under 2^22. Sums of 2^41 rows fit the longs, and the
+# high sum is a whole number below 2^53 as long as a total is under 2^97 units (1.6e23 of
+# money), so totals depend neither on the order of rows nor on the partitioning. NaN and
+# infinities go through the high limb; larger totals are rounded there like any double.
 MONEY_UNIT, RATE_UNIT = 1e6, 1e12
+LIMB_BITS = 22
+LIMB_MASK = (1 << LIMB_BITS) - 1
+HIGH = 2.0 ** (2 * LIMB_BITS)
+LIMBS = ("_h_", "_m_", "_l_")
 
 
-def exact_sum(name: str, unit: float) -> Column:
-    """Sum of a double column in units, as decimal(38, 0). NaN and infinities have no
-    units; ``odd_sum`` carries them."""
-    x = F.col(name)
-    return F.sum(F.when(_finite(x), (x * F.lit(unit)).cast("decimal(38,0)")))
-
-
-def odd_sum(name: str) -> Column:
-    """Sum of the values that are not finite (null if there are none)."""
-    return F.sum(F.when(~_finite(F.col(name)), F.col(name)))
-
-
-def _finite(x: Column) -> Column:
-    return F.abs(x) < F.lit(1e20)       # NaN orders above every number
+def limb_sums(name: str, column: str, unit: float) -> List[Column]:
+    """Sums of the three limbs of a double column, named after ``name``. The repeated parts
+    are evaluated once a row (Spark's subexpression elimination)."""
+    units = F.rint(F.col(column) * F.lit(unit))
+    high = F.rint(units * F.lit(1 / HIGH))
+    rest = F.nanvl(units - high * F.lit(HIGH), F.lit(0.0)).cast("bigint")
+    parts = (high, F.shiftright(rest, LIMB_BITS), rest.bitwiseAND(F.lit(LIMB_MASK)))
+    return [F.sum(x).alias(limb + name) for limb, x in zip(LIMBS, parts)]
 
 
 def summary_aggregates() -> List[Column]:
     """Raw aggregates (all null on empty input)."""
     aggs = []
     for name, src in _SUMS:
-        aggs += [exact_sum(src, MONEY_UNIT).alias("_s_" + name), odd_sum(src).alias("_o_" + name)]
+        aggs += limb_sums(name, src, MONEY_UNIT)
     for name, src in _AVGS:
-        aggs += [exact_sum(src, RATE_UNIT).alias("_s_" + name), odd_sum(src).alias("_o_" + name),
-                 F.count(src).alias("_n_" + name)]
+        aggs += [*limb_sums(name, src, RATE_UNIT), F.count(src).alias("_n_" + name)]
     aggs.append(F.count(F.lit(1)).alias("facility_count"))
     return aggs
 
 
+def summary_names() -> List[str]:
+    """Names of the columns of ``summary_aggregates``; each is merged by summing."""
+    names = [limb + name for name, _ in _SUMS for limb in LIMBS]
+    names += [c for name, _ in _AVGS for c in (*[limb + name for limb in LIMBS], "_n_" + name)]
+    return [*names, "facility_count"]
+
+
 def summary_merge() -> List[Column]:
     """Aggregates of ``summary_aggregates`` over groups, merged."""
-    names = [c for name, _ in _SUMS for c in ("_s_" + name, "_o_" + name)]
-    names += [c for name, _ in _AVGS for c in ("_s_" + name, "_o_" + name, "_n_" + name)]
-    return [F.sum(n).alias(n) for n in (*names, "facility_count")]
+    return [F.sum(n).alias(n) for n in summary_names()]
 
 
 def _total(name: str, unit: float) -> Column:
-    whole = F.col("_s_" + name).cast("double") / F.lit(unit)
-    return F.when(F.col("_o_" + name).isNotNull(), F.col("_o_" + name) + F.coalesce(whole, F.lit(0.0))).otherwise(whole)
+    """The sum that limbs stand for, rounded once."""
+    high, middle, low = (F.col(limb + name) for limb in LIMBS)
+    carried = middle + F.shiftright(low, LIMB_BITS)
+    whole = high + F.shiftright(carried, LIMB_BITS).cast("double")
+    rest = F.shiftleft(carried.bitwiseAND(F.lit(LIMB_MASK)), LIMB_BITS) + low.bitwiseAND(F.lit(LIMB_MASK))
+    return (whole * F.lit(HIGH) + rest.cast("double")) / F.lit(unit)
 
 
 def summary_finish(keys: Sequence[str] = ()) -> List[Column]:
@@ -89,10 +99,12 @@ def finish_summary(raw: dict) -> dict:
     """``summary_finish`` for one already-collected row of ``summary_aggregates``
     (same rules: null -> 0, ratio of sums, EL rate over (sum EAD or 1))."""
     def total(name, unit):
-        whole, odd = raw.get("_s_" + name), raw.get("_o_" + name)
-        if whole is None and odd is None:
+        high, middle, low = (raw.get(limb + name) for limb in LIMBS)
+        if high is None:
             return None
-        return (odd or 0.0) + float(whole or 0) / unit
+        carried = middle + (low >> LIMB_BITS)
+        whole = high + float(carried >> LIMB_BITS)
+        return (whole * HIGH + float(((carried & LIMB_MASK) << LIMB_BITS) + (low & LIMB_MASK))) / unit
 
     sums = {name: total(name, MONEY_UNIT) for name, _ in _SUMS}
     out = {name: 0.0 if v is None else v for name, v in sums.items()}
@@ -170,7 +182,7 @@ def product_summary(priced_products: DataFrame) -> DataFrame:
     total_revenue sums unit prices; quantity is not multiplied in."""
     zero = F.lit(0.0)
     agg = priced_products.agg(
-        exact_sum("final_price", MONEY_UNIT).alias("_s_rev"), odd_sum("final_price").alias("_o_rev"), F.count("final_price").alias("_n"),
+        *limb_sums("rev", "final_price", MONEY_UNIT), F.count("final_price").alias("_n"),
         F.max("final_price").alias("_max"), F.min("final_price").alias("_min"),
         F.sum(F.col("quantity").cast("bigint")).alias("_qty"),
         F.count(F.lit(1)).alias("total_products"))

@@ -8,12 +8,15 @@ split never shuffles.
 
 from __future__ import annotations
 
+import functools
+import operator
 from dataclasses import dataclass
 from typing import List, Optional, Sequence, Tuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import compiled_apart
 from ..schemas import CORRUPT
 
 
@@ -31,15 +34,19 @@ class Rule:
         return f"{self.column}_{'range' if ranged else 'required'}"
 
     def condition(self) -> Column:
+        """True where the value passes; false or null where it does not (a null value makes
+        every comparison null)."""
         c = F.col(self.column)
-        ok = c.isNotNull()
-        if self.double:
-            ok = ok & ~F.isnan(c)
+        if self.lo is None and self.hi is None:
+            return c.isNotNull()
+        parts = []
         if self.lo is not None:
-            ok = ok & ((c > F.lit(self.lo)) if self.lo_open else (c >= F.lit(self.lo)))
+            parts.append((c > F.lit(self.lo)) if self.lo_open else (c >= F.lit(self.lo)))
         if self.hi is not None:
-            ok = ok & (c <= F.lit(self.hi))
-        return ok
+            parts.append(c <= F.lit(self.hi))
+        elif self.double:                       # NaN is above every number, so only an upper bound stops it
+            parts.append(~F.isnan(c))
+        return functools.reduce(operator.and_, parts)
 
 
 # FIXED VALUES: accepted domain of each input column.
@@ -67,21 +74,31 @@ FACILITY_RULES: Tuple[Rule, ...] = (
 # end of fixed values
 
 
-def errors_column(rules: Sequence[Rule], columns: Sequence[str], absent_ok: Sequence[str] = ()) -> Column:
-    """Comma-joined names of failed rules ('' when the row is valid); a rule whose
-    column the feed lacks fails every row as '<column>_missing', unless the column may be
-    absent. A row that could not be read fails as 'unreadable'."""
-    parts: List[Column] = []
+def _checks(rules: Sequence[Rule], columns: Sequence[str], absent_ok: Sequence[str]) -> List[Tuple[str, Column]]:
+    """(name, condition) of each rule, which passes where the condition is true. A rule whose column the
+    feed lacks fails every row as '<column>_missing', unless the column may be absent. A
+    row that could not be read fails as 'unreadable'."""
+    out: List[Tuple[str, Column]] = []
     if CORRUPT in columns:
-        parts.append(F.when(F.col(CORRUPT).isNotNull(), F.lit("unreadable")))
+        out.append(("unreadable", F.col(CORRUPT).isNull()))
     for r in rules:
-        if r.column not in columns and r.column in absent_ok:
-            continue
-        if r.column not in columns:
-            parts.append(F.lit(f"{r.column}_missing"))
-        else:
-            parts.append(F.when(~F.coalesce(r.condition(), F.lit(False)), F.lit(r.name)))
-    return F.concat_ws(",", *parts)
+        if r.column in columns:
+            out.append((r.name, r.condition()))
+        elif r.column not in absent_ok:
+            out.append((f"{r.column}_missing", F.lit(False)))
+    return out
+
+
+def errors_column(rules: Sequence[Rule], columns: Sequence[str], absent_ok: Sequence[str] = ()) -> Column:
+    """Comma-joined names of failed rules ('' when the row is valid)."""
+    return F.concat_ws(",", *[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in _checks(rules, columns, absent_ok)])
+
+
+def valid_row(rules: Sequence[Rule], columns: Sequence[str], absent_ok: Sequence[str] = ()) -> Column:
+    """True where no rule fails, else false or null; nothing is named. A plain conjunction,
+    so its parts reach the scan and Spark knows the columns behind it to be set."""
+    checks = [ok for _, ok in _checks(rules, columns, absent_ok)]
+    return functools.reduce(operator.and_, checks) if checks else F.lit(True)
 
 
 def with_errors(df: DataFrame, rules: Sequence[Rule], absent_ok: Sequence[str] = ()) -> DataFrame:
@@ -89,10 +106,11 @@ def with_errors(df: DataFrame, rules: Sequence[Rule], absent_ok: Sequence[str] =
 
 
 def split(df: DataFrame, rules: Sequence[Rule], absent_ok: Sequence[str] = ()) -> Tuple[DataFrame, DataFrame]:
-    """(valid rows with the original columns, rejected rows + validation_errors)."""
-    checked = with_errors(df, rules, absent_ok)
-    ok = F.col("validation_errors") == F.lit("")
-    return checked.filter(ok).drop("validation_errors", CORRUPT), checked.filter(~ok)
+    """(valid rows with the original columns, rejected rows + validation_errors). Rules are
+    plain conditions in both filters; their names are joined for rejected rows only."""
+    ok = valid_row(rules, df.columns, absent_ok)
+    rejected = compiled_apart(df.filter(~F.coalesce(ok, F.lit(False))), df.columns[0])
+    return df.filter(ok).drop(CORRUPT), with_errors(rejected, rules, absent_ok)
 
 
 def split_products(df: DataFrame) -> Tuple[DataFrame, DataFrame]:

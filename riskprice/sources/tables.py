@@ -15,7 +15,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import sql_literal
+from ..functions.columns import map_lookup, sql_literal
 
 # FIXED VALUES of the fixture derivation (same lists as the SQL oracle).
 INDUSTRY_BY_ORDER = ("technology", "healthcare", "financial_services", "manufacturing",
@@ -49,14 +49,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _pick(index_sql: str, values: Sequence[str]) -> Column:
-    """CASE <index> WHEN 0 THEN values[0] ... ELSE values[-1] END (one SQL expression)."""
-    whens = " ".join(f"WHEN {i} THEN {sql_literal(v)}" for i, v in enumerate(values[:-1]))
-    return F.expr(f"CASE {index_sql} {whens} ELSE {sql_literal(values[-1])} END")
+    """values[index]; any other index gives the last value."""
+    return map_lookup(index_sql, dict(enumerate(values[:-1])), values[-1])
 
 
 def _match(key_sql: str, pairs, otherwise) -> Column:
-    whens = " ".join(f"WHEN {sql_literal(k)} THEN {sql_literal(v)}" for k, v in pairs)
-    return F.expr(f"CASE {key_sql} {whens} ELSE {sql_literal(otherwise)} END")
+    return map_lookup(key_sql, dict(pairs), otherwise)
 
 
 def _ratio100(x: Column) -> Column:

@@ -243,3 +243,30 @@ def test_report_equals_its_parts(spark, portfolio):
     assert {(x.value, x["count"]) for x in r.recommendation_distribution} == {tuple(x) for x in rp.recommendation_distribution(priced).collect()}
     empty = pf.portfolio_report(priced.limit(0)).first()
     assert empty.facility_count == 0 and empty.total_exposure == 0.0 and empty.risk_distribution == []
+
+
+def test_sums_are_exact_at_every_size(spark):
+    """Totals do not depend on order or partitioning, far beyond the range of money."""
+    import random
+    from fractions import Fraction
+
+    from riskprice.operators.portfolio import limb_sums, _total, MONEY_UNIT
+    rng = random.Random(5)
+    values = [rng.uniform(-1, 1) * 10 ** rng.uniform(-4, 16) for _ in range(4000)]
+    values += [1.25e20, -1.25e20, 7.5e21, 3e14, 0.1, -0.3, 1e-7, None]
+    want = float(sum(round(Fraction(v * MONEY_UNIT)) for v in values if v is not None)) / MONEY_UNIT
+    got = set()
+    for seed, partitions in ((1, 1), (2, 7), (3, 16)):
+        random.Random(seed).shuffle(values)
+        df = spark.createDataFrame([(v,) for v in values], "x double").repartition(partitions)
+        got.add(df.agg(*limb_sums("t", "x", MONEY_UNIT)).select(_total("t", MONEY_UNIT).alias("s")).first().s)
+    assert got == {want}
+
+
+@pytest.mark.parametrize("values, want", [([float("inf"), 1.0], float("inf")), ([float("inf"), float("-inf")], None),
+                                          ([float("nan"), 2.0], None), ([1e300, 1e300], 2e300), ([None, None], "null"), ([-0.5, 0.25], -0.25)])
+def test_sums_of_odd_values(spark, values, want):
+    from riskprice.operators.portfolio import limb_sums, _total, MONEY_UNIT
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    s = df.agg(*limb_sums("t", "x", MONEY_UNIT)).select(_total("t", MONEY_UNIT).alias("s")).first().s
+    assert s is None if want == "null" else s != s if want is None else s == pytest.approx(want, rel=1e-15)

@@ -133,3 +133,21 @@ def test_appended_files_are_seen(spark, tmp_path):
 def test_one_logistic_in_the_plan(spark):
     df = queries()["price_facilities"](spark, SF)
     assert df._jdf.queryExecution().optimizedPlan().toString().count("EXP(") == 1
+
+
+def test_generated_methods_stay_small(spark):
+    """The JVM runs methods of more than 8,000 bytes interpreted: none of the headline jobs'
+    generated methods may reach that."""
+    import re
+
+    import bench
+    from riskprice.plans.queries import queries
+    spark.conf.set("spark.sql.adaptive.enabled", "false")       # explain shows the code of a final plan only
+    try:
+        for name, _ in bench.HEADLINE:
+            execution = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+            text = spark.sparkContext._jvm.PythonSQLUtils.explainString(execution, "codegen")
+            sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+            assert sizes and max(sizes) < 8000, (name, sizes)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
