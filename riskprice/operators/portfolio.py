@@ -95,16 +95,21 @@ def summary_finish(keys: Sequence[str] = ()) -> List[Column]:
     return out
 
 
+def limb_total(raw: dict, name: str, unit: float) -> float | None:
+    """``_total`` for one already-collected row."""
+    high, middle, low = (raw.get(limb + name) for limb in LIMBS)
+    if high is None:
+        return None
+    carried = middle + (low >> LIMB_BITS)
+    whole = high + float(carried >> LIMB_BITS)
+    return (whole * HIGH + float(((carried & LIMB_MASK) << LIMB_BITS) + (low & LIMB_MASK))) / unit
+
+
 def finish_summary(raw: dict) -> dict:
     """``summary_finish`` for one already-collected row of ``summary_aggregates``
     (same rules: null -> 0, ratio of sums, EL rate over (sum EAD or 1))."""
     def total(name, unit):
-        high, middle, low = (raw.get(limb + name) for limb in LIMBS)
-        if high is None:
-            return None
-        carried = middle + (low >> LIMB_BITS)
-        whole = high + float(carried >> LIMB_BITS)
-        return (whole * HIGH + float(((carried & LIMB_MASK) << LIMB_BITS) + (low & LIMB_MASK))) / unit
+        return limb_total(raw, name, unit)
 
     sums = {name: total(name, MONEY_UNIT) for name, _ in _SUMS}
     out = {name: 0.0 if v is None else v for name, v in sums.items()}

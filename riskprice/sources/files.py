@@ -9,7 +9,7 @@ known columns that the feed carries, in every format.
 
 from __future__ import annotations
 
-from typing import Iterable, Optional
+from typing import Iterable, List, Optional, Union
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,24 +63,41 @@ def read_products(spark: SparkSession, path: str, fmt: str = "parquet", keep_unr
     return r.load(path)
 
 
-def read_facilities(spark: SparkSession, path: str, fmt: str = "parquet",
-                    columns: Optional[Iterable[str]] = None, keep_unreadable: bool = False) -> DataFrame:
+def read_facilities(spark: SparkSession, path: Union[str, List[str]], fmt: str = "parquet",
+                    columns: Optional[Iterable[str]] = None, keep_unreadable: bool = False,
+                    base: Optional[str] = None) -> DataFrame:
     """Facility feed with the known columns that it has (``columns`` names them, else they
-    are looked up), so an absent optional column is absent for the formulas too.
+    are looked up), so an absent optional column is absent for the formulas too. Files that
+    differ in their known columns are an error here: ``feeds.facility_feeds`` reads them.
+    ``base``: the folder that ``path`` lists files of.
 
     ``keep_unreadable``: rows of JSON and CSV feeds that can't be parsed stay as nulls with
     their text in ``_corrupt_record``, for the quarantine, instead of failing the job."""
     present = columns_present(spark, path, fmt) if columns is None else list(columns)
     schema = known = feed_schema(present)
+    if columns is None and fmt == "parquet":
+        _same_columns(spark, path, known)
     if fmt == "csv":                    # the header is checked, so every column of it is declared
         schema = StructType([known[c] if c in known.fieldNames() else StructField(c, StringType(), True) for c in present])
     r = _reader(spark, schema, fmt)
+    if base:
+        r = r.option("basePath", base)
     if keep_unreadable and fmt != "parquet":
         schema = StructType(schema.fields + [StructField(CORRUPT, StringType(), True)])
         r = r.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
     return r.load(path).select(*known.fieldNames(), *[c for c in (CORRUPT,) if c in schema.fieldNames()])
 
 
+def _same_columns(spark: SparkSession, path, known: StructType) -> None:
+    """All footers carry the same known columns."""
+    from .feeds import groups
+    parts = groups(spark, path)
+    if len(parts) > 1:
+        sets = [set(c) for c, _ in parts]
+        differ = sorted(set.union(*sets) - set.intersection(*sets))
+        raise ValueError(f"the files of {path} differ in the columns {differ}: read them with feeds.facility_feeds")
+
+
 def write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
           partition_by: Optional[Iterable[str]] = None) -> None:
     """Distributed write (one file per task); nothing passes through the driver."""
