@@ -145,7 +145,11 @@ def portfolio_report(priced: DataFrame) -> DataFrame:
     """One row with the summary and both distributions (sorted arrays of value and count),
     from one pass: rows are aggregated by the two decisions (at most 35 groups), and the
     totals and distributions are taken from the groups."""
-    groups = priced.groupBy(*DECISIONS).agg(*summary_aggregates())
+    return report_of(priced.groupBy(*DECISIONS).agg(*summary_aggregates()))
+
+
+def report_of(groups: DataFrame) -> DataFrame:
+    """The report from aggregates by the two decisions."""
     pairs = [F.collect_list(F.struct(F.col(c).alias("value"), F.col("facility_count").alias("count"))).alias("_" + c) for c in DECISIONS]
     return groups.agg(*summary_merge(), *pairs).select(
         *summary_finish(), *[_folded(F.col("_" + c)).alias(c.replace("risk_rating", "risk_distribution")

@@ -9,8 +9,8 @@
   number of facilities. Each epoch replaces its own ``epoch_id`` partition, so a replayed
   epoch writes the same answer again; the last ``KEEP_EPOCHS`` are kept.
 
-A checkpoint belongs to its sink: a new checkpoint on a sink that already has output is
-refused, as the sink would skip the batches whose numbers it has seen. Checkpoints go
+A checkpoint belongs to its sink (``sinks.bind``): another one is refused, as the sink would
+skip the batches whose numbers it has seen. Checkpoints go
 under ``spark.checkpoint.dir`` (a shared folder on a cluster) unless the caller names a
 location. Streams name the columns of their files; the files' other columns are not read.
 """
@@ -32,6 +32,7 @@ from ..operators.quality import FACILITY_RULES, PRODUCT_RULES, split
 from ..params import ProductRules, RiskParams
 from ..schemas import ABSENT_OK, CORRUPT, FACILITY_SCHEMA, PRODUCT_SCHEMA, feed_schema
 from ..session import checkpoint_path
+from .sinks import bind
 
 
 def default_checkpoint(spark: SparkSession, name: str, source: str, sink: str) -> str:
@@ -51,20 +52,16 @@ def _files(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def check_binding(spark: SparkSession, sink_dir: str, checkpoint: str) -> None:
-    """A sink with output needs the checkpoint that wrote it."""
-    fs, sink = _files(spark, sink_dir)
-    _, offsets = _files(spark, checkpoint.rstrip("/") + "/offsets")
-    used = fs.exists(sink) and any(not s.getPath().getName().startswith(".") for s in fs.listStatus(sink))
-    if used and not offsets.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(offsets):
-        raise ValueError(f"{sink_dir} already has output of another checkpoint than {checkpoint}: "
-                         "go on with that checkpoint, or write to an empty folder")
-
-
 def checked_stream(spark: SparkSession, source_dir: str, schema: StructType, rules, fmt: str = "parquet",
                    absent_ok: Iterable[str] = (), max_files_per_trigger: Optional[int] = None) -> Tuple[DataFrame, DataFrame]:
-    """(valid rows, rejected rows) of a stream of files. A mistyped or unreadable row does not
-    stop the query: its values are null, so it fails the rules."""
+    """(valid rows, rejected rows) of a stream of files."""
+    return split(file_stream(spark, source_dir, schema, fmt, max_files_per_trigger), rules, tuple(absent_ok))
+
+
+def file_stream(spark: SparkSession, source_dir: str, schema: StructType, fmt: str = "parquet",
+                max_files_per_trigger: Optional[int] = None) -> DataFrame:
+    """All rows of a stream of files. A mistyped or unreadable row does not stop the query:
+    its values are null, so it fails the rules."""
     if fmt != "parquet":
         schema = StructType(schema.fields + [StructField(CORRUPT, StringType(), True)])
     reader = spark.readStream.schema(schema).format(fmt)
@@ -74,7 +71,7 @@ def checked_stream(spark: SparkSession, source_dir: str, schema: StructType, rul
         reader = reader.option("header", "true").option("enforceSchema", "false")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return split(reader.load(source_dir), rules, tuple(absent_ok))
+    return reader.load(source_dir)
 
 
 def facility_stream(spark: SparkSession, source_dir: str, fmt: str = "parquet",
@@ -94,7 +91,7 @@ def price_stream(spark: SparkSession, source_dir: str, fmt: str = "parquet",
     return price_facilities(valid, pd_model, lgd_model, rp)
 
 
-def _trigger(writer, available_now: bool, interval: Optional[str]):
+def trigger(writer, available_now: bool, interval: Optional[str]):
     if available_now:
         return writer.trigger(availableNow=True)
     if interval:
@@ -105,10 +102,10 @@ def _trigger(writer, available_now: bool, interval: Optional[str]):
 def _append(df: DataFrame, spark: SparkSession, name: str, source_dir: str, sink_dir: str, checkpoint: Optional[str],
             available_now: bool, interval: Optional[str]) -> StreamingQuery:
     checkpoint = checkpoint or default_checkpoint(spark, name, source_dir, sink_dir)
-    check_binding(spark, sink_dir, checkpoint)
+    bind(spark, sink_dir, checkpoint)
     writer = (df.writeStream.format("parquet").outputMode("append").option("path", sink_dir)
                 .option("checkpointLocation", checkpoint).queryName(name))
-    return _trigger(writer, available_now, interval).start()
+    return trigger(writer, available_now, interval).start()
 
 
 def start_pricing_stream(spark: SparkSession, source_dir: str, sink_dir: str,
@@ -159,10 +156,10 @@ def start_totals_stream(spark: SparkSession, source_dir: str, sink_dir: str,
                 fs.delete(status.getPath(), True)
 
     checkpoint = checkpoint or default_checkpoint(spark, name, source_dir, sink_dir)
-    check_binding(spark, sink_dir, checkpoint)
+    bind(spark, sink_dir, checkpoint)
     writer = (totals.writeStream.outputMode("complete").foreachBatch(write_epoch)
               .option("checkpointLocation", checkpoint).queryName(name))
-    return _trigger(writer, available_now, interval).start()
+    return trigger(writer, available_now, interval).start()
 
 
 def latest_totals(spark: SparkSession, sink_dir: str) -> DataFrame:
