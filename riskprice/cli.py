@@ -11,6 +11,7 @@ beside them with their errors, and returns only one-row summaries to the driver.
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import sys
 from typing import List, Optional
@@ -18,9 +19,10 @@ from typing import List, Optional
 from pyspark.sql import SparkSession
 
 from . import params as P
-from .operators import jobs, model_grid, portfolio, quality
+from .functions import registry
+from .operators import jobs, model_grid, portfolio, publish, quality
 from .schemas import ABSENT_OK
-from .sources import files
+from .sources import feeds, files
 
 
 def _risk_params(a) -> P.RiskParams:
@@ -32,8 +34,9 @@ def _risk_params(a) -> P.RiskParams:
 
 def _add_risk_args(p: argparse.ArgumentParser) -> None:
     d = P.RiskParams()
-    p.add_argument("--pd-model", default="logistic", choices=["logistic", "score_based", "industry"])
-    p.add_argument("--lgd-model", default="hybrid", choices=["collateral", "industry", "hybrid"])
+    p.add_argument("--models", metavar="MODULE", help="module that registers models of your own")
+    p.add_argument("--pd-model", default="logistic")
+    p.add_argument("--lgd-model", default="hybrid")
     p.add_argument("--risk-type", default=d.risk_type)
     p.add_argument("--target-raroc", type=float, default=d.target_raroc)
     p.add_argument("--competitive-margin", type=float, default=d.competitive_margin)
@@ -48,8 +51,8 @@ def _add_risk_args(p: argparse.ArgumentParser) -> None:
 def parser() -> argparse.ArgumentParser:
     ap = argparse.ArgumentParser(prog="riskprice")
     sub = ap.add_subparsers(dest="job", required=True)
-    for name in ("price-facilities", "model-grid", "split-facilities", "stream-facilities",
-                 "stream-rejects", "stream-totals"):
+    for name in ("price-facilities", "publish-facilities", "model-grid", "split-facilities", "stream-facilities",
+                 "stream-rejects", "stream-totals", "stream-checked", "stream-report"):
         p = sub.add_parser(name)
         p.add_argument("--input", required=True)
         p.add_argument("--format", default="parquet", choices=files.FORMATS)
@@ -59,7 +62,7 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--checkpoint")
             p.add_argument("--available-now", action="store_true")
             p.add_argument("--interval", default="1 minute")
-    for name in ("price-products", "split-products", "stream-products"):
+    for name in ("price-products", "publish-products", "split-products", "stream-products"):
         p = sub.add_parser(name)
         p.add_argument("--input", required=True)
         p.add_argument("--format", default="parquet", choices=files.FORMATS)
@@ -85,6 +88,8 @@ def run(argv: Optional[List[str]] = None, spark: Optional[SparkSession] = None)
                                  interval=a.interval, fmt=a.format, rules=rules).awaitTermination()
             return out
         feed = files.read_products(spark, a.input, a.format, keep_unreadable=True)
+        if a.job == "publish-products":
+            return {**out, **publish.publish_products(feed, a.output, rules)}
         if a.job == "split-products":
             jobs.split_and_write(feed, quality.PRODUCT_RULES, a.output)
             return out
@@ -93,17 +98,28 @@ def run(argv: Optional[List[str]] = None, spark: Optional[SparkSession] = None)
         out["summary"] = {**portfolio.product_summary(written).first().asDict(), "rejected_count": rejected}
         return out
     rp = _risk_params(a)
+    if a.models:
+        importlib.import_module(a.models)
+    registry.PD.check(a.pd_model)
+    registry.LGD.check(a.lgd_model)
     if a.job.startswith("stream-"):
-        from .streaming import start_pricing_stream, start_rejects_stream, start_totals_stream
+        from .streaming import (start_checked_stream, start_pricing_stream, start_rejects_stream, start_report_stream,
+                                start_totals_stream)
         if a.columns is None:
             raise ValueError("a stream needs --columns: the columns that its files have")
         start = {"stream-facilities": start_pricing_stream, "stream-rejects": start_rejects_stream,
-                 "stream-totals": start_totals_stream}[a.job]
+                 "stream-totals": start_totals_stream, "stream-checked": start_checked_stream,
+                 "stream-report": start_report_stream}[a.job]
+        models = {} if a.job == "stream-report" else {"pd_model": a.pd_model, "lgd_model": a.lgd_model}
         q = start(spark, a.input, a.output, checkpoint=a.checkpoint,
                   available_now=a.available_now, interval=a.interval,
-                  fmt=a.format, pd_model=a.pd_model, lgd_model=a.lgd_model, rp=rp, columns=a.columns)
+                  fmt=a.format, rp=rp, columns=a.columns, **models)
         q.awaitTermination()
         return out
+    if a.job == "publish-facilities":
+        read = [files.read_facilities(spark, a.input, a.format, a.columns, keep_unreadable=True)] if a.columns else \
+            feeds.facility_feeds(spark, a.input, a.format, keep_unreadable=True)
+        return {**out, **publish.publish_facilities(read, a.output, a.pd_model, a.lgd_model, rp)}
     feed = files.read_facilities(spark, a.input, a.format, a.columns, keep_unreadable=True)
     if a.job == "split-facilities":
         jobs.split_and_write(feed, quality.FACILITY_RULES, a.output, absent_ok=ABSENT_OK)

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import params as P
+from . import registry
 from .columns import Ref, cap_then_floor, factor, first_band, floor_then_cap, has, lookup
 
 
@@ -80,6 +81,4 @@ LGD_MODELS = ("collateral", "industry", "hybrid")
 
 
 def check_lgd_model(name: str) -> str:
-    if name not in LGD_MODELS:
-        raise ValueError(f"Unknown LGD model: {name}")
-    return name
+    return registry.LGD.check(name)

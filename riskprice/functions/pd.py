@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import params as P
+from . import registry
 from .columns import clip_when, factor, first_band, has, lookup
 
 
@@ -74,10 +75,8 @@ PD_MODELS: Dict[str, Callable[[Sequence[str], P.RiskParams], Column]] = {
 
 
 def pd_model(name: str) -> Callable[[Sequence[str], P.RiskParams], Column]:
-    try:
-        return PD_MODELS[name]
-    except KeyError:
-        raise ValueError(f"Unknown PD model: {name}") from None
+    registry.PD.check(name)
+    return PD_MODELS[name] if name in PD_MODELS else registry.PD.own[name].build
 
 
 def unclipped_pd(name: str) -> Callable[[Sequence[str], P.RiskParams], Column] | None:

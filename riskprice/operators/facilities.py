@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
-from ..functions import decision, exposure, lgd, pd, returns
+from ..functions import decision, exposure, lgd, pd, registry, returns
 from ..functions.columns import compiled_apart
 
 
@@ -79,6 +79,9 @@ def put_pd(st: Stage, name: str, model: str, rp: P.RiskParams) -> None:
 def _lgd(st: Stage, model: str, rp: P.RiskParams) -> None:
     lgd.check_lgd_model(model)
     cols = st.columns
+    if model in registry.LGD.own:
+        st.put("lgd_score", registry.LGD.own[model].build(cols, rp))
+        return
     if model == "industry":
         st.put("lgd_score", lgd.industry_lgd(cols))
         return

@@ -1,4 +1,5 @@
-"""All nine PD x LGD model pairs in one scan.
+"""All PD x LGD model pairs in one scan: the nine built-in ones, and those of registered
+models.
 
 Per facility, the three PD models, the three LGD models, EAD and capital are
 computed once; the row is then replicated into its nine (pd, lgd) pairs with a
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
-from ..functions import lgd, pd
+from ..functions import lgd, pd, registry
 from . import facilities, portfolio
 
 PD_MODEL_NAMES = tuple(pd.PD_MODELS)
@@ -30,12 +31,19 @@ GRID_ROW_COLUMNS = ("model_key", "pd_model", "lgd_model", "borrower_id", "pd_sco
                     "pricing_recommendation")
 
 
+def model_pairs() -> Tuple[Tuple[str, str], ...]:
+    """The pairs of all models known now, built-in and registered."""
+    return tuple((p, l) for p in registry.PD.names() for l in registry.LGD.names())
+
+
 def _model_columns(df: DataFrame, rp: P.RiskParams) -> DataFrame:
-    """The three PDs, three LGDs, EAD and capital of each facility, one projection."""
+    """The PDs and LGDs of all models, EAD and capital of each facility."""
     cols = df.columns
     st = facilities.Stage(df)
-    for name in pd.PD_MODELS:
+    for name in registry.PD.names():
         facilities.put_pd(st, f"_pd_{name}", name, rp)
+    for name, model in registry.LGD.own.items():
+        st.put(f"_lgd_{name}", model.build(cols, rp))
     parts = lgd.collateral_parts(cols)
     st.put("_lgd_collateral", lgd.collateral_lgd(rp, lambda n: parts[n]))
     st.put("_lgd_industry", lgd.industry_lgd(cols)).next()
@@ -54,7 +62,7 @@ def model_grid_rows(df: DataFrame, rp: P.RiskParams | None = None,
         F.struct(F.lit(f"{p}_{l}").alias("model_key"), F.lit(p).alias("pd_model"),
                  F.lit(l).alias("lgd_model"), F.col(f"_pd_{p}").alias("pd_score"),
                  F.col(f"_lgd_{l}").alias("lgd_score"))
-        for p, l in MODEL_PAIRS])
+        for p, l in model_pairs()])
     carry = [c for c in df.columns if c not in ("pd_score", "lgd_score")]
     carry += [c for c in ("ccf", "ead_amount", "regulatory_capital", "economic_capital")
               if c not in carry and c in base.columns]
