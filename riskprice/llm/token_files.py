@@ -42,22 +42,23 @@ from .bpe import groups
 # merges across such a place, and what stands before it never depends on what follows.
 PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+\Z")
 # Other white space could join a run across a cut: such texts are encoded in one piece.
-OTHER_SPACE = re.compile(r"[^\S \n]")
+OTHER_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 class LibraryEncoder:
-    """The tokenizers library behind a cache of pieces. The cache has a recent and an older
-    half; a full recent half becomes the older one, so frequent pieces stay. Results do not
-    depend on it."""
+    """The tokenizers library, as it is by default, behind a cache of pieces. The cache has a
+    recent and an older half; a full recent half becomes the older one, so frequent pieces
+    stay. Results do not depend on it. A text with an added token's string, or with other
+    white space, goes to the library in one piece."""
 
-    def __init__(self, path: str, cache_size: int = 300_000):
+    def __init__(self, path: str, cache_size: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True       # their strings in a text are ordinary text
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         if sys.byteorder != "little":
             raise RuntimeError("the files are little-endian")
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         vocabulary = self.library.get_vocab()
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)     # bytes of each token
         for token, i in vocabulary.items():
@@ -68,44 +69,45 @@ class LibraryEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of the file's integer type."""
-        pieces = [[t] if OTHER_SPACE.search(t) else PIECE.findall(t) for t in texts]
+        pieces = [None if OTHER_SPACE.search(t) or any(a in t for a in self.added) else PIECE.findall(t) for t in texts]
+        wholes = iter(self._by_library([t for t, ps in zip(texts, pieces) if ps is None]))
         if len(self.recent) > self.size:
             self.recent, self.older = {}, self.recent
         recent, older = self.recent, self.older
-        new = []
-        for p in set().union(*pieces).difference(recent):
-            if (known := older.get(p)) is None:
-                new.append(p)
-            else:
-                recent[p] = known
-        recent.update(self._encode_new(new))
-        out = [b"".join(map(recent.__getitem__, ps)) for ps in pieces]
+        missing = set().union(*filter(None, pieces)).difference(recent)
+        known = missing.intersection(older)
+        recent.update(zip(known, map(older.__getitem__, known)))
+        new = list(missing.difference(known))
+        self._add_new(new)
+        get = recent.__getitem__
+        out = [next(wholes) if ps is None else b"".join(map(get, ps)) for ps in pieces]
         for piece in new:
             if len(piece) > 64:                         # long pieces hardly come back
                 del recent[piece]
         return out
 
+    def _by_library(self, texts: list[str]) -> list[bytes]:
+        return [array(self.dtype.char, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_new(self, pieces: list[str], together: int = 512) -> Iterator[tuple[str, bytes]]:
+    def _add_new(self, pieces: list[str], together: int = 512) -> None:
         """Ids of pieces. Those with white space only before something else can be laid end
         to end, which spares the library a call for each; the ids are told apart by their
         lengths in bytes."""
-        code, size = self.dtype.char, self.dtype.itemsize
-        joinable = [p for p in pieces if p[0] in " \n" and p[-1] not in " \n" and not OTHER_SPACE.search(p)]
-        rest = list(set(pieces).difference(joinable))
-        for p, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False)):
-            yield p, array(code, e.ids).tobytes()
+        recent, size = self.recent, self.dtype.itemsize
+        joinable = [p for p in pieces if p[0] in " \n" and p[-1] not in " \n"]
+        rest = [p for p in pieces if p[0] not in " \n" or p[-1] in " \n"]
+        recent.update(zip(rest, self._by_library(rest)))
         rows = [joinable[i:i + together] for i in range(0, len(joinable), together)]
-        for row, e in zip(rows, self.library.encode_batch_fast(["".join(r) for r in rows], add_special_tokens=False)):
+        joined = ["".join(r) for r in rows]
+        for row, text, e in zip(rows, joined, self.library.encode_batch_fast(joined, add_special_tokens=False)):
             ids = np.array(e.ids, self.dtype)
-            ends = np.cumsum([len(p.encode("utf-8")) for p in row])
-            cuts = (np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1) * size
-            data, at = ids.tobytes(), 0
-            for p, cut in zip(row, cuts.tolist()):
-                yield p, data[at:cut]
-                at = cut
+            ends = np.cumsum(list(map(len, row if text.isascii() else [p.encode("utf-8") for p in row])))
+            cuts = ((np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1) * size).tolist()
+            data = ids.tobytes()
+            recent.update(zip(row, [data[i:j] for i, j in zip([0, *cuts], cuts)]))
 
 
+TOGETHER = 1 << 22      # bytes of text whose pieces are looked up at a time
 _ENCODERS: dict[str, LibraryEncoder] = {}
 
 
@@ -155,7 +157,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, fol
             for b in batches:
                 ids.write(b.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
                 nulls += b.column(0).null_count
-                for raws in groups(t.as_py() for t in b.column(1)):
+                for raws in groups((t.as_py() for t in b.column(1)), TOGETHER):
                     encoded = [e + end for e in enc.encode([r.decode("utf-8") for r in raws])]
                     sizes = np.array([len(e) for e in encoded], np.int64) // enc.dtype.itemsize
                     ends = at + np.cumsum(sizes)

@@ -10,11 +10,11 @@ PATH = P.path("byte_bpe_50k.json")
 
 
 def test_round_trip(spark, make_docs, edge_rows, tmp_path):
+    edge_rows = edge_rows + [(70, "a <|endoftext|> b<|endoftext|>"), (71, "<|endoftext|>" * 3), (72, "<|endof text|>")]
     docs = make_docs(edge_rows)
     manifest = token_files.write_token_files(docs, PATH, end_id=0, folder=f"file://{tmp_path}", partitions=3)
     got = token_files.read_token_files(spark, manifest, chunk=4).collect()
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(PATH)                       # as it is: special strings in a text are special tokens
     expected, total = {}, 0
     for i, text in edge_rows:
         ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
@@ -41,5 +41,6 @@ def test_empty_table(spark, make_docs, tmp_path):
 def test_pieces_do_not_change_ids():
     enc = token_files.LibraryEncoder(PATH, cache_size=8)
     texts = ["a  b\n\n c \n", "  lead", "tail  ", "x\u00a0 y", "tab\t z", "<|endoftext|> end", "it's\n'quoted' we'll", "", " ", "w " * 200 + "v" * 100] * 3
-    plain = [np.array(e.ids, enc.dtype).tobytes() for e in enc.library.encode_batch(texts, add_special_tokens=False)]
+    untouched = Tokenizer.from_file(PATH)
+    plain = [np.array(e.ids, enc.dtype).tobytes() for e in untouched.encode_batch(texts, add_special_tokens=False)]
     assert [enc.encode([t])[0] for t in texts] == plain and enc.encode(texts) == plain
