@@ -61,6 +61,12 @@ def _ratio100(x: Column) -> Column:
     return x.cast("double") / F.lit(100).cast("double")
 
 
+ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+CUSTOMER_COLUMNS = ("c_custkey", "c_name", "c_nationkey", "c_acctbal")
+LINE_COLUMNS = ("l_orderkey", "l_partkey", "l_quantity")
+PART_COLUMNS = ("p_partkey", "p_name", "p_type", "p_retailprice")
+
+
 def region_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
@@ -73,13 +79,14 @@ def facilities(spark: SparkSession, sf_dir: str, spoiled: bool = False) -> DataF
     """The facility feed (FACILITY_SCHEMA column order).
 
     ``spoiled`` replaces a few values by out-of-domain ones, for the quarantine split."""
-    orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
-    customer = table(spark, sf_dir, "customer").select(
-        "c_custkey", "c_name", "c_nationkey", "c_acctbal")
-    j = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")) \
-              .join(region_dimension(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
+    orders = table(spark, sf_dir, "orders").select(*ORDER_COLUMNS)
+    customer = table(spark, sf_dir, "customer").select(*CUSTOMER_COLUMNS)
+    return facilities_of(orders.join(customer, F.col("o_custkey") == F.col("c_custkey")), region_dimension(spark, sf_dir), spoiled)
+
 
+def facilities_of(orders_with_customer: DataFrame, regions: DataFrame, spoiled: bool = False) -> DataFrame:
+    """The facility feed from orders that are joined with their customers."""
+    j = orders_with_customer.join(regions, F.col("c_nationkey") == F.col("n_nationkey"))
     ok, ck = F.col("o_orderkey"), F.col("o_custkey")
     credit = (F.lit(300) + (ok * F.lit(7919) + ck * F.lit(104729)) % F.lit(551)).cast("int")
     dti = _ratio100((ok * F.lit(31) + F.lit(7)) % F.lit(201))
@@ -127,9 +134,13 @@ def facilities_with_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def product_lines(spark: SparkSession, sf_dir: str, spoiled: bool = False) -> DataFrame:
     """The product feed (PRODUCT_SCHEMA column order): one row per line item."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_retailprice")
-    j = li.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    li = table(spark, sf_dir, "lineitem").select(*LINE_COLUMNS)
+    part = table(spark, sf_dir, "part").select(*PART_COLUMNS)
+    return product_lines_of(li.join(part, F.col("l_partkey") == F.col("p_partkey")), spoiled)
+
+
+def product_lines_of(j: DataFrame, spoiled: bool = False) -> DataFrame:
+    """The product feed from line items that are joined with their parts."""
     t = F.col("p_type")
     category = (F.when(t.isin(*PREMIUM_TYPES), F.lit("premium"))
                  .when(t.isin(*STANDARD_TYPES), F.lit("standard"))
