@@ -30,6 +30,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,13 @@ PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+\Z")
 OTHER_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
+# An added token's string, and what makes a text uneven: neighbouring, leading or trailing
+# white space, white space other than spaces and line feeds, added tokens, no text at all.
+SPECIAL = re.compile(r"<\|")
+UNEVEN = (r"\A\z|[ \n][ \n]|\A[ \n]|[ \n]\z|<\||[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
+          r"\x{202f}\x{205f}\x{3000}]")
+
+
 class LibraryEncoder:
     """The tokenizers library, as it is by default, behind a cache of pieces. The cache has a
     recent and an older half; a full recent half becomes the older one, so frequent pieces
@@ -59,6 +67,8 @@ class LibraryEncoder:
         if sys.byteorder != "little":
             raise RuntimeError("the files are little-endian")
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        if any(not OTHER_SPACE.search(a) and not SPECIAL.search(a) for a in self.added):
+            raise ValueError("an added token is not told by its marks")
         vocabulary = self.library.get_vocab()
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)     # bytes of each token
         for token, i in vocabulary.items():
@@ -69,18 +79,55 @@ class LibraryEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of the file's integer type."""
-        pieces = [None if OTHER_SPACE.search(t) or any(a in t for a in self.added) else PIECE.findall(t) for t in texts]
-        wholes = iter(self._by_library([t for t, ps in zip(texts, pieces) if ps is None]))
         if len(self.recent) > self.size:
             self.recent, self.older = {}, self.recent
+        column = pa.array(texts, pa.large_string())
+        plain = pc.invert(pc.match_substring_regex(column, UNEVEN)).to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(texts)
+        for i, ids in zip(np.flatnonzero(plain).tolist(), self._even(column.filter(pa.array(plain)))):
+            out[i] = ids
+        for i in np.flatnonzero(~plain).tolist():
+            out[i] = self._uneven(texts[i])
+        return out
+
+    def _even(self, column: pa.Array) -> Iterator[bytes]:
+        """Texts whose white space is single spaces and line feeds between words: cut, told
+        apart and put together again column by column."""
+        if not len(column):
+            return
+        parts = pc.split_pattern(pc.replace_substring(column, "\n", " \n"), " ")
+        first = parts.offsets.to_numpy()[:-1] - parts.offsets[0].as_py()
+        words = parts.flatten().dictionary_encode()
+        place, different = words.indices.to_numpy(), words.dictionary.to_pylist()
+        # a word has the space before it that it was cut at, unless a line feed or nothing is there
+        pieces = [w if w[:1] == "\n" else " " + w for w in different]
+        beginnings = [different[i] for i in place[first].tolist()]
+        ids = self._lookup([*pieces, *beginnings])
+        pool = np.frombuffer(b"".join(ids), self.dtype)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        starts = np.cumsum(sizes) - sizes
+        place = place.astype(np.int64)
+        place[first] = np.arange(len(pieces), len(ids))
+        n = sizes[place]
+        ends = np.cumsum(n)
+        data = pool[np.repeat(starts[place] - ends + n, n) + np.arange(n.sum())].tobytes()
+        bounds = (np.append((ends - n)[first], ends[-1]) * self.dtype.itemsize).tolist()
+        yield from (data[i:j] for i, j in zip(bounds, bounds[1:]))
+
+    def _uneven(self, text: str) -> bytes:
+        """A text with other or more white space, or with an added token's string."""
+        if OTHER_SPACE.search(text) or any(a in text for a in self.added):
+            return self._by_library([text])[0]
+        return b"".join(self._lookup(PIECE.findall(text)))
+
+    def _lookup(self, pieces: list[str]) -> list[bytes]:
         recent, older = self.recent, self.older
-        missing = set().union(*filter(None, pieces)).difference(recent)
+        missing = set(pieces).difference(recent)
         known = missing.intersection(older)
         recent.update(zip(known, map(older.__getitem__, known)))
         new = list(missing.difference(known))
         self._add_new(new)
-        get = recent.__getitem__
-        out = [next(wholes) if ps is None else b"".join(map(get, ps)) for ps in pieces]
+        out = list(map(recent.__getitem__, pieces))
         for piece in new:
             if len(piece) > 64:                         # long pieces hardly come back
                 del recent[piece]
@@ -94,8 +141,8 @@ class LibraryEncoder:
         to end, which spares the library a call for each; the ids are told apart by their
         lengths in bytes."""
         recent, size = self.recent, self.dtype.itemsize
-        joinable = [p for p in pieces if p[0] in " \n" and p[-1] not in " \n"]
-        rest = [p for p in pieces if p[0] not in " \n" or p[-1] in " \n"]
+        joinable = [p for p in pieces if p[:1] in (" ", "\n") and p[-1] not in " \n"]
+        rest = list(set(pieces).difference(joinable))
         recent.update(zip(rest, self._by_library(rest)))
         rows = [joinable[i:i + together] for i in range(0, len(joinable), together)]
         joined = ["".join(r) for r in rows]

@@ -44,3 +44,15 @@ def test_pieces_do_not_change_ids():
     untouched = Tokenizer.from_file(PATH)
     plain = [np.array(e.ids, enc.dtype).tobytes() for e in untouched.encode_batch(texts, add_special_tokens=False)]
     assert [enc.encode([t])[0] for t in texts] == plain and enc.encode(texts) == plain
+
+
+def test_even_and_uneven_texts(monkeypatch):
+    import random
+    rng = random.Random(8)
+    parts = ["word", "w", " ", "\n", "é", "東京", "<", "|", "<|endoftext|>", "12", "'s", "don't", "😀", "\t", "　", ".", "\x1f"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 25))) for _ in range(600)]
+    texts += [" ".join(rng.choice(parts[:2] + parts[4:8]) for _ in range(20)) + "\n" + "x y" for _ in range(50)]
+    untouched = Tokenizer.from_file(PATH)
+    enc = token_files.LibraryEncoder(PATH, cache_size=40)
+    plain = [np.array(e.ids, enc.dtype).tobytes() for e in untouched.encode_batch(texts, add_special_tokens=False)]
+    assert enc.encode(texts) == plain and [enc.encode([t])[0] for t in texts[:60]] == plain[:60]
