@@ -161,7 +161,8 @@ def _sample(labels: DataFrame, max_documents: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 3000) -> LineCrf:
-    """Train on a bounded, hash-chosen sample of the labelled documents (whole texts)."""
+    """Train on a bounded, hash-chosen sample of the labelled documents (whole texts); a
+    doc_id that comes in several rows counts once, by the smallest hash of its text."""
     common.prepare(docs.sparkSession)
 
     def run(batches):
@@ -178,7 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 3000) -> LineCr
 
     chosen = F.broadcast(_sample(labels, max_documents))            # max_documents rows at most
     rows = docs.select("doc_id", common.text_of("text").alias("text")).join(chosen, F.col("doc_id") == F.col("_doc")) \
-               .select("text", "_quality").mapInArrow(run, "x binary, y array<int>").collect()
+               .groupBy("doc_id", "_quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("text"))).alias("t")) \
+               .select(F.col("t.text").alias("text"), "_quality").mapInArrow(run, "x binary, y array<int>").collect()
     rows.sort(key=lambda r: (len(r["y"]), bytes(r["x"])))           # same model whatever the partitions
     return train([(np.frombuffer(r["x"], np.float32).reshape(-1, len(NAMES)).astype(float), np.array(r["y"])) for r in rows])
 

@@ -10,12 +10,13 @@ be below zero, and where a batch drives it below zero the step undoes that part
 (Kiryo et al., 2017). The classifiers are linear over the presence of words, trained in
 numpy with the logistic loss; their mean logit is the score. Only words and
 beginnings of words whose share among the positives is ``min_z`` standard errors above that
-among the unlabelled have a weight, which keeps a few positives from being learnt by heart.
+among all documents have a weight, which keeps a few positives from being learnt by heart.
 
 ``prior`` is the share of toxic documents among the labelled ones of the training part.
-Training reads at most ``max_positive`` and ``max_unlabelled`` documents, chosen by a hash
-of their id, and whole texts of each; only hashes of their words reach the driver. Every
-document is scored by its whole text.
+Terms are counted over all documents of that part. The weights are trained on at most
+``max_positive`` and ``max_unlabelled`` documents, chosen by a hash of their id, and whole
+texts of each; only hashes of the chosen terms reach the driver. Every document is scored by
+its whole text.
 """
 
 from __future__ import annotations
@@ -68,26 +69,36 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
+def stands_out(counts: np.ndarray, a: int, everywhere: np.ndarray, b: int) -> np.ndarray:
+    """By how many standard errors each term's share among ``a`` positives is above its share
+    among ``b`` documents."""
+    pooled = (counts + everywhere + 1) / (a + b + 2)
+    return (counts / a - everywhere / b) / np.sqrt(pooled * (1 - pooled) * (1 / a + 1 / b))
+
+
+def _chance(prior: float) -> Model:
+    return Model(np.empty(0, np.uint64), np.empty(0), float(np.log(prior / (1 - prior))))
+
+
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, models: int = 3, epochs: int = 150,
-          min_documents: int = 4, min_z: float = 4.0, rate: float = 0.1, penalty: float = 1e-5) -> Model:
+          min_documents: int = 4, min_z: float = 4.0, rate: float = 0.1, penalty: float = 1e-5,
+          keys: np.ndarray | None = None) -> Model:
     """Fit ``models`` classifiers that differ in the order of their batches and average
-    them. Only terms of ``min_documents`` positives or more that stand out by ``min_z``
-    standard errors have a weight. Without
-    positives or unlabelled texts the score is the prior everywhere."""
+    them. Only the sorted ``keys`` have a weight; without them, those of ``min_documents``
+    positives or more that stand out by ``min_z`` standard errors among the texts given.
+    Without positives or unlabelled texts the score is the prior everywhere."""
     prior = min(max(prior, 1e-4), 1 - 1e-4)
     if not positive or not unlabelled:
-        return Model(np.empty(0, np.uint64), np.empty(0), float(np.log(prior / (1 - prior))))
-    keys, counts = np.unique(np.concatenate(positive), return_counts=True)
-    keys, counts = keys[counts >= min_documents], counts[counts >= min_documents]
-    everywhere, total = np.unique(np.concatenate(unlabelled), return_counts=True)
-    common_counts = np.zeros(len(keys))
-    if len(everywhere):
-        at = np.minimum(np.searchsorted(everywhere, keys), len(everywhere) - 1)
-        common_counts = np.where(everywhere[at] == keys, total[at], 0)
-    a, b = len(positive), len(unlabelled)
-    pooled = (counts + common_counts + 1) / (a + b + 2)
-    z = (counts / a - common_counts / b) / np.sqrt(pooled * (1 - pooled) * (1 / a + 1 / b))
-    keys = keys[z >= min_z]
+        return _chance(prior)
+    if keys is None:
+        keys, counts = np.unique(np.concatenate(positive), return_counts=True)
+        keys, counts = keys[counts >= min_documents], counts[counts >= min_documents]
+        everywhere, total = np.unique(np.concatenate(unlabelled), return_counts=True)
+        common_counts = np.zeros(len(keys))
+        if len(everywhere):
+            at = np.minimum(np.searchsorted(everywhere, keys), len(everywhere) - 1)
+            common_counts = np.where(everywhere[at] == keys, total[at], 0)
+        keys = keys[stands_out(counts, len(positive), common_counts, len(unlabelled)) >= min_z]
 
     def rows(texts):
         """(start of each text, columns): a sparse 0/1 matrix by rows."""
@@ -148,32 +159,80 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 3_000, max_unlabelled: int = 9_000) -> Model:
-    """Train on documents outside the held-out part. A doc_id with several labels is
-    toxic if any of them says so; null ids and null labels teach nothing."""
+def _one_text_an_id(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(doc_id, text, the other columns of ``chosen``) of the chosen ids, which are bounded in
+    number: one row an id, that of the smallest text hash."""
+    rest = [c for c in chosen.columns if c != "_doc"]
+    rows = docs.select("doc_id", common.text_of("text").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_doc"))
+    return rows.groupBy("doc_id", *rest).agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("text"))).alias("t")) \
+               .select("doc_id", F.col("t.text").alias("text"), *rest)
+
+
+def select_terms(docs: DataFrame, positives: DataFrame, min_documents: int, min_z: float) -> np.ndarray:
+    """Sorted hashes of the terms of ``min_documents`` positives or more whose share among
+    them stands out by ``min_z`` standard errors over that among all documents. Counted by
+    Spark: over the bounded positives, then over every document for the terms that the first
+    count leaves."""
+    def terms(batches):
+        for b in batches:
+            found = [features(t.as_py()) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(common.signed(np.concatenate([*found, np.empty(0, np.uint64)])))], names=["term"])
+
+    counted = positives.select("text").mapInArrow(terms, "term long").groupBy("term").agg(F.count(F.lit(1)).alias("n")) \
+                       .where(F.col("n") >= min_documents).toArrow()
+    keys, counts = counted["term"].to_numpy().view(np.uint64), counted["n"].to_numpy()
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    if not len(keys):
+        return keys
+
+    def everywhere(batches):
+        import xxhash
+        h, place = xxhash.xxh3_64_intdigest, {int(k): i for i, k in enumerate(keys.tolist())}
+        total, n = np.zeros(len(keys), np.int64), 0
+        for b in batches:
+            for t in b.column(0):
+                n += 1
+                found = {i for w in terms_of(t.as_py().decode("utf-8", "replace")) if (i := place.get(h(w.encode(), 0))) is not None}
+                total[list(found)] += 1
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], names=["at", "n"])
+
+    rows = docs.select(common.text_of("text").alias("text")).mapInArrow(everywhere, "at long, n long") \
+               .groupBy("at").agg(F.sum("n").alias("n")).toArrow()          # a row a term at most; -1: the documents
+    at, n = rows["at"].to_numpy(), rows["n"].to_numpy()
+    total = np.zeros(len(keys))
+    total[at[at >= 0]] = n[at >= 0]
+    documents = int(n[at < 0].sum())
+    return keys[stands_out(counts, positives.count(), total, max(documents, 1)) >= min_z]
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 6_000, max_unlabelled: int = 18_000, min_documents: int = 4,
+        min_z: float = 4.0) -> Model:
+    """Train on documents outside the held-out part: the terms are chosen by counts over all
+    of them, the weights come from at most ``max_positive`` and ``max_unlabelled`` documents.
+    A doc_id with several labels is toxic if any of them says so; one with several rows
+    counts once; null ids and null labels teach nothing."""
     common.prepare(docs.sparkSession)
     usable = F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
     known = labels.where(usable & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = known.agg(F.avg("toxic").alias("prior")).first()
-    first = lambda ids, n: ids.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    chosen = first(known.where("toxic = 1"), max_positive).withColumn("_positive", F.lit(True)) \
-        .unionByName(first(docs.where(usable), max_unlabelled).withColumn("_positive", F.lit(False))) \
-        .withColumnRenamed("doc_id", "_doc")
+    first = lambda ids, n: ids.select(F.col("doc_id").alias("_doc")).distinct().orderBy(F.xxhash64("_doc"), "_doc").limit(n)
+    positives = common.cut(_one_text_an_id(docs, first(known.where("toxic = 1"), max_positive)))
+    keys = select_terms(docs.where(usable), positives, min_documents, min_z)
 
     def run(batches):
         for b in batches:
-            found = [features(t.as_py()).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_pydict({"x": pa.array(found, pa.binary()), "positive": b.column(0)})
-
-    rows = docs.select("doc_id", common.text_of("text").alias("text")) \
-               .join(F.broadcast(chosen), F.col("doc_id") == F.col("_doc")) \
-               .select("_positive", "text").mapInArrow(run, "x binary, positive boolean").collect()
-    held = {True: [], False: []}
-    while rows:                                 # the collected rows go as they are taken over
-        r = rows.pop()
-        held[r["positive"]].append(bytes(r["x"]))
-    part = lambda p: [np.frombuffer(x, np.uint64) for x in sorted(held[p])]
-    return train(part(True), part(False), counts["prior"] or 0.0)
+            found = [f[np.isin(f, keys, assume_unique=True)].tobytes() for f in (features(t.as_py()) for t in b.column(0))]
+            yield pa.RecordBatch.from_pydict({"x": pa.array(found, pa.binary())})
+
+    def sparse(texts: DataFrame) -> list[np.ndarray]:
+        """The chosen terms of each text, in an order that does not depend on partitions."""
+        rows = texts.select("text").mapInArrow(run, "x binary").toArrow()["x"]
+        return [np.frombuffer(x, np.uint64) for x in sorted(r.as_py() for r in rows)]
+
+    unlabelled = _one_text_an_id(docs, first(docs.where(usable), max_unlabelled))
+    return train(sparse(positives), sparse(unlabelled), counts["prior"] or 0.0, keys=keys)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
