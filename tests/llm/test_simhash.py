@@ -60,6 +60,34 @@ def test_forest_uses_no_more_edges_than_needed():
     assert len(simhash.forest(fp, None, 3)) == 63
 
 
+def test_the_pivot_table_does_the_discarding():
+    """Among unrelated fingerprints in buckets of every size nearly no pair is left to be
+    verified that is not a link, and no link is lost."""
+    rng = np.random.default_rng(11)
+    fp = rng.integers(0, 2**64, 3000, dtype=np.uint64)
+    near = fp[:200] ^ np.left_shift(np.uint64(7), rng.integers(0, 61, 200).astype(np.uint64))       # three bits away
+    fp = np.concatenate([fp, near])
+    for size in (2, 5, 400, len(fp)):
+        bucket = rng.permutation(len(fp)) // size
+        bucket[-200:] = bucket[:200]                        # each near copy with its original
+        counts = {}
+        edges = simhash.forest(fp, None, 3, bucket, counts=counts)
+        i, j = np.triu_indices(len(fp), 1)
+        same = (bucket[i] == bucket[j]) & (np.bitwise_count(fp[i] ^ fp[j]) <= 3)
+        assert counts["linked"] == same.sum() >= 200
+        assert len(edges) <= counts["linked"]
+        unrelated = counts["pairs"] - counts["linked"]
+        assert counts["verified"] - counts["linked"] <= 0.001 * unrelated + 3
+        assert counts["swept"] < 0.7 * counts["pairs"] + 200
+
+
+def test_pivot_distances_bound_the_fingerprints_distance():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 2**64, 500, dtype=np.uint64)
+    b = a ^ np.uint64(0x8000_0000_0000_0003)
+    assert np.abs(simhash.pivot_table(a) - simhash.pivot_table(b)).max() <= 3
+
+
 def test_drop(make_docs, edge_rows):
     docs = make_docs(edge_rows)
     kept = simhash.drop_near_duplicates(docs)
