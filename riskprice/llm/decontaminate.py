@@ -1,23 +1,31 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
-
-1. The test items are read in blocks of bounded size. The n-grams of a block's items are
-   a table that every task gets (``block_words`` bounds it); one pass over the whole texts
-   finds where documents have such n-grams.
-2. Every n-gram of an item is a seed in every document, however many documents have it:
-   how often the others quote an item says nothing about this one.
-3. Each stretch of seeds is aligned with its item, then what is left and right of a passage found,
-   and a local alignment of item and passage (match 2, mismatch -1, gap -1) scores copies with changed, missing or added words. A
-   document is contaminated if the score reaches ``similarity`` of a full match, or that of
-   ``passage`` equal words in a row. An upper bound of the score (``within_reach``) spares
-   the alignment where it can't reach that, so nothing is lost by it.
+"""Benchmark decontamination: rare seeds, then Smith-Waterman alignment.
+
+1. The test items are read in blocks of bounded size (``block_words``); a block is a table
+   that every task gets, and its findings are written before the next block is read.
+2. Seeds are pairs of words that stand next to each other or with one word between. A local
+   alignment (match 2, mismatch -1, gap -1) of score s with m matches has at most 2m - s
+   errors, so at least s / 2 - 1 of its matches are followed by the next one with no error
+   or one between: both are then a seed pair in item and document alike.
+3. Rarity: a first pass over the corpus counts in how many documents each pair stands. Of
+   every item the most frequent pairs are left out, as long as they begin at fewer words of
+   the item than the number above: an alignment that reaches the score has a rarer one, and
+   only the rarer ones join documents to items.
+4. The joined item and document are aligned where enough of its pairs, all of them now,
+   stand close together, left and right of a passage found too. An upper bound of the score
+   (``within_reach``) spares the alignment where it can't reach the need.
+
+So every alignment that scores enough is found, copies with a word changed, added or missing
+at every other word included. A document is contaminated if the score reaches ``similarity``
+of a full match, or that of ``passage`` equal words in a row.
 
 Words are lower-cased, cut at white space, and lose marks at their ends. Items of fewer
-than ``min_item_words`` words have too little for an alignment to tell from chance: with
-``short_items`` these are looked for as exact sequences of words, else not at all.
+than ``min_item_words`` words have too little for an alignment to tell from chance: these
+are looked for as exact sequences of words, in the same pass.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -37,37 +45,84 @@ def words_of(text: str) -> list[str]:
 
 
 class Block(NamedTuple):
-    """Items of one block: vocabulary, and n-grams by levels (level k: sorted codes
-    (k-1 words' number * vocabulary + word); a code's place is its number)."""
+    """Items of one block, and what finds them. Pairs are codes first word * vocabulary +
+    second; a code's place among ``pairs`` is its number. The items (places in the block) of
+    pair g are ``items_of[first[g]:first[g + 1]]``, and likewise for its rare items."""
     vocabulary: dict[str, int]
-    levels: list[np.ndarray]
     items: list[int]
-    words: list[np.ndarray]     # word numbers of each item
-    grams: list[np.ndarray]     # n-gram numbers of each item
+    words: list[np.ndarray]             # word numbers of each item
+    pairs: np.ndarray
+    first: np.ndarray
+    items_of: np.ndarray
+    need: np.ndarray                    # score that makes a passage
+    short: dict[tuple[str, ...], list[int]]     # items that are looked for as they are
+
 
+def _close(words: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, code) of the pairs of neighbours and of those with one word between; words of
+    no item (-1) make no pair."""
+    out = []
+    for step in (1, 2):
+        a, b = words[:len(words) - step], words[step:]
+        at = np.flatnonzero((a >= 0) & (b >= 0)) if len(words) > step else np.empty(0, np.int64)
+        out.append((at, a[at] * base + b[at]))
+    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
 
-def build_block(items: list[tuple[int, list[str]]], n: int) -> Block:
+
+def build_block(items: list[tuple[int, list[str]]], similarity: float, passage: int, short: dict) -> Block:
     vocabulary: dict[str, int] = {}
-    numbers = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int64) for _, words in items]
-    levels, current = [], numbers
-    for k in range(1, n):
-        codes = [c[:len(c) - 1] * len(vocabulary) + w[k:] for c, w in zip(current, numbers)]
-        levels.append(np.unique(np.concatenate(codes)))
-        current = [np.searchsorted(levels[-1], c) for c in codes]
-    return Block(vocabulary, levels, [i for i, _ in items], numbers, current)
-
-
-def find_grams(ids: np.ndarray, block: Block) -> np.ndarray:
-    """The block's n-gram that starts at each position (-1: none)."""
-    current = ids
-    for k, codes in enumerate(block.levels, 1):
-        if len(current) < 2:
-            return np.empty(0, np.int64)
-        last = ids[k:]
-        code = np.where((current[:-1] >= 0) & (last >= 0), current[:-1] * len(block.vocabulary) + last, -1)
-        at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-        current = np.where(codes[at] == code, at, -1)
-    return current
+    words = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in ws], np.int64) for _, ws in items]
+    own = [np.unique(_close(w, len(vocabulary))[1]) for w in words]
+    codes, place = np.concatenate([*own, np.empty(0, np.int64)]), np.repeat(np.arange(len(own)), [len(c) for c in own])
+    pairs, number = np.unique(codes, return_inverse=True)
+    order = np.argsort(number, kind="stable")
+    need = np.array([math.ceil(min(similarity * len(w), passage) * MATCH) for w in words], np.int64)
+    return Block(vocabulary, [i for i, _ in items], words, pairs, np.searchsorted(number[order], np.arange(len(pairs) + 1)),
+                 place[order], need, short)
+
+
+def least_pairs(need: np.ndarray) -> np.ndarray:
+    """How many close pairs an alignment of that score has at least."""
+    return np.maximum(-(-need // 2) - 1, 1)
+
+
+def rare_pairs(block: Block, documents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, items): the items that each pair is a rare seed of; ``documents`` is the number
+    of documents that each pair stands in."""
+    seeds, places = [], []
+    for k, words in enumerate(block.words):
+        at, codes = _close(words, len(block.vocabulary))
+        number = np.searchsorted(block.pairs, codes)
+        spare, covered, left_out = int(least_pairs(block.need[k])) - 1, set(), set()
+        own = np.unique(number)
+        for g in own[np.argsort(-documents[own], kind="stable")].tolist():
+            more = covered.union(at[number == g].tolist())
+            if len(more) > spare:
+                break                               # one more and an alignment could do without the others
+            covered = more
+            left_out.add(g)
+        rare = [g for g in own.tolist() if g not in left_out]
+        seeds += rare
+        places += [k] * len(rare)
+    seeds_, places_ = np.array(seeds, np.int64), np.array(places, np.int64)
+    order = np.argsort(seeds_, kind="stable")
+    return np.searchsorted(seeds_[order], np.arange(len(block.pairs) + 1)), places_[order]
+
+
+def find_pairs(ids: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """(place, number) of the block's pairs in a document."""
+    at, codes = _close(ids, len(block.vocabulary))
+    if not len(at) or not len(block.pairs):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    number = np.minimum(np.searchsorted(block.pairs, codes), len(block.pairs) - 1)
+    known = block.pairs[number] == codes
+    return at[known], number[known]
+
+
+def _spread(first: np.ndarray, values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the key, value) for every value of every key."""
+    n = first[keys + 1] - first[keys]
+    return np.repeat(np.arange(len(keys)), n), values[np.arange(n.sum()) + np.repeat(first[keys] - np.cumsum(n) + n, n)]
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -94,54 +149,54 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best, int(j), end
 
 
-def _blocks(benchmark: DataFrame, n: int, min_item_words: int, block_words: int) -> Iterator[Block]:
-    held, size = [], 0
+def _blocks(benchmark: DataFrame, min_item_words: int, block_words: int, similarity: float, passage: int) -> Iterator[Block]:
+    held, short, size = [], {}, 0
     for r in benchmark.where("item_id IS NOT NULL").select("item_id", "text").toLocalIterator():
         words = words_of(r["text"] or "")
-        if len(words) < max(n, min_item_words):
+        if not words:
             continue
-        if held and size + len(words) > block_words:
-            yield build_block(sorted(held), n)
-            held, size = [], 0
-        held.append((r["item_id"], words))
+        if size and size + len(words) > block_words:
+            yield build_block(sorted(held), similarity, passage, short)
+            held, short, size = [], {}, 0
+        if len(words) < min_item_words:
+            short.setdefault(tuple(words), []).append(r["item_id"])
+        else:
+            held.append((r["item_id"], words))
         size += len(words)
-    if held:
-        yield build_block(sorted(held), n)
-
-
-class Seeds(NamedTuple):
-    """The items (places in the block) of n-gram g are items[first[g]:first[g + 1]]; words and
-    pairs are the sorted words and word pairs (codes) of each item."""
-    first: np.ndarray
-    items: np.ndarray
-    words: list[np.ndarray]
-    pairs: list[np.ndarray]
-
+    if size:
+        yield build_block(sorted(held), similarity, passage, short)
 
-def _seeds(block: Block) -> Seeds:
-    own = [np.unique(g) for g in block.grams]
-    grams, items = np.concatenate(own), np.repeat(np.arange(len(own)), [len(g) for g in own])
-    order = np.argsort(grams, kind="stable")
-    first = np.searchsorted(grams[order], np.arange(len(block.levels[-1]) + 1 if block.levels else len(block.vocabulary) + 1))
-    return Seeds(first, items[order], [np.unique(w) for w in block.words],
-                 [np.unique(w[:-1] * len(block.vocabulary) + w[1:]) for w in block.words])
 
-
-def _stretches(grams: np.ndarray, seeds: Seeds, sizes: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(item, first, last seed) of each stretch of an item's seeds without a gap of over
-    four times the item's length; ``grams``: the n-gram at each word of a document, or -1."""
-    starts = np.flatnonzero(grams >= 0)
-    if not len(starts):
+def _stretches(ids: np.ndarray, block: Block, rare: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[int, int, int]]:
+    """(item, first, last pair) of each stretch of a document where an item that a rare seed
+    joins has as many pairs as its least alignment, close enough together."""
+    at, number = find_pairs(ids, block)
+    if not len(at):
+        return
+    joined = np.zeros(len(block.words), bool)
+    joined[_spread(*rare, np.unique(number))[1]] = True
+    if not joined.any():
         return
-    g = grams[starts]
-    n = seeds.first[g + 1] - seeds.first[g]
-    at = np.repeat(starts, n)
-    item = seeds.items[np.arange(n.sum()) + np.repeat(seeds.first[g] - np.cumsum(n) + n, n)]
-    order = np.argsort(item, kind="stable")
-    item, at = item[order], at[order]
-    new = np.flatnonzero((item[1:] != item[:-1]) | (np.diff(at) > 4 * sizes[item[1:]])) + 1
-    first, last = np.concatenate(([0], new)), np.append(new, len(item)) - 1
-    yield from zip(item[first].tolist(), at[first].tolist(), at[last].tolist())
+    which, item = _spread(block.first, block.items_of, number)
+    which, item = which[joined[item]], item[joined[item]]
+    spot = np.unique(item * (len(ids) + 1) + at[which])         # by item, then by place, each place once
+    item, at = spot // (len(ids) + 1), spot % (len(ids) + 1)
+    k = least_pairs(block.need)[item]
+    sizes = np.array([len(w) for w in block.words])
+    span = 3 * sizes[item] - block.need[item]                   # words of the longest alignment
+    end = np.arange(len(item)) + k - 1
+    full = end < len(item)
+    full[full] = (item[end[full]] == item[full]) & (at[end[full]] - at[full] <= span[full])
+    cover = np.zeros(len(item) + 1, np.int64)
+    np.add.at(cover, np.flatnonzero(full), 1)
+    np.add.at(cover, end[full] + 1, -1)
+    good = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
+    if not len(good):
+        return
+    item, at, span = item[good], at[good], span[good]
+    new = np.flatnonzero((item[1:] != item[:-1]) | (np.diff(at) > span[1:])) + 1
+    begin, last = np.concatenate(([0], new)), np.append(new, len(item)) - 1
+    yield from zip(item[begin].tolist(), at[begin].tolist(), at[last].tolist())
 
 
 def _in(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -182,89 +237,85 @@ def _passages(item: np.ndarray, near: np.ndarray, words: np.ndarray, pairs: np.n
                 open_parts += [(a + i, a + i + start), (a + i + end, a + j)]
 
 
-def _align_all(docs: DataFrame, block: Block, similarity: float, passage: int) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()),
-                        ("start", pa.int32()), ("end", pa.int32())])
-    seeds, sizes = _seeds(block), np.array([len(w) for w in block.words])
+FOUND = "doc_id long, item_id long, similarity double, start int, end int"
 
-    def one(ids: np.ndarray):
-        for k, first, last in _stretches(find_grams(ids, block), seeds, sizes):
-            item = block.words[k]
-            need = min(similarity * len(item), passage) * MATCH
-            at = max(first - 2 * len(item), 0)
-            near = ids[at:last + 2 * len(item)]
-            for score, start, end in _passages(item, near, seeds.words[k], seeds.pairs[k], len(block.vocabulary), need):
-                yield block.items[k], score / (MATCH * len(item)), at + start, at + end
 
+def _documents_with(texts: DataFrame, block: Block) -> np.ndarray:
+    """In how many documents each pair of the block stands: a number a pair, summed within
+    each partition before it is exchanged."""
     def run(batches):
-        get = block.vocabulary.get
+        get, total = block.vocabulary.get, np.zeros(len(block.pairs), np.int64)
         for b in batches:
-            out = []
-            for doc, raw in zip(b.column(0).to_pylist(), b.column(1)):
+            for raw in b.column(1):
                 ids = np.array([get(w, -1) for w in words_of(raw.as_py().decode("utf-8", "replace"))], np.int64)
-                out += [(doc, *found) for found in one(ids)]
-            if out:
-                yield common.batch(schema, *zip(*out))
+                total[np.unique(find_pairs(ids, block)[1])] += 1
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
 
-    return docs.select("doc_id", common.text_of("text").alias("text")).mapInArrow(
-        run, "doc_id long, item_id long, similarity double, start int, end int")
+    rows = texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(block.pairs), np.int64)
+    out[rows["pair"].to_numpy()] = rows["n"].to_numpy()
+    return out
 
 
-def _short_blocks(benchmark: DataFrame, below: int, block_words: int) -> Iterator[dict[tuple[str, ...], list[int]]]:
-    """Items of 1 to ``below - 1`` words by their words, in blocks."""
-    held, size = {}, 0
-    for r in benchmark.where("item_id IS NOT NULL").select("item_id", "text").toLocalIterator():
-        words = tuple(words_of(r["text"] or ""))
-        if not 0 < len(words) < below:
-            continue
-        if held and size + len(words) > block_words:
-            yield held
-            held, size = {}, 0
-        held.setdefault(words, []).append(r["item_id"])
-        size += len(words)
-    if held:
-        yield held
-
-
-def _exact(docs: DataFrame, items: dict[tuple[str, ...], list[int]]) -> DataFrame:
-    """Every place where a document has the words of an item, as findings of similarity 1."""
+def _find(texts: DataFrame, block: Block) -> DataFrame:
+    """The findings of one block."""
+    rare = rare_pairs(block, _documents_with(texts, block))
+    base = len(block.vocabulary)
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()),
                         ("start", pa.int32()), ("end", pa.int32())])
+    words_in = [np.unique(w) for w in block.words]
+    pairs_in = [np.unique(w[:-1] * base + w[1:]) for w in block.words]
     lengths: dict[str, set[int]] = {}
-    for item in items:
+    for item in block.short:
         lengths.setdefault(item[0], set()).add(len(item))
 
+    def copies(ids: np.ndarray):
+        for k, first, last in _stretches(ids, block, rare):
+            item = block.words[k]
+            margin = 3 * len(item)
+            at = max(first - margin, 0)
+            near = ids[at:last + margin + 2]
+            for score, start, end in _passages(item, near, words_in[k], pairs_in[k], base, int(block.need[k])):
+                yield block.items[k], score / (MATCH * len(item)), at + start, at + end
+
+    def exact(words: list[str]):
+        for i, w in enumerate(words):
+            for m in lengths.get(w, ()):
+                for item in block.short.get(tuple(words[i:i + m]), ()) if i + m <= len(words) else ():
+                    yield item, 1.0, i, i + m
+
     def run(batches):
+        get = block.vocabulary.get
         for b in batches:
             out = []
             for doc, raw in zip(b.column(0).to_pylist(), b.column(1)):
                 words = words_of(raw.as_py().decode("utf-8", "replace"))
-                out += [(doc, item, 1.0, i, i + m) for i, w in enumerate(words) for m in lengths.get(w, ()) if i + m <= len(words)
-                        for item in items.get(tuple(words[i:i + m]), ())]
+                if block.words:
+                    out += [(doc, *found) for found in copies(np.array([get(w, -1) for w in words], np.int64))]
+                if lengths:
+                    out += [(doc, *found) for found in exact(words)]
             if out:
                 yield common.batch(schema, *zip(*out))
 
-    return docs.select("doc_id", common.text_of("text").alias("text")).mapInArrow(
-        run, "doc_id long, item_id long, similarity double, start int, end int")
+    return texts.mapInArrow(run, FOUND)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, similarity: float = 0.6, passage: int = 24,
-          min_item_words: int = 8, block_words: int = 500_000, short_items: bool = False) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.6, passage: int = 24,
+          min_item_words: int = 8, block_words: int = 500_000) -> DataFrame:
     """(doc_id, item_id, similarity, start, end) of every passage found: words start to end
-    (exclusive) of the document align with the item. Null texts have no words; rows with a
-    null doc_id can't be named and are left out; repeated rows give repeated results."""
+    (exclusive) of the document align with the item, or are its words where it has fewer than
+    ``min_item_words``. Null texts have no words; rows with a null doc_id can't be named and
+    are left out, as are items without an id or words; repeated rows give repeated results.
+    Empty tables give no rows. Other columns are not read."""
     spark = docs.sparkSession
     common.prepare(spark)
-    found = None
-    for block in _blocks(benchmark, n, min_item_words, block_words):
-        part = _align_all(docs.where("doc_id IS NOT NULL"), block, similarity, passage)
-        found = part if found is None else found.unionByName(part)
-    for items in _short_blocks(benchmark, max(n, min_item_words), block_words) if short_items else ():
-        part = _exact(docs.where("doc_id IS NOT NULL"), items)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, similarity double, start int, end int")
-    return found
+    texts = docs.where("doc_id IS NOT NULL").select("doc_id", common.text_of("text").alias("text"))
+    folder = f"{common.checkpoint_dir(spark).rstrip('/')}/leaks-{common.unique()}"
+    spark.createDataFrame([], FOUND).write.parquet(folder)
+    for block in _blocks(benchmark, min_item_words, block_words, similarity, passage):
+        _find(texts, block).write.mode("append").parquet(folder)        # a block is let go before the next is read
+    return spark.read.schema(FOUND).parquet(folder)
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

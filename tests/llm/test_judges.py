@@ -152,7 +152,7 @@ def test_alignment():
 def test_copies_and_edited_copies(spark, make_docs, edge_rows):
     rng = random.Random(3)
     items = [" ".join(f"t{i}x{j}" if j % 4 else "the" for j in range(24)) for i in range(30)]
-    bench = spark.createDataFrame([*enumerate(items), (90, None), (91, ""), (92, "the the the"), (None, items[0])], "item_id long, text string")
+    bench = spark.createDataFrame([*enumerate(items), (90, None), (91, ""), (None, items[0])], "item_id long, text string")
     filler = lambda n: " ".join(f"f{rng.randrange(9999)}" for _ in range(n))
     edited = items[3].split()
     edited[5], edited[12] = "changed", "words"
@@ -208,8 +208,62 @@ def test_short_items(spark, make_docs):
     bench = spark.createDataFrame([(1, "What is it?"), (2, "zebu"), (3, "what is"), (4, ""), (5, None), (6, "Zebu")], "item_id long, text string")
     docs = make_docs([(1, "he asks: what IS it, zebus?"), (2, "a zebu! what"), (3, None), (4, "is it what")])
     found = lambda d: {(r.doc_id, r.item_id, r.similarity, r.start, r.end) for r in d.collect()}
-    assert found(decontaminate.leaks(docs, bench, short_items=True)) == {(1, 1, 1.0, 2, 5), (1, 3, 1.0, 2, 4), (2, 2, 1.0, 1, 2), (2, 6, 1.0, 1, 2)}
-    assert found(decontaminate.leaks(docs, bench, short_items=True, block_words=3)) == found(decontaminate.leaks(docs, bench, short_items=True))
+    assert found(decontaminate.leaks(docs, bench)) == {(1, 1, 1.0, 2, 5), (1, 3, 1.0, 2, 4), (2, 2, 1.0, 1, 2), (2, 6, 1.0, 1, 2)}
+    assert found(decontaminate.leaks(docs, bench, block_words=3)) == found(decontaminate.leaks(docs, bench))
+
+
+def edit(rng, words, kind):
+    """A copy with every few words changed, added or lost."""
+    out, step = [], rng.randrange(2, 6)
+    for i, w in enumerate(words):
+        hit = i % step == step - 1
+        if kind == "change" and hit:
+            out.append(f"n{rng.randrange(99)}")
+        elif kind != "lose" or not hit:
+            out += [w, f"n{rng.randrange(99)}"] if kind == "add" and hit else [w]
+    return out
+
+
+def test_finds_what_aligning_every_pair_finds(spark, make_docs):
+    """Brute force: every item is aligned with every document. Dense edits, common words,
+    repeated words and long items included."""
+    rng = random.Random(6)
+    pool = ["the", "of", "a"] * 6 + [f"w{i}" for i in range(60)]
+    items = [[rng.choice(pool) for _ in range(rng.randrange(8, 70))] for _ in range(25)] + [["the", "of"] * 10]
+    rows = [(0, "nothing here")]
+    for i in range(120):
+        words = edit(rng, rng.choice(items), rng.choice(["change", "add", "lose", "none"]))
+        cut = rng.randrange(0, max(1, len(words) // 3))
+        text = [rng.choice(pool) for _ in range(rng.randrange(20))] + words[cut:] + [rng.choice(pool) for _ in range(rng.randrange(20))]
+        rows.append((i + 1, " ".join(text)))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(make_docs(rows), bench).collect()}
+    want, numbers = set(), {}
+    code = lambda ws: np.array([numbers.setdefault(w, len(numbers)) for w in ws])
+    for doc, text in rows:
+        for k, item in enumerate(items):
+            if decontaminate.align(code(item), code(text.split()))[0] >= min(0.6 * len(item), 24) * 2:
+                want.add((doc, k))
+    assert got == want and len(want) > 60
+
+
+def test_a_word_added_after_every_two(spark, make_docs):
+    item = [f"a{i}" for i in range(40)]
+    text = " ".join(w if i % 2 == 0 else f"{w} new{i}" for i, w in enumerate(item))
+    got = decontaminate.leaks(make_docs([(1, text), (2, "a0 a1 new a2 a3")]), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.start, r.end) for r in got] == [(1, 7, 0, 59)]
+
+
+def test_frequent_pairs_are_left_out_of_the_seeds():
+    item = [f"w{i}" for i in range(20)]
+    block = decontaminate.build_block([(0, item)], 0.6, 24, {})
+    documents = np.arange(len(block.pairs))
+    first, items = decontaminate.rare_pairs(block, documents)
+    rare = np.flatnonzero(np.diff(first))
+    left_out = np.setdiff1d(np.arange(len(block.pairs)), rare)
+    k = int(decontaminate.least_pairs(block.need)[0])
+    assert 0 < len(left_out) and left_out.min() > rare.max() and len({int(block.pairs[g]) // 20 for g in left_out}) <= k - 1
+    assert (items == 0).all()
 
 
 def test_bound_never_cuts_an_alignment():
