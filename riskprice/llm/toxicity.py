@@ -116,36 +116,45 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     return Model(keys, np.mean([w[:-1] for w in fits], 0), float(np.mean([w[-1] for w in fits])))
 
 
-def _train_one(xp, xu, k, prior, epochs, rate, penalty, rng):
-    w = np.zeros(k + 1)
-    w[-1] = np.log(prior / (1 - prior))
-    mean, square, step = np.zeros(k + 1), np.zeros(k + 1), 0
-    batches = max(1, min(len(xu) // 3000, 6))
+def step_of(xp: list[np.ndarray], xu: list[np.ndarray], w: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """(risk on positives, corrected risk on negatives, direction to go down) of a linear
+    scorer with weights ``w``, the last one its bias; a text is the places of its terms. The
+    direction is the gradient of the sum of both risks, or, where the second is below zero,
+    that of the second upwards."""
+    k = len(w) - 1
 
     def scores(part):
         row = np.repeat(np.arange(len(part)), [len(c) for c in part])
         column = np.concatenate(part) if part else np.empty(0, np.int64)
-        z = np.bincount(row, w[column], len(part)) + w[-1]
-        return row, column, z
+        return row, column, np.bincount(row, w[column], len(part)) + w[-1]
 
     def gradient(row, column, dz):
         g = np.bincount(column, dz[row], k + 1).astype(float)      # of no columns: integers
         g[-1] = dz.sum()
         return g
 
+    *p, zp = scores(xp)
+    *u, zu = scores(xu)
+    sp, su = _sigmoid(zp), _sigmoid(zu)
+    # logistic loss: loss(+) = log(1 + exp(-z)) with slope s - 1, loss(-) = log(1 + exp(z)) with slope s
+    positive = prior * np.logaddexp(0, -zp).mean()
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    g_positive = gradient(*p, prior * (sp - 1) / len(xp))
+    g_negative = gradient(*u, su / len(xu)) - gradient(*p, prior * sp / len(xp))
+    return positive, negative, g_positive + g_negative if negative >= 0 else -g_negative
+
+
+def _train_one(xp, xu, k, prior, epochs, rate, penalty, rng):
+    w = np.zeros(k + 1)
+    w[-1] = np.log(prior / (1 - prior))
+    mean, square, step = np.zeros(k + 1), np.zeros(k + 1), 0
+    batches = max(1, min(len(xu) // 3000, 6))
     for _ in range(epochs):
         parts = zip(np.array_split(rng.permutation(len(xp)), batches), np.array_split(rng.permutation(len(xu)), batches))
         for ip, iu in parts:
             if not len(ip) or not len(iu):
                 continue
-            *p, zp = scores([xp[i] for i in ip])
-            *u, zu = scores([xu[i] for i in iu])
-            sp, su = _sigmoid(zp), _sigmoid(zu)
-            # logistic loss: loss(+) = log(1 + exp(-z)) with slope s - 1, loss(-) = log(1 + exp(z)) with slope s
-            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            g_positive = gradient(*p, prior * (sp - 1) / len(ip))
-            g_negative = gradient(*u, su / len(iu)) - gradient(*p, prior * sp / len(ip))
-            g = g_positive + g_negative if negative >= 0 else -g_negative
+            _, _, g = step_of([xp[i] for i in ip], [xu[i] for i in iu], w, prior)
             g[:-1] += penalty * w[:-1]
             step += 1
             mean, square = 0.9 * mean + 0.1 * g, 0.999 * square + 0.001 * g * g

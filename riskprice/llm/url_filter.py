@@ -14,15 +14,16 @@ pages of a hot host, is a plain equi-join that Spark splits.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# Suffixes of two parts under which names are registered.
+# Suffixes of two parts under which names are registered, where the caller names no rules.
 TWO_PART_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "com.br", "co.jp", "co.in", "co.nz", "co.za")
 MIN_STRENGTH, MAX_STRENGTH = 1.0, 10_000.0
 
@@ -54,14 +55,34 @@ def _rest(url: Column) -> Column:
     return F.when(at > 0, F.substring(url, at + 3, F.length(url)))
 
 
-def registered_domain(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_PART_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
-
-
-def suffix(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_PART_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+def suffix_rules(spark: SparkSession, lines: Iterable[str]) -> DataFrame:
+    """(name, kind) from lines in the format of public suffix lists: ``co.uk`` is a suffix,
+    ``*.ck`` makes one of every name under ``ck``, ``!www.ck`` excepts a name from that;
+    blank lines and what follows ``//`` or a space are skipped."""
+    rules = set()
+    for line in lines:
+        rule = line.split("//")[0].split()
+        if rule:
+            name = rule[0].lower().strip(".")
+            kind = "!" if name.startswith("!") else "*" if name.startswith("*.") else ""
+            rules.add((name.removeprefix("!").removeprefix("*."), kind))
+    return spark.createDataFrame(sorted(rules), "name string, kind string")
+
+
+def with_domains(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """``hosts`` (one row a host) with ``domain`` and ``suffix``. An exception gives the suffix
+    one label shorter; else the longest rule that fits; without one it is the last label. The
+    registered domain has one label more (a host that is a suffix is its own domain)."""
+    labels = F.size(F.split("host", "[.]"))
+    tails = hosts.select("host", labels.alias("labels"), F.explode(F.sequence(F.lit(1), labels)).alias("n")) \
+                 .select("host", "labels", "n", F.expr("substring_index(host, '.', -n)").alias("name"))
+    length = F.when(F.col("kind") == "!", F.col("n") - 1).when(F.col("kind") == "*", F.col("n") + 1).otherwise(F.col("n"))
+    fitting = tails.join(rules, "name").withColumn("n", length).where("n <= labels") \
+                   .groupBy("host").agg(F.max(F.when(F.col("kind") == "!", F.col("n"))).alias("excepted"), F.max("n").alias("longest")) \
+                   .select(F.col("host").alias("_host"), F.coalesce("excepted", "longest").alias("_n"))
+    found = hosts.join(fitting, F.col("host") == F.col("_host"), "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
+    return found.withColumns({"suffix": F.expr("substring_index(host, '.', -_n)"), "domain": F.expr("substring_index(host, '.', -(_n + 1))")}) \
+                .drop("_host", "_n")
 
 
 def matching_rule(rules: list[Rule], host: Column, path: Column) -> tuple[Column, Column]:
@@ -89,43 +110,44 @@ def _strength(groups: DataFrame) -> float:
     return MAX_STRENGTH if rho <= 0 else min(MAX_STRENGTH, max(MIN_STRENGTH, 1 / rho - 1))
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.64) -> DataFrame:
+def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.64, suffixes: Iterable[str] = TWO_PART_SUFFIXES) -> DataFrame:
     """(host, n, good, reputation, lower_bound) of every host of ``pages`` (page_id, host).
+    ``suffixes``: rules of what names are registered under (``suffix_rules``).
 
     ``outcomes``: (page_id, good 0/1). Pages without an outcome count for nothing; without
     any outcome at all the overall prior is uniform. The overall rate is (good+1)/(n+2)."""
     known = outcomes.where("page_id IS NOT NULL AND good IN (0, 1)").groupBy("page_id").agg(F.min("good").alias("good")) \
                     .select(F.col("page_id").alias("_page"), "good")
     hosts = pages.join(known, F.col("page_id") == F.col("_page"), "left") \
-                 .groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")) \
-                 .select("host", registered_domain(F.col("host")).alias("domain"), suffix(F.col("host")).alias("suffix"), "n", "good")
-    hosts = common.cut(hosts)
+                 .groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
+    hosts = common.cut(with_domains(common.cut(hosts), suffix_rules(pages.sparkSession, suffixes)))
     up = lambda df, *keys: df.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     domains = up(hosts, "suffix", "domain")
-    suffixes = up(domains, "suffix")
-    total = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")).first()
+    endings = up(domains, "suffix")
+    total = endings.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")).first()
     overall = (total["good"] + 1) / (total["n"] + 2)
     as_parent = lambda df, *keys: df.select(*keys, F.col("n").alias("pn"), F.col("good").alias("pgood"))
-    k_suffix = _strength(suffixes.withColumns({"pn": F.lit(total["n"]), "pgood": F.lit(total["good"])}))
-    k_domain = _strength(domains.join(as_parent(suffixes, "suffix"), "suffix"))
+    k_suffix = _strength(endings.withColumns({"pn": F.lit(total["n"]), "pgood": F.lit(total["good"])}))
+    k_domain = _strength(domains.join(as_parent(endings, "suffix"), "suffix"))
     k_host = _strength(hosts.join(as_parent(domains, "suffix", "domain"), ["suffix", "domain"]))
 
     def shrunk(mean, strength):
         return (mean * strength + F.col("good")) / (F.col("n") + strength)
 
-    s = suffixes.select("suffix", shrunk(F.lit(overall), k_suffix).alias("suffix_mean"))
+    s = endings.select("suffix", shrunk(F.lit(overall), k_suffix).alias("suffix_mean"))
     d = domains.join(s, "suffix").select("suffix", "domain", shrunk(F.col("suffix_mean"), k_domain).alias("domain_mean"))
     h = hosts.join(d, ["suffix", "domain"]).withColumn("reputation", shrunk(F.col("domain_mean"), k_host))
     sd = F.sqrt(F.col("reputation") * (1 - F.col("reputation")) / (F.col("n") + k_host + 1))
     return h.select("host", "n", "good", "reputation", (F.col("reputation") - z * sd).alias("lower_bound"))
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], min_good: float = 0.5, z: float = 1.64) -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], min_good: float = 0.5, z: float = 1.64,
+               suffixes: Iterable[str] = TWO_PART_SUFFIXES) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every page. A null url, or one without
     ``://``, has an empty host and path, which is a host like any other. Repeated rows are
     judged alike; rows with a null page_id have no outcome. Other columns are not read."""
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    known = host_reputation(parsed, outcomes, z).select(F.col("host").alias("_host"), F.col("lower_bound"))
+    known = host_reputation(parsed, outcomes, z, suffixes).select(F.col("host").alias("_host"), F.col("lower_bound"))
     name, verdict = matching_rule(rules, F.col("host"), F.col("path"))
     own = F.when(F.col("lower_bound") >= min_good, "allow").otherwise("block")
     return parsed.join(known, F.col("host") == F.col("_host"), "left") \

@@ -1,4 +1,5 @@
 """Toxicity, quality, decontamination, URL filter."""
+import math
 import os
 import random
 import re
@@ -8,6 +9,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from riskprice.llm import common, decontaminate, quality, queries, toxicity, url_filter
 
@@ -128,6 +130,54 @@ def test_quality_without_labels(spark, make_docs, edge_rows):
     assert quality.judge(docs.limit(0), quality.fit(docs.limit(0), labels)).count() == 0
 
 
+def test_risk_and_direction_against_their_definition():
+    """The non-negative risk written out row by row, and its numeric gradient."""
+    rng = np.random.default_rng(8)
+    soft = lambda z: np.log1p(np.exp(z))
+    seen = set()
+    for trial in range(40):
+        k, prior = 6, float(rng.uniform(0.05, 0.9))
+        xp = [rng.permutation(k)[:rng.integers(0, k)] for _ in range(rng.integers(1, 8))]
+        xu = [rng.permutation(k)[:rng.integers(0, k)] for _ in range(rng.integers(1, 8))]
+        w = rng.normal(size=k + 1)
+
+        def risks(w):
+            z = lambda x: sum(w[i] for i in x) + w[-1]
+            positive = prior * sum(soft(-z(x)) for x in xp) / len(xp)
+            negative = sum(soft(z(x)) for x in xu) / len(xu) - prior * sum(soft(z(x)) for x in xp) / len(xp)
+            return positive, negative
+
+        positive, negative, direction = toxicity.step_of(xp, xu, w, prior)
+        assert np.allclose((positive, negative), risks(w))
+        aim = (lambda w: sum(risks(w))) if negative >= 0 else (lambda w: -risks(w)[1])
+        e = 1e-6 * np.eye(k + 1)
+        numeric = [(aim(w + d) - aim(w - d)) / 2e-6 for d in e]
+        assert np.allclose(direction, numeric, atol=1e-6)
+        seen.add(negative >= 0)
+    assert seen == {True, False}
+
+
+def test_terms_are_counted_over_all_documents(spark, make_docs):
+    """The choice of terms against plain counts; several rows of one id are one positive."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(12)) + (" vile nasty" if i % 6 == 0 else " kind")) for i in range(400)]
+    docs, positives = make_docs(rows), make_docs([r for r in rows if r[0] % 6 == 0])
+    got = set(toxicity.select_terms(docs, positives.select(common.text_of("text").alias("text")), 4, 4.0).tolist())
+    a, b = len([r for r in rows if r[0] % 6 == 0]), len(rows)
+    want = set()
+    terms = [(i % 6 == 0, toxicity.terms_of(t)) for i, t in rows]
+    for w in set().union(*(t for _, t in terms)):
+        n, m = sum(w in t for p, t in terms if p), sum(w in t for _, t in terms)
+        pooled = (n + m + 1) / (a + b + 2)
+        if n >= 4 and (n / a - m / b) / math.sqrt(pooled * (1 - pooled) * (1 / a + 1 / b)) >= 4:
+            want.add(int(common.word_hashes([w.encode()])[0]))
+    assert got == want and len(want) >= 2
+    labels = spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, toxic int")
+    repeated = make_docs([(7, f"vile text {i}") for i in range(50)] + [(8, "kind words"), (9, "more kind words")])
+    one = toxicity._one_text_an_id(repeated, labels.select(F.col("doc_id").alias("_doc")))
+    assert sorted(r.doc_id for r in one.collect()) == [7, 8]
+
+
 # decontamination
 
 def plain_align(item, passage):
@@ -295,6 +345,31 @@ def test_host_and_path_and_rules(spark):
     assert url_filter.judge_urls(pages.limit(0), none, queries.URL_RULES).count() == 0
 
 
+def plain_suffix(host, rules):
+    """The algorithm of public suffix lists, written out."""
+    labels, found, excepted = host.split("."), 1, None
+    for rule in rules:
+        parts = rule.lstrip("!").split(".")
+        tail = labels[-len(parts):]
+        if len(tail) == len(parts) and all(p in ("*", t) for p, t in zip(parts, tail)):
+            if rule.startswith("!"):
+                excepted = len(parts) - 1
+            found = max(found, len(parts))
+    n = found if excepted is None else excepted
+    return ".".join(labels[-n:]), ".".join(labels[-n - 1:])
+
+
+def test_suffix_rules(spark):
+    lines = ["// comment", "", "com", "co.kr", "kr", "*.ck", "!www.ck", "*.city.jp", "!town.city.jp", "jp  // more", "a.b.c.net"]
+    rules = [x.split("//")[0].split()[0] for x in lines if x.split("//")[0].split()]
+    hosts = ["", "com", "x.com", "a.co.kr", "b.co.kr", "co.kr", "www.a.co.kr", "x.kr", "a.b.ck", "b.ck", "ck", "www.ck", "z.www.ck", "p.q.city.jp",
+             "town.city.jp", "s.town.city.jp", "city.jp", "x.a.b.c.net", "b.c.net", "unknown", "a.unknown", "1.2.3.4"]
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = {r.host: (r.suffix, r.domain) for r in url_filter.with_domains(df, url_filter.suffix_rules(spark, lines)).collect()}
+    assert got == {h: plain_suffix(h, rules) for h in hosts}
+    assert got["a.co.kr"][1] != got["b.co.kr"][1]
+
+
 def test_reputation_shrinks_towards_the_domain(spark):
     rows, outcomes, i = [], [], 0
     for host, good, bad in (("a.x.com", 60, 0), ("b.x.com", 1, 0), ("c.y.com", 0, 60), ("d.y.com", 1, 1), ("e.z.net", 20, 20), ("new.y.com", 0, 0)):
