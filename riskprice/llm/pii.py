@@ -180,7 +180,8 @@ def disclosing_terms(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, generali
     # how often the candidates occur; then, for the few that disclose something, where
     terms = common.store(pairs.select("term").distinct())
     words = rows.select("doc_id", F.explode(_words(F.col("text"))).alias("term"))
-    counts = words.join(terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    # counted before they are joined: a frequent word is a row a partition then, and no hot key
+    counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(terms, "term")
     total = rows.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(f"{WORD}+"))), F.lit(0)).alias("n")).first()["n"]
     n = F.lit(float(max(total, 1)))
     told = F.log2(F.col("n_pair") * n / (F.col("n_term") * F.col("n_entity"))) / F.log2(n / F.col("n_entity"))
