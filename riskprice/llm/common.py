@@ -57,9 +57,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Ask the driver's JVM for a garbage collection: Spark removes the shuffle files of
-    finished phases once the driver no longer holds them. Twice, as Python lets go of its
-    handles in the background."""
+    """Best effort to have the shuffle files of finished phases removed before the next one
+    writes its own: Spark removes them once the driver's JVM has collected what held them,
+    so that is asked for, twice, as Python lets go of its handles in the background. What was
+    checkpointed before does not need them; results do not depend on this."""
     import gc
     import time
     for _ in range(2):
@@ -82,7 +83,8 @@ def word_hashes(words: list[bytes], seed: int = 0) -> np.ndarray:
     """64-bit hash of each word."""
     import xxhash
     h = xxhash.xxh3_64_intdigest
-    return np.fromiter((h(w, seed) for w in words), np.uint64, len(words))
+    each = (h(w, seed) for w in words) if seed else map(h, words)          # without a seed the library's is 0
+    return np.fromiter(each, np.uint64, len(words))
 
 
 MIX = np.uint64(0x9E3779B97F4A7C15)

@@ -197,13 +197,16 @@ def select_terms(docs: DataFrame, positives: DataFrame, min_documents: int, min_
 
     def everywhere(batches):
         import xxhash
-        h, place = xxhash.xxh3_64_intdigest, {int(k): i for i, k in enumerate(keys.tolist())}
+        h, get = xxhash.xxh3_64_intdigest, {int(k): i for i, k in enumerate(keys.tolist())}.get
         total, n = np.zeros(len(keys), np.int64), 0
         for b in batches:
-            for t in b.column(0):
-                n += 1
-                found = {i for w in terms_of(t.as_py().decode("utf-8", "replace")) if (i := place.get(h(w.encode(), 0))) is not None}
-                total[list(found)] += 1
+            for at in range(0, b.num_rows, 256):
+                found: list[int] = []
+                for t in b.column(0)[at:at + 256]:
+                    hashes = map(h, [w.encode() for w in terms_of(t.as_py().decode("utf-8", "replace"))])
+                    found += [i for i in map(get, hashes) if i is not None]
+                    n += 1
+                total += np.bincount(np.array(found, np.int64), minlength=len(keys))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], names=["at", "n"])
 

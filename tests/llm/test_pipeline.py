@@ -60,3 +60,30 @@ def test_encoding_stage(outputs):
 
 def test_run_equals_the_stages(spark, outputs):
     assert sorted(map(str, corpus_pipeline.run(spark, SF).collect())) == sorted(map(str, outputs[-1][2]))
+
+
+def test_edges_through_all_stages(spark, make_docs, edge_rows):
+    """Nulls, empty and long texts, repeated rows and ids, columns named like those that
+    operators use: every filtering stage keeps the columns and rows of its input."""
+    docs = make_docs(edge_rows + [(80, "write to ann@x.org or +1 (555) 867-5309 " + "now " * 30), (None, None)])
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        new = common.store(stage(spark, docs, SF))
+        assert new.columns == columns, name
+        if name != "pii":
+            assert new.exceptAll(docs).count() == 0, name                 # rows go or stay, none is changed
+        else:
+            assert new.count() == docs.count() and new.where("text RLIKE '@'").count() == 0
+        docs = new
+    kept = {r.doc_id for r in docs.collect()}
+    assert {40, 32, 80, 50, None} <= kept and not {41, 42, 43} & kept and len([r for r in docs.collect() if r.doc_id is None]) >= 2
+    encoded = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert len(encoded) == docs.count() and all(r.n_tokens >= 0 for r in encoded)
+
+
+def test_empty_documents(spark, make_docs):
+    docs = make_docs([(1, "x")]).limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        new = stage(spark, docs, SF)
+        assert new.count() == 0, name
+        docs = docs if name == "encoding" else new
