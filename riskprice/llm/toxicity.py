@@ -184,8 +184,9 @@ def select_terms(docs: DataFrame, positives: DataFrame, min_documents: int, min_
     count leaves."""
     def terms(batches):
         for b in batches:
-            found = [features(t.as_py()) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(common.signed(np.concatenate([*found, np.empty(0, np.uint64)])))], names=["term"])
+            for at in range(0, b.num_rows, 256):            # few texts' terms are held at a time
+                found = [features(t.as_py()) for t in b.column(0)[at:at + 256]]
+                yield pa.RecordBatch.from_arrays([pa.array(common.signed(np.concatenate([*found, np.empty(0, np.uint64)])))], names=["term"])
 
     counted = positives.select("text").mapInArrow(terms, "term long").groupBy("term").agg(F.count(F.lit(1)).alias("n")) \
                        .where(F.col("n") >= min_documents).toArrow()
