@@ -77,13 +77,13 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP11_SQL = """
 WITH v AS (
   SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-         list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+         [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
 s AS (
   SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same,
-         CAST(list_sum(list_transform(list_zip(a.v, r.v), z -> z[1] * z[2])) AS BIGINT) AS score
+         CAST(list_sum([a.v[i] * r.v[i] for i in range(1, least(len(a.v), len(r.v)) + 1)]) AS BIGINT) AS score
   FROM v a JOIN v r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
 p AS (
   SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same

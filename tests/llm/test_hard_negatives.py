@@ -109,3 +109,17 @@ def test_large_components_are_exact():
     assert sorted(s.tolist()) == sorted([2**62 + 9, 2**62 + 6, 2**62 + 6, 2**62 + 4])
     with pytest.raises(OverflowError):
         H.threshold_pairs(np.array([[2**40]]), np.array([[2**40]]), np.array([-np.inf]))
+
+
+def test_query_equals_its_sql(spark):
+    import duckdb
+
+    from riskprice.llm import queries
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    found = con.execute(queries.oracle_sql()["op11_hard_negatives"])
+    columns = [d[0] for d in found.description]
+    df = queries.op11_hard_negatives(spark, sf)
+    assert df.columns == columns
+    assert sorted(map(tuple, df.collect())) == sorted(found.fetchall()) and df.count() > 100
