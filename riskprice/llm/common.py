@@ -59,11 +59,11 @@ def cut(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Best effort to have the shuffle files of finished phases removed before the next one
     writes its own: Spark removes them once the driver's JVM has collected what held them,
-    so that is asked for, twice, as Python lets go of its handles in the background. What was
+    so that is asked for four times, as Python lets go of its handles in the background. What was
     checkpointed before does not need them; results do not depend on this."""
     import gc
     import time
-    for _ in range(2):
+    for _ in range(4):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.5)
